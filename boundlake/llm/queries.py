@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, langid, quality_pu, quality_rules, secret_scan
+from . import decontaminate, html_main, langid, quality_pu, quality_rules, secret_scan
 from .packing import pack
 from .tokens import count_tokens
 
@@ -25,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, 1024, 2, with_ids=False)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secret_scan.train(secret_scan.default_samples(spark))
     found = secret_scan.scan(table(spark, sf_dir, "documents"), model)
@@ -78,6 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
