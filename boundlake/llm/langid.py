@@ -144,7 +144,7 @@ def fit(langs: list[str], buckets: list[np.ndarray], shares: list[np.ndarray], e
     return model
 
 
-def train(docs: DataFrame, allowed: Column, per_lang: int = 1000, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, allowed: Column, per_lang: int = 600, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Model from at most about ``per_lang`` rows of each of ``most_langs`` languages.
 
     Rows are drawn by a hash of their id among the ``allowed`` ones. Their
@@ -160,11 +160,14 @@ def train(docs: DataFrame, allowed: Column, per_lang: int = 1000, most_langs: in
     for lang, n in counts:
         picked = picked | ((F.col(lang_col) == lang) & (draw < int((1 << 30) * min(1.0, per_lang / n))))
     sample = _features(rows.where(picked), F.col(lang_col), text_col).limit(2 * per_lang * len(counts)).toArrow()
-    order = np.lexsort([[len(x) for x in sample.column("buckets").to_pylist()], sample.column("lang").to_pylist()])
     langs = sample.column("lang").to_pylist()
-    buckets = [np.asarray(x, np.int64) for x in sample.column("buckets").to_pylist()]
-    shares = [np.asarray(x, np.float32) for x in sample.column("shares").to_pylist()]
-    return fit([langs[i] for i in order], [buckets[i] for i in order], [shares[i] for i in order])
+    lists = [sample.column(c).combine_chunks() for c in ("buckets", "shares")]
+    cut = np.asarray(lists[0].offsets, dtype=np.int64)
+    buckets, shares = (np.asarray(x.values) for x in lists)
+    # A fixed order, whatever order the rows arrived in.
+    order = np.lexsort([buckets[np.minimum(cut[:-1], max(len(buckets) - 1, 0))] if len(buckets) else cut[:-1], np.diff(cut), langs])
+    parts = [(slice(cut[i], cut[i + 1]), langs[i]) for i in order]
+    return fit([lang for _, lang in parts], [buckets[s] for s, _ in parts], [shares[s] for s, _ in parts])
 
 
 def _predictor(spark, model: Model):
