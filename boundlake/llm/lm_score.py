@@ -22,14 +22,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
 from .stores import checkpointed
-from .textnp import LOWER, NON_SPACE, mix, steps, utf8, word_hashes, word_spans
+from .textnp import LOWER, NON_SPACE, mix, pack, steps, unpack, utf8, word_hashes, word_spans
 
 BLOCK_BYTES = 8 << 20
 #: Roles of a document: scored only, counted, counted and predicted in EM.
@@ -40,31 +39,6 @@ _U = np.uint64
 FINE, ZERO = 8, 10_000
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes under light compression."""
-    parts = [np.array([len(arrays)], np.int64).tobytes()]
-    for x in arrays:
-        x = np.ascontiguousarray(x)
-        if x.dtype == np.int64 and (not len(x) or x.min() >= 0):
-            top = int(x.max()) if len(x) else 0
-            x = x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
-        parts.append(x.dtype.str.encode().ljust(8) + np.array([len(x)], np.int64).tobytes())
-        parts.append(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 8, []
-    for _ in range(int(np.frombuffer(raw, np.int64, 1)[0])):
-        dtype, n = np.dtype(raw[at : at + 8].strip().decode()), int(np.frombuffer(raw, np.int64, 1, at + 8)[0])
-        at += 16
-        size = n * dtype.itemsize
-        planes = np.frombuffer(raw, np.uint8, size, at).reshape(dtype.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(n))
-        at += size
-    return out
-
-
 def _pair_hash(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     n = max(len(words), 1)
     return mix(words[pairs // n] * _U(0x9E3779B97F4A7C15) + words[pairs % n])

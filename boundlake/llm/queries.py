@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html_main, langid, lm_score, quality_pu, quality_rules, secret_scan
+from . import decontaminate, html_main, langid, lm_score, neardup, quality_pu, quality_rules, secret_scan
 from .packing import pack
 from .tokens import count_tokens
 
@@ -79,6 +79,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs, _fold(5) != 0))
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
+    "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
