@@ -119,11 +119,6 @@ def train(samples: DataFrame, smoothing: float = 0.5, alphabet: int = 68) -> lis
     return table
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it as often as ``body`` likes."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 _SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
 
@@ -151,14 +146,11 @@ def _spans(text: Column, pattern: str, order: int, keep, least: str | None = Non
     return F.aggregate(found, start, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, base, spans) of every row.
+_TEXT, _BASE, _ALL = "__secret_text", "__secret_base", "__secret_spans"
 
-    ``base`` holds the spans of the fixed patterns by start and kind; ``spans``
-    adds those of tokens that the models call random and that no base span
-    covers already.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+
+def marked(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, with the text (empty for null), base and all spans under reserved names."""
     none = F.array().cast(_SPAN)
     ratios = F.split(F.lit(",".join(f"{x:.6g}" for x in table)), ",").cast("array<double>")
 
@@ -168,19 +160,47 @@ def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, id_c
         total = F.aggregate(codes, start, lambda a, k: F.struct(k.alias("p"), (a["s"] + F.get(ratios, a["p"] * CODES + k)).alias("s")), lambda a: a["s"])
         return total / F.length(token)
 
-    long_value = ASSIGN.replace("+)", "{%d,})" % ASSIGN_VALUE)
-    picked = docs.select(F.col(id_col), text.alias("text"))
-    marked = picked.select(
-        id_col,
-        "text",
-        F.when(F.col("text").rlike(long_value), _spans(F.col("text"), ASSIGN, 0, lambda hit, value: F.length(value) >= ASSIGN_VALUE, "2")).otherwise(none).alias("assign"),
-        F.when(F.col("text").rlike(ACCESS), _spans(F.col("text"), ACCESS, 1, lambda hit, _: F.lit(True))).otherwise(none).alias("access"),
-        F.when(F.col("text").rlike(HEX), _spans(F.col("text"), HEX, 2, lambda hit, _: F.lit(True))).otherwise(none).alias("hex"),
-        F.when(F.col("text").rlike(TOKEN), _spans(F.col("text"), TOKEN, 3, lambda hit, _: score(hit) > threshold)).otherwise(none).alias("random"),
+    def where(pattern: str, spans: Column) -> Column:
+        return F.when(F.col(_TEXT).rlike(pattern), spans).otherwise(none)
+
+    text, long_value = F.col(_TEXT), ASSIGN.replace("+)", "{%d,})" % ASSIGN_VALUE)
+    found = docs.withColumn(_TEXT, F.coalesce(F.col(text_col), F.lit(""))).withColumns(
+        {
+            "__secret_assign": where(long_value, _spans(text, ASSIGN, 0, lambda hit, value: F.length(value) >= ASSIGN_VALUE, "2")),
+            "__secret_access": where(ACCESS, _spans(text, ACCESS, 1, lambda hit, _: F.lit(True))),
+            "__secret_hex": where(HEX, _spans(text, HEX, 2, lambda hit, _: F.lit(True))),
+            "__secret_random": where(TOKEN, _spans(text, TOKEN, 3, lambda hit, _: score(hit) > threshold)),
+        }
     )
-    based = marked.select(id_col, "text", "random", F.sort_array(F.concat("assign", "access", "hex")).alias("base"))
-    fresh = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
-    return based.select(id_col, "text", "base", F.when(F.size("random") == 0, F.col("base")).otherwise(F.sort_array(F.concat("base", fresh))).alias("spans"))
+    random = F.col("__secret_random")
+    fresh = F.filter(random, lambda r: ~F.exists(_BASE, lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
+    based = found.withColumn(_BASE, F.sort_array(F.concat("__secret_assign", "__secret_access", "__secret_hex")))
+    return based.withColumn(_ALL, F.when(F.size(random) == 0, F.col(_BASE)).otherwise(F.sort_array(F.concat(_BASE, fresh)))).select(*(F.col(f"`{c}`") for c in docs.columns), _TEXT, _BASE, _ALL)
+
+
+def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, base, spans) of every row.
+
+    ``base`` holds the spans of the fixed patterns by start and kind; ``spans``
+    adds those of tokens that the models call random and that no base span
+    covers already.
+    """
+    found = marked(docs.select(id_col, text_col), table, threshold, text_col)
+    return found.select(F.col(id_col), F.col(_TEXT).alias("text"), F.col(_BASE).alias("base"), F.col(_ALL).alias("spans"))
+
+
+def redact(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """All rows and columns of ``docs`` with every secret masked in the text.
+
+    Texts without a secret, null ones included, stay as they are; ``size_col``,
+    where it is a column, is set anew for changed texts.
+    """
+    changed = F.size(_ALL) > 0
+    masked = marked(docs, table, threshold, text_col).withColumn(text_col, F.when(changed, redacted(F.col(_TEXT), F.col(_ALL))).otherwise(F.col(text_col)))
+    if size_col in docs.columns:
+        kind = dict(docs.dtypes)[size_col]
+        masked = masked.withColumn(size_col, F.when(changed, F.length(text_col).cast(kind)).otherwise(F.col(size_col)))
+    return masked.select(docs.columns)
 
 
 def joined(spans: Column) -> Column:

@@ -1,15 +1,64 @@
-"""Corpus pipeline: language ID, near-dedup, decontamination, secret scan, packing."""
+"""Corpus pipeline: language ID, near-dedup, decontamination, secret scan, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows it is given. The
+first three drop documents, the fourth masks secrets inside texts, and the last
+packs what is left into sequences of 1024 tokens. Null texts are undetermined
+in language and go in the first stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boundlake.llm import decontaminate, langid, neardup, packing, secret_scan
+from boundlake.llm.stores import written
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model accepts; one id in five is never learned from."""
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    return langid.keep_identified(docs, langid.train(docs, fold != 0))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and the number of characters set anew."""
+    return secret_scan.redact(docs, secret_scan.train(secret_scan.default_samples(spark)))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of at most 1024 tokens."""
+    return packing.pack(docs, TOKENIZER, 1024, 2, with_ids=False)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: No stage but the third could be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages in order; each result is a table in the shared folder that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
