@@ -30,18 +30,26 @@ from ..ship import ship
 from .stores import checkpointed
 from .textnp import LOWER, NON_SPACE, mix, pack, steps, unpack, utf8, word_hashes, word_spans
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 #: Roles of a document: scored only, counted, counted and predicted in EM.
 SCORED, MAIN, APART = 0, 1, 2
 END = np.uint64(0x51ED270B0E4D6A1F)
 _U = np.uint64
+#: Bits that a bigram's hash leaves out.
+PAIR_SHIFT = 8
+WORD_SHIFT = 16
 #: Steps of the histogram's log2 scales, and the code of a zero.
 FINE, ZERO = 8, 10_000
 
 
 def _pair_hash(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """56-bit hashes of bigrams, given as first * words + second; words by 48 bits.
+
+    Eight bits less than words have make messages a sixth smaller; at 10**8
+    different bigrams fewer than one in 10**8 shares another's count.
+    """
     n = max(len(words), 1)
-    return mix(words[pairs // n] * _U(0x9E3779B97F4A7C15) + words[pairs % n])
+    return mix(words[pairs // n] * _U(0x9E3779B97F4A7C15) + words[pairs % n]) >> _U(PAIR_SHIFT)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,20 +64,35 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(counts)), counts)
     hashes[np.arange(len(starts)) + row] = word_hashes(raw, starts, ends)
     words, ids = np.unique(hashes, return_inverse=True)
-    return words, ids, counts + 1
+    return words, ids.astype(np.int32), counts + 1
 
 
-def contexts(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+def contexts(ids: np.ndarray, end: int) -> np.ndarray:
     """Word number before each token; rows follow an end, as does the first."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    before[:1] = np.searchsorted(words, END)
+    before[:1] = end
     return before
 
 
-def owners_of(hashes: np.ndarray, owners: int) -> np.ndarray:
+def owners_of(hashes: np.ndarray, owners: int, bits: int) -> list[int]:
     """First place of each owner's range among sorted hashes, and the end."""
-    return np.searchsorted(hashes, np.array([(k << 64) // owners for k in range(owners)], dtype=_U)).tolist() + [len(hashes)]
+    return np.searchsorted(hashes, np.array([(k << bits) // owners for k in range(owners)], dtype=_U)).tolist() + [len(hashes)]
+
+
+def _counted(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values, ascending, with their counts in counted and in left-out texts."""
+    key = (values.astype(np.int64) << 2) | of
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] >> 2 != key[:-1] >> 2])) if len(key) else np.zeros(0, np.int64)
+    low = (key & 3).astype(np.uint8)
+    add = lambda role: np.add.reduceat((low == role).astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
+    return key[first] >> 2, add(MAIN), add(APART)
+
+
+def _messages(number: int, kind: int, hashes: np.ndarray, main: np.ndarray, apart: np.ndarray, owners: int, bits: int) -> list[tuple]:
+    cut = owners_of(hashes, owners, bits)
+    return [(number, kind, k, pack(np.diff(hashes[a:b], prepend=_U(0)), main[a:b].astype(np.int64), apart[a:b].astype(np.int64))) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
 
 def _blocks(batches, owners: int, ask: bool):
@@ -81,24 +104,21 @@ def _blocks(batches, owners: int, ask: bool):
             words, ids, counts = tokens(batch.column(1).slice(a, b - a))
             role = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8)
             if ask:
+                # Sorted with the role in the low bits, so that counts need no inverse.
                 of = np.repeat(role, counts)
-                pairs, which = np.unique(contexts(ids, words) * len(words) + ids, return_inverse=True)
-                pair_hash = _pair_hash(words, pairs)
-                order = np.argsort(pair_hash)
-                rows = []
-                for kind, hashes, at, sort in ((0, words, ids, None), (1, pair_hash[order], which, order)):
-                    main, apart = (np.bincount(at[of == r], minlength=len(hashes)) for r in (MAIN, APART))
-                    if sort is not None:
-                        main, apart = main[sort], apart[sort]
-                    cut = owners_of(hashes, owners)
-                    for k in range(owners):
-                        s = slice(cut[k], cut[k + 1])
-                        if s.stop > s.start:
-                            rows.append((number, kind, k, pack(np.diff(hashes[s], prepend=_U(0)), main[s], apart[s])))
-                yield pa.RecordBatch.from_pylist([dict(zip(("block", "kind", "owner", "payload"), r)) for r in rows], schema=pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("owner", pa.int32()), ("payload", pa.binary())]))
+                pairs = contexts(ids, int(np.searchsorted(words, END))).astype(np.int64) * len(words) + ids
+                rows = _messages(number, 0, words, *_counted(ids, of)[1:], owners, 64)
+                pairs, main, apart = _counted(pairs, of)
+                del ids, of
+                hashes = _pair_hash(words >> _U(WORD_SHIFT), pairs)
+                del pairs
+                order = np.argsort(hashes)
+                rows += _messages(number, 1, hashes[order], main[order], apart[order], owners, 64 - PAIR_SHIFT)
+                del hashes, order, main, apart
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "kind", "owner", "payload"])
             else:
                 lists = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a))
-                payload = pack(counts.astype(np.int64), role, words, ids.astype(np.int64))
+                payload = pack(counts.astype(np.int64), role, np.diff(words >> _U(WORD_SHIFT), prepend=_U(0)), ids.astype(np.int64), np.searchsorted(words, [END]))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([2], pa.int32()), pa.array([0], pa.int32()), pa.array([payload], pa.binary()), pa.array([0], pa.int64()), lists], names=["block", "kind", "owner", "payload", "fresh", "ids"])
             number += 1
 
@@ -134,30 +154,39 @@ def bucket(count: np.ndarray) -> np.ndarray:
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     """One block with its answers: counts at every token, and the EM histogram."""
     own = pdf[pdf["kind"] == 2].iloc[0]
-    counts, role, words, ids = unpack(own["payload"])
+    counts, role, words, ids, end = unpack(own["payload"])
+    words, end = np.cumsum(words, dtype=_U), int(end[0])
     answers = pdf[pdf["kind"] != 2].sort_values(["kind", "owner"])
+    del pdf
     totals = []
     for kind in (0, 1):
         got = [unpack(x) for x in answers.loc[answers["kind"] == kind, "payload"]]
-        totals.append([np.concatenate([x[j] for x in got]).astype(np.int64) for j in (0, 1)])
-    ids = ids.astype(np.int64)
-    before = contexts(ids, words)
-    pairs, which = np.unique(before * len(words) + ids, return_inverse=True)
+        totals.append([np.concatenate([x[j].astype(np.int32) for x in got]) for j in (0, 1)])
+        del got
+    fresh = int(answers.loc[answers["kind"] == 0, "fresh"].sum())
+    del answers
+    ids = ids.astype(np.int32)
+    pairs, which = np.unique(contexts(ids, end).astype(np.int64) * len(words) + ids, return_inverse=True)
+    which = which.astype(np.int32)
     if len(pairs) != len(totals[1][0]) or len(words) != len(totals[0][0]):
         raise RuntimeError("the documents changed between two readings; write them to a table first")
     order = np.argsort(_pair_hash(words, pairs))
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    main2, apart2 = (x[place][which] for x in totals[1])
+    del pairs
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    del order
+    at = place[which]
+    del place, which
+    main2, apart2 = (x[at] for x in totals[1])
     main1, apart1 = totals[0]
     apart = np.repeat(role, counts) == APART
-    context, pair, word = main1[before[apart]], main2[apart], main1[ids[apart]]
+    context, pair, word = main1[contexts(ids, end)[apart]], main2[apart], main1[ids[apart]]
     cells = np.column_stack([bucket(context), _scale(pair / np.maximum(context, 1)), _scale(word)])
     cells, n = np.unique(cells, axis=0, return_counts=True)
     trained = int(counts[role != SCORED].sum())
     counted = int(counts[role == MAIN].sum())
-    payload = pack(counts.astype(np.int64), role, ids, main1 + apart1, main2 + apart2, words)
-    return pd.DataFrame({"block": [own["block"]], "ids": [own["ids"]], "payload": [payload], "fresh": [int(pdf["fresh"].sum() - answers.loc[answers["kind"] == 1, "fresh"].sum())], "trained": [trained], "counted": [counted], "cells": [[(*map(int, c), int(k)) for c, k in zip(cells, n)]]})
+    payload = pack(counts.astype(np.int64), role, ids.astype(np.int64), (main1 + apart1).astype(np.int64), (main2 + apart2).astype(np.int64), np.array([end]))
+    return pd.DataFrame({"block": [own["block"]], "ids": [own["ids"]], "payload": [payload], "fresh": [fresh], "trained": [trained], "counted": [counted], "cells": [[(*map(int, c), int(k)) for c, k in zip(cells, n)]]})
 
 
 def learn(cells: list[tuple[int, int, int, int]], counted: int, vocabulary: int, rounds: int = 60) -> dict[int, tuple[float, float, float]]:
@@ -212,9 +241,9 @@ def score(docs: DataFrame, trained_on: Column, apart: Column, id_col: str = "doc
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for ids_list, payload in zip(batch.column(0), batch.column(1)):
-                counts, role, ids, uni, pair, words = unpack(payload.as_py())
-                ids = ids.astype(np.int64)
-                context = uni[contexts(ids, words)].astype(np.int64)
+                counts, role, ids, uni, pair, end = unpack(payload.as_py())
+                ids = ids.astype(np.int32)
+                context = uni[contexts(ids, int(end[0]))].astype(np.int64)
                 c = uni[ids].astype(np.int64)
                 w = table[bucket(context)]
                 p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (c / max(total, 1)) + w[:, 2] / (vocabulary + 1)
