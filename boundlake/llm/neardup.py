@@ -9,9 +9,10 @@ similarity drops hopeless ones, and the full sets confirm the rest.
 How groups are kept small: exact copies are one class and only its least id
 goes on. Within a band's bucket only stars are proposed: every member with the
 bucket's most central one. Members that stay outside the component of their
-star's centre are then compared with the bucket's other components, so no pair
-that a band proposes goes unjudged unless both are already connected. Sets meet
-their star's centre in salted groups of bounded size.
+star's centre are then held against the other members by their rarest shingles,
+which every similar pair shares, so no pair that a band proposes is lost unless
+both are already connected. Sets meet their star's centre in salted groups of
+bounded size.
 
 A document of fewer than five words is one shingle of all its words. Null or
 empty texts have no shingle and are linked with nothing. Rows that share an id
@@ -23,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,16 +196,6 @@ def confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
     kind = dict(docs.dtypes)[id_col]
     texts = matching(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, "id", "inner")
 
-    def sets(batches):
-        for batch in batches:
-            _, offsets = utf8(batch.column(4))
-            payload = []
-            for a, b in steps(offsets):
-                raw, at = utf8(batch.column(4).slice(a, b - a))
-                hashes, begin = shingles(raw, at)
-                payload += [pack(np.diff(hashes[i:j], prepend=_U(0))) for i, j in zip(begin, begin[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(payload, pa.binary())], names=["id", "star", "salt", "role", "payload"])
-
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         centre = pdf[pdf["role"] == 0]
         found = []
@@ -217,7 +209,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
                     found.append(ident)
         return pd.DataFrame({"a": [pdf["star"].iloc[0]] * len(found), "b": found}).astype({"a": pdf["star"].dtype, "b": pdf["star"].dtype})
 
-    packed = texts.select("id", "star", "salt", "role", "text").mapInArrow(sets, f"id {kind}, star {kind}, salt int, role int, payload binary")
+    packed = texts.select("id", "star", F.struct("salt", "role").alias("at"), "text").mapInArrow(_packed_sets, f"id {kind}, star {kind}, at struct<salt:int,role:int>, payload binary")
+    packed = packed.select("id", "star", "at.*", "payload")
     return packed.groupBy("star", "salt").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
@@ -275,7 +268,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         tried = checkpointed(hopeful(best, reps))
         links = checkpointed(confirmed(docs, tried, id_col, text_col))
         labels = None if links.isEmpty() else components(links)
-        for proposed in (_stars_between(stars, best), _strangers(starred)):
+        for proposed in (_stars_between(stars, best), _strangers(docs, starred, id_col, text_col)):
             open_ = checkpointed(hopeful(proposed(labels).join(tried, ["a", "b"], "left_anti"), reps))
             if open_.isEmpty():
                 continue
@@ -299,19 +292,116 @@ def _stars_between(stars: DataFrame, best: DataFrame):
     return lambda labels: _labelled(rest, labels).where("ca <> cb").select("a", "b")
 
 
-def _strangers(starred: DataFrame):
-    """Bucket members outside their star's component, with members of other components."""
+def _strangers(docs: DataFrame, starred: DataFrame, id_col: str, text_col: str):
+    """Bucket members outside their star's component, with members that share a rare shingle.
+
+    Sets this similar share a shingle among the rarest quarter of each, whatever
+    rarity is, so long as both use one order. Here it is the number of member
+    documents that hold the shingle, counted exactly: passages that many
+    documents repeat come last and propose nothing.
+    """
 
     def proposed(labels: DataFrame | None) -> DataFrame:
         known = _labelled(starred.select("key", F.col("lead").alias("a"), F.col("id").alias("b")), labels)
-        known = checkpointed(known.select("key", "b", "ca", "cb"))
-        strange = known.where("ca <> cb").select("key", F.col("b").alias("x"), F.col("cb").alias("cx"))
-        pairs = strange.join(known.select("key", F.col("b").alias("y"), F.col("cb").alias("cy")), "key").where("cx <> cy and x <> y")
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        known = checkpointed(known.select("key", F.col("b").alias("id"), F.col("cb").alias("component"), (F.col("ca") != F.col("cb")).alias("strange")))
+        keys = known.where("strange").select("key").distinct()
+        wanted = checkpointed(known.join(keys, "key", "left_semi").groupBy("id", "component").agg(F.max("strange").alias("strange")))
+        rare = checkpointed(rarest(docs, wanted, id_col, text_col))
+        side = lambda k: rare.select("shingle", F.col("id").alias(f"i{k}"), F.col("component").alias(f"c{k}"), F.col("strange").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+        once = "cx <> cy and (not sy or ix < iy)"
+        pairs = side("x").where("sx").join(side("y"), "shingle").where(once).where(DENOMINATOR * F.least("nx", "ny") >= NUMERATOR * F.greatest("nx", "ny"))
+        return pairs.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct()
 
     return proposed
 
 
+def rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(shingle, id, component, strange, n): shared shingles among the rarest of each wanted set.
+
+    Blocks of documents ask the owners of hash ranges how many wanted documents
+    hold each of their different shingles, one message for each owner, so a
+    common shingle is one entry of a message.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    owners = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = matching(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, "id", "inner")
+    sets = checkpointed(texts.select("id", "component", "strange", "text").mapInArrow(_packed_sets, f"id {kind}, component {kind}, strange boolean, payload binary"))
+    asked = sets.mapInArrow(lambda it: _set_blocks(it, owners), "block long, owner int, payload binary")
+    own = "block long, owner int, payload binary, ids array<{0}>, components array<{0}>, strange array<boolean>".format(kind)
+    none = {"ids": F.lit(None).cast(f"array<{kind}>"), "components": F.lit(None).cast(f"array<{kind}>"), "strange": F.lit(None).cast("array<boolean>")}
+    answers = asked.groupBy("owner").applyInPandas(_holders, "block long, owner int, payload binary").withColumns(none)
+    blocks = sets.mapInArrow(lambda it: _set_blocks(it, 0), own)
+    return blocks.unionByName(answers).groupBy("block").applyInPandas(_rare_in_block, f"shingle long, id {kind}, component {kind}, strange boolean, n long")
+
+
+def _packed_sets(batches):
+    for batch in batches:
+        _, offsets = utf8(batch.column(3))
+        payload = []
+        for a, b in steps(offsets):
+            raw, at = utf8(batch.column(3).slice(a, b - a))
+            hashes, begin = shingles(raw, at)
+            payload += [pack(np.diff(hashes[i:j], prepend=_U(0))) for i, j in zip(begin, begin[1:])]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(payload, pa.binary())], names=[*batch.schema.names[:3], "payload"])
+
+
+def _set_blocks(batches, owners: int, most: int = 4 << 20):
+    """Messages to ``owners``, or (0 owners) the blocks themselves; blocks of about ``most`` packed bytes."""
+    number = TaskContext.get().partitionId() << 24
+    for batch in batches:
+        packed = batch.column(3).to_pylist()
+        ends = np.cumsum([len(x) for x in packed])
+        first = 0
+        while first < len(packed):
+            last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")), first + 1)
+            own = [np.cumsum(unpack(x)[0], dtype=_U) for x in packed[first:last]]
+            if owners:
+                hashes, counts = np.unique(np.concatenate(own), return_counts=True)
+                cut = np.searchsorted(hashes, np.array([(k << 64) // owners for k in range(owners)], dtype=_U)).tolist() + [len(hashes)]
+                rows = [(number, k, pack(np.diff(hashes[a:b], prepend=_U(0)), counts[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "owner", "payload"])
+            else:
+                at, n = pa.array([0, last - first], pa.int32()), last - first
+                lists = [pa.ListArray.from_arrays(at, batch.column(k).slice(first, n)) for k in range(3)]
+                payload = pack(np.array([len(x) for x in own], np.int64), np.concatenate([np.diff(x, prepend=_U(0)) for x in own]))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([payload], pa.binary()), *lists], names=["block", "owner", "payload", "ids", "components", "strange"])
+            number += 1
+            first = last
+
+
+def _holders(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Number of documents with each shingle, for every block that asked."""
+    asked = [unpack(x) for x in pdf["payload"]]
+    hashes = np.concatenate([np.cumsum(x[0], dtype=_U) for x in asked])
+    _, which = np.unique(hashes, return_inverse=True)
+    total = np.bincount(which, np.concatenate([x[1] for x in asked])).astype(np.int64)
+    starts = np.cumsum([0] + [len(x[0]) for x in asked])
+    return pd.DataFrame({"block": pdf["block"], "owner": pdf["owner"], "payload": [pack(total[which[a:b]]) for a, b in zip(starts, starts[1:])]})
+
+
+def _rare_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    own = pdf[pdf["owner"] < 0].iloc[0]
+    answers = pdf[pdf["owner"] >= 0].sort_values("owner")
+    sizes, steps_ = unpack(own["payload"])
+    begin = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+    own_sets = [np.cumsum(steps_[a:b], dtype=_U) for a, b in zip(begin, begin[1:])]
+    hashes = np.unique(np.concatenate(own_sets)) if own_sets else np.zeros(0, _U)
+    held = np.concatenate([unpack(x)[0] for x in answers["payload"]]).astype(np.int64) if len(answers) else np.zeros(0, np.int64)
+    if len(held) != len(hashes):
+        raise RuntimeError("a block's answers are not whole")
+    out: list[list] = [[], [], [], [], []]
+    for ident, component, strange, found in zip(own["ids"], own["components"], own["strange"], own_sets):
+        n = len(found)
+        df = held[np.searchsorted(hashes, found)]
+        first = np.lexsort([found, df])[: n - -(-NUMERATOR * n // DENOMINATOR) + 1]
+        shared = found[first[df[first] > 1]].view(np.int64)
+        for values, value in zip(out[1:], (ident, component, strange, n)):
+            values += [value] * len(shared)
+        out[0].append(shared)
+    return pd.DataFrame({"shingle": np.concatenate(out[0]) if out[0] else np.zeros(0, np.int64), "id": out[1], "component": out[2], "strange": out[3], "n": out[4]})
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates of a kept document."""
     found = find(docs, id_col, text_col)
