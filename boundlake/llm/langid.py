@@ -28,6 +28,8 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 DIM = 16
 UNDETERMINED = "und"
+#: Bytes of text predicted at a time; bounds the wide temporaries.
+PREDICT_BYTES = 1 << 20
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 256)
@@ -49,30 +51,32 @@ class Model:
     threshold: float
 
 
-def gram_buckets(raw: np.ndarray) -> list[np.ndarray]:
-    """For each n, the bucket of the n-gram that starts at each byte."""
-    folded = _FOLD[raw].astype(np.uint32)
-    out = []
-    for k, n in enumerate(GRAMS):
-        size = max(len(folded) - n + 1, 0)
-        code = np.zeros(size, np.uint32)
-        for j in range(n):
-            code |= folded[j : j + size] << np.uint32(8 * j)
-        out.append(((code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64) + k * BUCKETS)
-    return out
+def _buckets(folded: np.ndarray, k: int) -> np.ndarray:
+    """Bucket of the n-gram of the k-th length that starts at each byte."""
+    n = GRAMS[k]
+    size = max(len(folded) - n + 1, 0)
+    code = np.zeros(size, np.uint32)
+    for j in range(n):
+        code |= folded[j : j + size].astype(np.uint32) << np.uint32(8 * j)
+    code *= np.uint32(2654435761)
+    code >>= np.uint32(32 - BUCKET_BITS)
+    return code.view(np.int32) + np.int32(k * BUCKETS)
 
 
-def _ranges(offsets: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    begin = np.minimum(offsets[:-1], size)
-    return begin, np.clip(offsets[1:] - n + 1, begin, size)
+def gram_buckets(raw: np.ndarray) -> list[np.ndarray]:
+    folded = _FOLD[raw]
+    return [_buckets(folded, k) for k in range(len(GRAMS))]
 
 
 def averages(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Mean over each row's n-grams of the table's rows."""
     total = np.zeros((len(offsets) - 1, table.shape[1]))
     count = np.zeros(len(offsets) - 1)
-    for n, buckets in zip(GRAMS, gram_buckets(raw)):
-        begin, end = _ranges(offsets, n, len(buckets))
+    folded = _FOLD[raw]
+    for k, n in enumerate(GRAMS):
+        buckets = _buckets(folded, k)
+        begin = np.minimum(offsets[:-1], len(buckets))
+        end = np.clip(offsets[1:] - n + 1, begin, len(buckets))
         count += end - begin
         for c in range(table.shape[1]):
             run = np.zeros(len(buckets) + 1)
@@ -181,7 +185,7 @@ def _predictor(spark, model: Model):
         table = m.embedding @ m.weights if small else m.embedding
         raw, offsets = utf8(column)
         pred, score = np.full(len(column), len(m.langs)), np.zeros(len(column))
-        for a, b in steps(offsets):
+        for a, b in steps(offsets, PREDICT_BYTES):
             part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             mean = averages(part, at, table)
             if not m.langs:

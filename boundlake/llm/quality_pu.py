@@ -122,20 +122,20 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, size: int, rounds: int = 150) -
 
     A classifier of positives against unlabelled rows is fitted on one half; on
     the other half, P(u above t) / P(p above t) is at least the share for each
-    threshold t and near it where negatives have thinned out. The least ratio
-    over thresholds that keep most positives is taken, so that few rows decide
-    no part of it.
+    threshold t and near it where negatives have thinned out. Among thresholds
+    that keep most positives the median ratio is taken, as the least one would
+    follow the noise.
     """
     if len(p) < 20 or len(u) < 20:
         return 0.5
     half = lambda x, k: x[k::2]
     w, b = _descend(half(p, 0), half(u, 0), size, lambda fp, fu: (-_sigmoid(-fp) / len(fp), _sigmoid(fu) / len(fu)), rounds, 0.05, 1e-3)
     sp, su = _logits(half(p, 1), w, b), _logits(half(u, 1), w, b)
-    cuts = np.quantile(sp, np.linspace(0.0, 0.5, 101))
+    cuts = np.quantile(sp, np.linspace(0.02, 0.5, 97))
     above_p = (sp[None, :] >= cuts[:, None]).mean(axis=1)
     above_u = (su[None, :] >= cuts[:, None]).mean(axis=1)
     ratio = above_u / np.maximum(above_p, 1e-9)
-    return float(np.clip(ratio.min(), 0.02, 0.98))
+    return float(np.clip(np.median(ratio), 0.02, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 500, rate: float = 0.2) -> Model:
@@ -159,8 +159,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 500, rate: f
         # Below zero the negative part is pushed back up, and nothing else moves.
         return prior * _sigmoid(fp) / len(fp), gu - _sigmoid(fu) / len(fu)
 
-    w, b = _descend(p, u, size, gradient, rounds, rate, 2e-5)
-    return Model(edges, w, b, prior)
+    w, b = _descend(p, u, size, gradient, rounds, rate, 0.4 / len(positive))
+    # The mean score of unlabelled rows should be the prior; scores near 0 and 1 hardly move.
+    f, low, high = _logits(u, w, b), -20.0, 20.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _sigmoid(f + middle).mean() < prior else (low, middle)
+    return Model(edges, w, b + min(low, 0.0), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import zstandard
 
 #: Bytes of text that one step works on; a single longer document is one step.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Bytes hashed at a time inside a step, which bounds the wide temporaries.
 HASH_BYTES = 1 << 20
 
