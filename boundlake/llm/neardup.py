@@ -21,6 +21,8 @@ count as one document. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +49,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 SALT_ROWS = 200
 #: Ids are broadcast up to this number (about 32 bytes each), else shuffled.
 BROADCAST_IDS = 300_000
+#: Ratio of the sizes between one class of set sizes and the next.
+SIZE_STEP = 1.05
 _U = np.uint64
 
 
@@ -307,16 +311,26 @@ def _strangers(docs: DataFrame, starred: DataFrame, id_col: str, text_col: str):
         keys = known.where("strange").select("key").distinct()
         wanted = checkpointed(known.join(keys, "key", "left_semi").groupBy("id", "component").agg(F.max("strange").alias("strange")))
         rare = checkpointed(rarest(docs, wanted, id_col, text_col))
-        side = lambda k: rare.select("shingle", F.col("id").alias(f"i{k}"), F.col("component").alias(f"c{k}"), F.col("strange").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
-        once = "cx <> cy and (not sy or ix < iy)"
-        pairs = side("x").where("sx").join(side("y"), "shingle").where(once).where(DENOMINATOR * F.least("nx", "ny") >= NUMERATOR * F.greatest("nx", "ny"))
-        return pairs.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct()
+        side = lambda k, probe: rare.where(F.col("probe") == probe).select("shingle", "size", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "strange", "n", "shared", "place")))
+        once = "component_x <> component_y and (not strange_y or id_x < id_y)"
+        enough = (DENOMINATOR + NUMERATOR) * F.least("shared_x", "shared_y") >= NUMERATOR * (F.col("n_x") + F.col("n_y"))
+        # The shingle must be among the first n - overlap + 1 of both, for the overlap that both sizes ask.
+        overlap = F.ceil(NUMERATOR * (F.col("n_x") + F.col("n_y")) / (DENOMINATOR + NUMERATOR))
+        early = (F.col("place_x") <= F.col("n_x") - overlap) & (F.col("place_y") <= F.col("n_y") - overlap)
+        pairs = side("x", True).join(side("y", False), ["shingle", "size"]).where(once).where(enough & early)
+        return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
     return proposed
 
 
 def rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(shingle, id, component, strange, n): shared shingles among the rarest of each wanted set.
+    """(probe, shingle, size, id, component, strange, n, shared, place): rarest shared shingles of each wanted set.
+
+    ``shared`` counts the set's shingles that any other wanted document holds;
+    sets of n and m shingles that are similar enough share 3/7 of n + m, so both
+    need that many. A set is listed under its own class of sizes; a stranger also
+    probes each class that its shared shingles allow, with the shorter list that
+    the class's sizes allow.
 
     Blocks of documents ask the owners of hash ranges how many wanted documents
     hold each of their different shingles, one message for each owner, so a
@@ -331,7 +345,7 @@ def rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     none = {"ids": F.lit(None).cast(f"array<{kind}>"), "components": F.lit(None).cast(f"array<{kind}>"), "strange": F.lit(None).cast("array<boolean>")}
     answers = asked.groupBy("owner").applyInPandas(_holders, "block long, owner int, payload binary").withColumns(none)
     blocks = sets.mapInArrow(lambda it: _set_blocks(it, 0), own)
-    return blocks.unionByName(answers).groupBy("block").applyInPandas(_rare_in_block, f"shingle long, id {kind}, component {kind}, strange boolean, n long")
+    return blocks.unionByName(answers).groupBy("block").applyInPandas(_rare_in_block, f"probe boolean, shingle long, size int, id {kind}, component {kind}, strange boolean, n long, shared long, place long")
 
 
 def _packed_sets(batches):
@@ -390,16 +404,32 @@ def _rare_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
     held = np.concatenate([unpack(x)[0] for x in answers["payload"]]).astype(np.int64) if len(answers) else np.zeros(0, np.int64)
     if len(held) != len(hashes):
         raise RuntimeError("a block's answers are not whole")
-    out: list[list] = [[], [], [], [], []]
+    names = ("probe", "shingle", "size", "id", "component", "strange", "n", "shared", "place")
+    out: dict[str, list] = {k: [] for k in names}
     for ident, component, strange, found in zip(own["ids"], own["components"], own["strange"], own_sets):
         n = len(found)
         df = held[np.searchsorted(hashes, found)]
-        first = np.lexsort([found, df])[: n - -(-NUMERATOR * n // DENOMINATOR) + 1]
-        shared = found[first[df[first] > 1]].view(np.int64)
-        for values, value in zip(out[1:], (ident, component, strange, n)):
-            values += [value] * len(shared)
-        out[0].append(shared)
-    return pd.DataFrame({"shingle": np.concatenate(out[0]) if out[0] else np.zeros(0, np.int64), "id": out[1], "component": out[2], "strange": out[3], "n": out[4]})
+        order = np.lexsort([found, df])
+        alone, shared = int((df < 2).sum()), int((df > 1).sum())
+        lists = [(False, size_class(n), n - -(-NUMERATOR * n // DENOMINATOR) + 1)]
+        if strange:
+            least, most = -(-NUMERATOR * n // DENOMINATOR), min(DENOMINATOR * n // NUMERATOR, (DENOMINATOR + NUMERATOR) * shared // NUMERATOR - n)
+            for k in range(size_class(least), size_class(most) + 1 if most >= least else 0):
+                overlap = -(-NUMERATOR * (n + max(least, int(SIZE_STEP**k))) // (DENOMINATOR + NUMERATOR))
+                lists.append((True, k, n - overlap + 1))
+        for probe, k, length in lists:
+            some = found[order[alone:length]].view(np.int64)
+            out["shingle"].append(some)
+            out["place"] += range(alone, alone + len(some))
+            for name, value in zip(("probe", "size", "id", "component", "strange", "n", "shared"), (probe, k, ident, component, strange, n, shared)):
+                out[name] += [value] * len(some)
+    out["shingle"] = np.concatenate(out["shingle"]) if out["shingle"] else np.zeros(0, np.int64)
+    return pd.DataFrame(out, columns=list(names))
+
+
+def size_class(n: int) -> int:
+    """Class of set sizes that differ by about a twentieth."""
+    return int(math.log(n) / math.log(SIZE_STEP) + 1e-9) if n > 0 else 0
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
