@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch where the session doesn't say. Spark's own default of
+#: 10 000 makes batches of tens of MB from documents, several times over.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -18,6 +21,8 @@ def ship(spark: SparkSession) -> SparkSession:
     Spark's own file server hands the archive out, so no folder needs to be
     shared and executors that start later fetch it as well.
     """
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
