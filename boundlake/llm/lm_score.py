@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from .stores import checkpointed
-from .textnp import LOWER, NON_SPACE, mix, pack, steps, unpack, utf8, word_hashes, word_spans
+from .textnp import LOWER, NON_SPACE, gathered, mix, pack, steps, unpack, utf8, word_hashes, word_spans
 
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 6 << 20
 #: Roles of a document: scored only, counted, counted and predicted in EM.
 SCORED, MAIN, APART = 0, 1, 2
 END = np.uint64(0x51ED270B0E4D6A1F)
@@ -98,9 +98,9 @@ def _messages(number: int, kind: int, hashes: np.ndarray, main: np.ndarray, apar
 def _blocks(batches, owners: int, ask: bool):
     """Messages to owners, or the blocks' own rows, from (id, text, role) batches."""
     number = TaskContext.get().partitionId() << 24
-    for batch in batches:
+    for batch in gathered(batches, 1, BLOCK_BYTES):
         _, offsets = utf8(batch.column(1))
-        for a, b in steps(offsets, BLOCK_BYTES):
+        for a, b in steps(offsets, BLOCK_BYTES + BLOCK_BYTES // 2):
             words, ids, counts = tokens(batch.column(1).slice(a, b - a))
             role = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8)
             if ask:

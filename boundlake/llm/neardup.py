@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from .stores import checkpointed
-from .textnp import LOWER, NON_SPACE, mix, pack, steps, unpack, utf8, word_hashes, word_spans
+from .textnp import LOWER, NON_SPACE, gathered, mix, pack, steps, unpack, utf8, word_hashes, word_spans
 
 SHINGLE = 5
 #: Registers of a sketch and of a band. At similarity 0.75 a pair shares no
@@ -362,7 +362,7 @@ def _packed_sets(batches):
 def _set_blocks(batches, owners: int, most: int = 4 << 20):
     """Messages to ``owners``, or (0 owners) the blocks themselves; blocks of about ``most`` packed bytes."""
     number = TaskContext.get().partitionId() << 24
-    for batch in batches:
+    for batch in gathered(batches, 3, most):
         packed = batch.column(3).to_pylist()
         ends = np.cumsum([len(x) for x in packed])
         first = 0
