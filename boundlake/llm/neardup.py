@@ -261,26 +261,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = checkpointed(bands.join(shared, "key"))
     labels = None
-    links: DataFrame | None = None
     if not members.isEmpty():
         central = checkpointed(members.groupBy("id").agg(F.sum("size").alias("score")))
         scored = members.join(central, "id")
         leads = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("m"))).alias("best")).select("key", (-F.col("best.m")).alias("lead"), F.col("best.score").alias("lead_score"))
         starred = checkpointed(members.select("key", "id").join(leads, "key"))
         stars = checkpointed(starred.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands"), F.max("lead_score").alias("score")))
-        best = stars.groupBy("b").agg(F.max(F.struct("bands", "score", (-F.col("a")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), "b")
-        tried = checkpointed(hopeful(best, reps))
+        hoped = checkpointed(hopeful(stars.select("a", "b"), reps).join(stars, ["a", "b"]))
+        best = hoped.groupBy("b").agg(F.max(F.struct("bands", "score", (-F.col("a")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), "b")
+        tried = checkpointed(best)
         links = checkpointed(confirmed(docs, tried, id_col, text_col))
         labels = None if links.isEmpty() else components(links)
-        for proposed in (_stars_between(stars, best), _strangers(docs, starred, id_col, text_col)):
-            open_ = checkpointed(hopeful(proposed(labels).join(tried, ["a", "b"], "left_anti"), reps))
-            if open_.isEmpty():
-                continue
-            tried = tried.unionByName(open_)
+        # What the first stars left apart: their other stars, and strangers by rare shingles.
+        others = _labelled(hoped.select("a", "b"), labels).where("ca <> cb").select("a", "b")
+        rare = hopeful(_strangers(docs, starred, labels, id_col, text_col), reps)
+        open_ = checkpointed(others.unionByName(rare).join(tried, ["a", "b"], "left_anti").distinct())
+        if not open_.isEmpty():
             more = checkpointed(confirmed(docs, open_, id_col, text_col))
             if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
+                labels = components(links.unionByName(more))
     if labels is not None:
         classes = checkpointed(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("n", "fp1", "fp2", "rep", "component"))
     else:
@@ -290,13 +289,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _stars_between(stars: DataFrame, best: DataFrame):
-    """All other star pairs whose sides are not connected yet."""
-    rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
-    return lambda labels: _labelled(rest, labels).where("ca <> cb").select("a", "b")
-
-
-def _strangers(docs: DataFrame, starred: DataFrame, id_col: str, text_col: str):
+def _strangers(docs: DataFrame, starred: DataFrame, labels: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
     """Bucket members outside their star's component, with members that share a rare shingle.
 
     Sets this similar share a shingle among the rarest quarter of each, whatever
@@ -305,22 +298,19 @@ def _strangers(docs: DataFrame, starred: DataFrame, id_col: str, text_col: str):
     documents repeat come last and propose nothing.
     """
 
-    def proposed(labels: DataFrame | None) -> DataFrame:
-        known = _labelled(starred.select("key", F.col("lead").alias("a"), F.col("id").alias("b")), labels)
-        known = checkpointed(known.select("key", F.col("b").alias("id"), F.col("cb").alias("component"), (F.col("ca") != F.col("cb")).alias("strange")))
-        keys = known.where("strange").select("key").distinct()
-        wanted = checkpointed(known.join(keys, "key", "left_semi").groupBy("id", "component").agg(F.max("strange").alias("strange")))
-        rare = checkpointed(rarest(docs, wanted, id_col, text_col))
-        side = lambda k, probe: rare.where(F.col("probe") == probe).select("shingle", "size", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "strange", "n", "shared", "place")))
-        once = "component_x <> component_y and (not strange_y or id_x < id_y)"
-        enough = (DENOMINATOR + NUMERATOR) * F.least("shared_x", "shared_y") >= NUMERATOR * (F.col("n_x") + F.col("n_y"))
-        # The shingle must be among the first n - overlap + 1 of both, for the overlap that both sizes ask.
-        overlap = F.ceil(NUMERATOR * (F.col("n_x") + F.col("n_y")) / (DENOMINATOR + NUMERATOR))
-        early = (F.col("place_x") <= F.col("n_x") - overlap) & (F.col("place_y") <= F.col("n_y") - overlap)
-        pairs = side("x", True).join(side("y", False), ["shingle", "size"]).where(once).where(enough & early)
-        return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-
-    return proposed
+    known = _labelled(starred.select("key", F.col("lead").alias("a"), F.col("id").alias("b")), labels)
+    known = checkpointed(known.select("key", F.col("b").alias("id"), F.col("cb").alias("component"), (F.col("ca") != F.col("cb")).alias("strange")))
+    keys = known.where("strange").select("key").distinct()
+    wanted = checkpointed(known.join(keys, "key", "left_semi").groupBy("id", "component").agg(F.max("strange").alias("strange")))
+    rare = checkpointed(rarest(docs, wanted, id_col, text_col))
+    side = lambda k, probe: rare.where(F.col("probe") == probe).select("shingle", "size", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "strange", "n", "shared", "place")))
+    once = "component_x <> component_y and (not strange_y or id_x < id_y)"
+    enough = (DENOMINATOR + NUMERATOR) * F.least("shared_x", "shared_y") >= NUMERATOR * (F.col("n_x") + F.col("n_y"))
+    # The shingle must be among the first n - overlap + 1 of both, for the overlap that both sizes ask.
+    overlap = F.ceil(NUMERATOR * (F.col("n_x") + F.col("n_y")) / (DENOMINATOR + NUMERATOR))
+    early = (F.col("place_x") <= F.col("n_x") - overlap) & (F.col("place_y") <= F.col("n_y") - overlap)
+    pairs = side("x", True).join(side("y", False), ["shingle", "size"]).where(once).where(enough & early)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def rarest(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
