@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import program as pg
+from ..stores import checkpointed
 from . import verdict as v
 
 
@@ -26,7 +27,8 @@ def sivia(boxes: DataFrame, root: pg.Node, symbols: list[str], epsilon: float =
         judged = pg.evaluate(open_, root, columns, ks)
         status = v.decide(F.col("ms_lo"), F.col("ms_hi"), F.col("residual"))
         status = F.when(status == "SAFE", "safe").when(status == "FAIL", "fail").when(width < epsilon, "unknown").otherwise("open")
-        judged = judged.withColumn("status", status).drop("ms_lo", "ms_hi", "residual").persist()
+        judged = judged.withColumn("status", status).drop("ms_lo", "ms_hi", "residual")
+        judged = checkpointed(judged)
         settled = judged.where("status <> 'open'")
         done = settled if done is None else done.unionByName(settled)
         left = judged.where("status = 'open'").drop("status")

@@ -9,39 +9,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ..stores import checkpointed
 
 
 def reach(edges: DataFrame, starts: DataFrame, most: int = 3, src: str = "src", dst: str = "dst") -> DataFrame:
     """(start, node, depth) of everything within ``most`` steps, each at its least depth.
 
-    One join for each level; nodes that are already known are not followed again.
+    One join for each level, until a level finds nothing new; nodes that are
+    already known are not followed again.
     """
     known = starts.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("depth"))
     front = known
     step = edges.select(F.col(src).alias("node"), F.col(dst).alias("next"))
     for depth in range(1, most + 1):
         found = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        front = found.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        front = checkpointed(found.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
         known = known.unionByName(front)
     return known
 
 
 def affected(edges: DataFrame, starts: DataFrame, most: int = 50, src: str = "src", dst: str = "dst") -> DataFrame:
     """Everything that depends on the starts, by reversed edges; a start only if it is on a cycle."""
-    return reach(edges.select(F.col(dst).alias("src"), F.col(src).alias("dst")), starts, most).where("depth > 0")
+    back = edges.select(F.col(dst).alias("src"), F.col(src).alias("dst"))
+    found = reach(back, starts, most)
+    closing = found.join(back.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").where("next = start")
+    loops = closing.groupBy("start").agg((F.min("depth") + 1).alias("depth")).select("start", F.col("start").alias("node"), "depth")
+    return found.where("depth > 0").unionByName(loops)
 
 
 def topological_levels(edges: DataFrame, most: int = 100, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, level): longest path from a source; nodes on or behind a cycle get level -1."""
-    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-    left = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    e = checkpointed(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    left = checkpointed(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     out = None
     for level in range(most):
         blocked = e.select(F.col("dst").alias("node")).distinct()
-        free = left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level))
+        free = checkpointed(left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)))
         out = free if out is None else out.unionByName(free)
-        left = left.join(blocked, "node", "left_semi").persist()
-        e = e.join(free.select(F.col("node").alias("src")), "src", "left_anti").persist()
+        left = checkpointed(left.join(blocked, "node", "left_semi"))
+        e = checkpointed(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
         if left.isEmpty():
             return out
         if free.isEmpty():

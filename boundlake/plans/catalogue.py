@@ -117,7 +117,7 @@ def run_sql(rel: float) -> str:
 FROM {margin_sql(rel)} AS x GROUP BY l_orderkey, l_linenumber)"""
 
 
-DIFF = f"""SELECT n.cell, o.verdict AS old_verdict, n.verdict AS new_verdict, round(n.cs - o.cs, 6) AS delta_cs,
+DIFF = f"""SELECT n.cell, o.verdict AS old_verdict, n.verdict AS new_verdict, round(n.cs - o.cs, 9) AS delta_cs,
 CASE WHEN o.verdict = n.verdict THEN 'UNCHANGED' ELSE o.verdict || '_TO_' || n.verdict END AS transition,
 CASE WHEN n.cs - o.cs < -0.05 THEN 'improved' WHEN n.cs - o.cs > 0.05 THEN 'regressed' ELSE 'stable' END AS trend
 FROM {run_sql(0.01)} AS n LEFT JOIN {run_sql(0.05)} AS o ON n.cell = o.cell"""
@@ -126,7 +126,7 @@ FROM {run_sql(0.01)} AS n LEFT JOIN {run_sql(0.05)} AS o ON n.cell = o.cell"""
 @query(DIFF)
 def run_diff(spark, sf_dir):
     d = runs.diff(run_targets(spark, sf_dir, 0.05), run_targets(spark, sf_dir, 0.01))
-    return d.select("cell", "old_verdict", "new_verdict", r("delta_cs").alias("delta_cs"), "transition", "trend")
+    return d.select("cell", "old_verdict", "new_verdict", r("delta_cs", 9).alias("delta_cs"), "transition", "trend")
 
 
 @query(f"SELECT count(*) FILTER (WHERE trend = 'improved') AS improved, count(*) FILTER (WHERE trend = 'regressed') AS regressed, count(*) FILTER (WHERE trend = 'stable') AS stable, bool_and(new_verdict = 'SAFE') AS safe FROM ({DIFF}) AS d")

@@ -42,6 +42,7 @@ def compare(spark, db, query, sql, sf_dir):
     if sorted(df.columns) != sorted(names):
         return f"columns {df.columns} / {names}", took
     if mine != other:
-        a, b = [x for x in mine if x not in set(other)][:2], [x for x in other if x not in set(mine)][:2]
+        here, there = set(mine), set(other)
+        a, b = [x for x in mine if x not in there][:2], [x for x in other if x not in here][:2]
         return f"{len(mine)} / {len(other)} rows; {sorted(names)} mine {a} other {b}", took
     return "", took
