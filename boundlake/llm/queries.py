@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html_main, langid, lm_score, neardup, quality_pu, quality_rules, secret_scan
+from . import decontaminate, html_main, langid, lm_score, neardup, oracles, quality_pu, quality_rules, secret_scan
 from .packing import pack
 from .tokens import count_tokens
 
@@ -107,6 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": oracles.DECONTAMINATION, "op9_near_dedup": oracles.NEAR_DEDUP}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

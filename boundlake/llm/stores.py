@@ -1,27 +1,14 @@
-"""Intermediate tables in the folder that all machines of the cluster share."""
+"""Tables between the operators' stages, in the folder that all machines share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..stores import checkpointed, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="boundlake-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by an eager, reliable checkpoint; survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "shared_folder", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
