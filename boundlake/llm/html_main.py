@@ -7,7 +7,8 @@ layouts, keeps or drops it. Kept blocks are joined by two newlines.
 
 Null or empty html gives an empty text. Pages are read whole, however broken:
 unclosed elements end with their container, an unclosed tag or comment takes
-the rest of the page. Repeated rows are each extracted.
+the rest of the page; a self-closed svg or math is empty. Repeated rows are
+each extracted.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ..ship import ship
 
 # Elements by what they do to the text.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "canvas", "object", "title", "select", "noembed", "noframes", "xmp"}
+#: Those that a slash at the end of their tag closes.
+FOREIGN = {"svg", "math"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -42,6 +45,8 @@ MAIN_WORDS = "article content entry main post story body text".split()
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Attributes that end with a slash of the tag, not of an unquoted value.
+_CLOSED = re.compile(r"""(?:[^"'=]|=\s*(?:"[^"]*"|'[^']*'|[^\s"'][^\s]*(?=\s))|"[^"]*"|'[^']*')*+(?<=/)""")
 _WORDS = re.compile(r"[a-z]+")
 _BOILER, _MAIN = frozenset(BOILER_WORDS), frozenset(MAIN_WORDS)
 #: "with-sidebar" and the like say what stands elsewhere.
@@ -167,6 +172,8 @@ def blocks(page: str) -> list[Block]:
         closing, tag = name.group(1), name.group(2).lower()
         attributes = page[name.end() : end - 1]
         at = end
+        if not closing and tag in FOREIGN and _CLOSED.fullmatch(attributes):
+            continue
         if not closing and tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, end)
             stop = page.find(">", close.end()) if close else -1

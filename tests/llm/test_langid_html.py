@@ -64,6 +64,19 @@ def test_broken_pages_are_taken():
     assert html_main.main_blocks("<p>a &lt; b</p>", tree) == ["a < b"]
 
 
+def test_self_closed_foreign_elements_are_empty():
+    tree = html_main.default_tree()
+    article = "<article><h1>Head of it</h1><p>The body of the page with some words.</p></article>"
+    want = ["Head of it", "The body of the page with some words."]
+    for tag in ('<svg class="icon"/>', "<svg/>", "<SVG class='a' />", "<math display=block />", '<math a="b>c"/>', '<svg class=a b="c"/>'):
+        assert html_main.main_blocks(f"<nav>menu {tag}</nav>{article}", tree) == want
+        assert html_main.main_blocks(f"<nav>menu {tag}</nav>{article}<svg><text>no</text></svg>", tree) == want
+    # A slash in an unquoted value does not close, nor does one on other elements.
+    for tag in ("<svg class=a/>", "<svg a= />", '<svg a="/">', "<svg a='/'>", "<object/>", "<canvas />"):
+        name = tag[1:].partition(" ")[0].strip("/>")
+        assert html_main.main_blocks(f"<nav>menu</nav>{tag}lost</{name}>{article}", tree) == want
+
+
 def test_table_is_learned():
     rows_, labels = html_main.labelled_table()
     assert (html_main.grow(rows_, labels).keep(rows_) == labels).mean() > 0.97
