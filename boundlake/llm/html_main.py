@@ -78,6 +78,8 @@ class _Open:
 @dataclass
 class _State:
     stack: list[_Open] = field(default_factory=list)
+    #: Places of each tag's open elements in the stack, ascending.
+    places: dict[str, list[int]] = field(default_factory=dict)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -103,8 +105,12 @@ class _State:
             new.main = True
         if attributes:
             self._attributes(new, attributes)
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append(new)
 
+    def pop(self) -> None:
+        self.places[self.stack.pop().tag].pop()
+
     @staticmethod
     def _attributes(new: _Open, attributes: str) -> None:
         for name, a, b, c in _ATTR.findall(attributes):
@@ -127,10 +133,10 @@ class _State:
                 new.label = value == "main"
 
     def close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, max(len(self.stack) - 200, -1), -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
+        """End the innermost open element of the tag, at any depth, and all inside it."""
+        if found := self.places.get(tag):
+            for _ in range(len(self.stack) - found[-1]):
+                self.pop()
 
 
 def blocks(page: str) -> list[Block]:
@@ -194,9 +200,9 @@ def blocks(page: str) -> list[Block]:
         else:
             if tag in CLOSED_BY:
                 while s.stack and s.stack[-1].tag in CLOSED_BY[tag].split():
-                    s.stack.pop()
+                    s.pop()
             elif s.stack and s.stack[-1].tag == "p":
-                s.stack.pop()
+                s.pop()
             s.open(tag, attributes)
     s.flush()
     return s.blocks

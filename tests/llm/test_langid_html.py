@@ -77,6 +77,14 @@ def test_self_closed_foreign_elements_are_empty():
         assert html_main.main_blocks(f"<nav>menu</nav>{tag}lost</{name}>{article}", tree) == want
 
 
+def test_elements_close_at_any_depth():
+    tree = html_main.default_tree()
+    for n in (95, 100, 5000):
+        page = "<nav><ul>" + "<li><div>" * n + "menu</nav><article><h1>Head of it</h1><p>The body of the page with some words.</p></article>"
+        assert html_main.main_blocks(page, tree) == ["Head of it", "The body of the page with some words."]
+    assert [b.boiler for b in html_main.blocks("<nav>" + "<div>" * 300 + "</b></section>x</nav>y</div>z")] == [True, False, False]
+
+
 def test_table_is_learned():
     rows_, labels = html_main.labelled_table()
     assert (html_main.grow(rows_, labels).keep(rows_) == labels).mean() > 0.97
