@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,27 +12,35 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from ..stores import checkpointed
 
+#: Levels after which the union of all levels is written as one table, so that plans stay small.
+FOLD = 32
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = 3, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(start, node, depth) of everything within ``most`` steps, each at its least depth.
+
+def reach(edges: DataFrame, starts: DataFrame, most: int | None = 3, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(start, node, depth) of everything within ``most`` steps (None: at any depth), each at its least depth.
 
     One join for each level, until a level finds nothing new; nodes that are
-    already known are not followed again.
+    already known are not followed again, so the search ends on cycles too.
     """
     known = starts.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("depth"))
     front = known
     step = edges.select(F.col(src).alias("node"), F.col(dst).alias("next"))
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1) if most is None else range(1, most + 1):
         found = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
         front = checkpointed(found.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         known = known.unionByName(front)
+        if depth % FOLD == 0:
+            known = checkpointed(known.repartition("start", "node"))
     return known
 
 
-def affected(edges: DataFrame, starts: DataFrame, most: int = 50, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Everything that depends on the starts, by reversed edges; a start only if it is on a cycle."""
+def affected(edges: DataFrame, starts: DataFrame, most: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Everything that depends on the starts, by reversed edges; a start only if it is on a cycle.
+
+    Dependants are followed to the end, or within ``most`` steps where given.
+    """
     back = edges.select(F.col(dst).alias("src"), F.col(src).alias("dst"))
     found = reach(back, starts, most)
     closing = found.join(back.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").where("next = start")
@@ -39,12 +48,17 @@ def affected(edges: DataFrame, starts: DataFrame, most: int = 50, src: str = "sr
     return found.where("depth > 0").unionByName(loops)
 
 
-def topological_levels(edges: DataFrame, most: int = 100, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, level): longest path from a source; nodes on or behind a cycle get level -1."""
+def topological_levels(edges: DataFrame, most: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, level): longest path from a source; nodes on or behind a cycle get level -1.
+
+    As many levels as there are; more than ``most``, where given, raise an error.
+    """
     e = checkpointed(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
     left = checkpointed(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     out = None
-    for level in range(most):
+    for level in itertools.count():
+        if level == most:
+            raise RuntimeError(f"the graph has more than {most} levels")
         blocked = e.select(F.col("dst").alias("node")).distinct()
         free = checkpointed(left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)))
         out = free if out is None else out.unionByName(free)
@@ -54,6 +68,8 @@ def topological_levels(edges: DataFrame, most: int = 100, src: str = "src", dst:
             return out
         if free.isEmpty():
             break
+        if level % FOLD == FOLD - 1:
+            out = checkpointed(out.repartition("node"))
     return out.unionByName(left.withColumn("level", F.lit(-1)))
 
 

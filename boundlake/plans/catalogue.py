@@ -524,7 +524,7 @@ def dep_reach(spark, sf_dir):
 @query("SELECT 'r' || n_regionkey AS start, 'n' || n_nationkey AS node, CAST(1 AS BIGINT) AS depth FROM nation UNION ALL SELECT 'r' || n_regionkey, 's' || s_suppkey, CAST(2 AS BIGINT) FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def dep_affected(spark, sf_dir):
     starts = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
-    return structure.affected(tree_edges(spark, sf_dir), starts, 4).withColumn("depth", big("depth"))
+    return structure.affected(tree_edges(spark, sf_dir), starts).withColumn("depth", big("depth"))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_EDGES} AS q), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), t AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT dst FROM e) UNION SELECT e.dst, t.level + 1 FROM t JOIN e ON t.node = e.src)

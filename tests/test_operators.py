@@ -65,6 +65,15 @@ def test_graph_and_glue(spark):
     assert h == {"p": (1, True), "q": (1, False), "t": (0, False), "w": (1, True)}
 
 
+def test_long_chains_are_followed_to_the_end(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(149)], "src int, dst int").coalesce(1)
+    assert {r.node: r.level for r in structure.topological_levels(e).collect()} == {i: i for i in range(150)}
+    got = structure.affected(e, spark.createDataFrame([(149,)], "node int")).collect()
+    assert {r.node: r.depth for r in got} == {i: 149 - i for i in range(149)} and len(got) == 149
+    with pytest.raises(RuntimeError):
+        structure.topological_levels(e, 2)
+
+
 def test_merkle(spark):
     leaves = [b"a", b"b", b"c", b"d", b"e"]
     root = structure.merkle_root(leaves)
