@@ -151,6 +151,12 @@ def bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0).astype(np.int64)
 
 
+def _totals(parts: list[np.ndarray]) -> np.ndarray:
+    """Totals in one array, of 32 bits only where the sum of two of them fits too."""
+    kind = np.int32 if all(x.max(initial=0) < 1 << 30 for x in parts) else np.int64
+    return np.concatenate([x.astype(kind) for x in parts])
+
+
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     """One block with its answers: counts at every token, and the EM histogram."""
     own = pdf[pdf["kind"] == 2].iloc[0]
@@ -161,7 +167,7 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     totals = []
     for kind in (0, 1):
         got = [unpack(x) for x in answers.loc[answers["kind"] == kind, "payload"]]
-        totals.append([np.concatenate([x[j].astype(np.int32) for x in got]) for j in (0, 1)])
+        totals.append([_totals([x[j] for x in got]) for j in (0, 1)])
         del got
     fresh = int(answers.loc[answers["kind"] == 0, "fresh"].sum())
     del answers

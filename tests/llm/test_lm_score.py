@@ -2,6 +2,8 @@ import collections
 import math
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,22 @@ def test_weights_are_distributions():
     assert len(weights) == 64 and all(abs(sum(w) - 1) < 1e-9 and w[2] > 0 for w in weights.values())
 
 
+@pytest.mark.parametrize("main, apart", [(5, 7), (3 << 30, 0), ((1 << 31) - 1, (1 << 31) - 1), (1 << 40, 3), (0, 1 << 33)])
+def test_totals_past_32_bits(main, apart):
+    words, ids, counts = lm_score.tokens(pa.array(["a b a", ""]))
+    end = int(np.searchsorted(words, lm_score.END))
+    pairs = len(set(zip(lm_score.contexts(ids, end).tolist(), ids.tolist())))
+    role = np.array([lm_score.APART, lm_score.SCORED], np.uint8)
+    own = pack(counts.astype(np.int64), role, np.diff(words >> np.uint64(lm_score.WORD_SHIFT), prepend=np.uint64(0)), ids.astype(np.int64), np.array([end]))
+    answers = [pack(np.full(n, main), np.full(n, apart)) for n in (len(words), pairs)]
+    pdf = pd.DataFrame({"block": 0, "kind": [2, 0, 1], "owner": 0, "payload": [own, *answers], "fresh": 0, "ids": [[1, 2], None, None]})
+    found = lm_score._merged(pdf)
+    _, _, _, uni, pair, _ = unpack(found["payload"][0])
+    assert len(uni) == len(words) and len(pair) == len(ids)
+    assert set(uni.tolist()) == set(pair.tolist()) == {main + apart}
+    assert {c[0] for c in found["cells"][0]} == {int(lm_score.bucket(np.array([main]))[0])}
+
+
 def test_packing_is_lossless():
     arrays = [np.array([], np.int64), np.array([1, 70000, 3], np.int64), np.array([2**63, 5], np.uint64), np.arange(300, dtype=np.uint8)]
     assert all((a == b).all() for a, b in zip(arrays, unpack(pack(*arrays))))
