@@ -53,13 +53,15 @@ class Block:
         keyed = np.column_stack([grid, size])
         keyed, which = np.unique(keyed, axis=0, return_inverse=True) if len(keyed) else (keyed, np.zeros(0, np.int64))
         self.grid, self.size = keyed[:, :window], keyed[:, window]
-        # The items of each different window, each with its first place there.
-        order = np.lexsort([at, item, which])
-        w, i = which[order], item[order]
-        keep = np.ones(len(order), bool)
-        keep[1:] = (w[1:] != w[:-1]) | (i[1:] != i[:-1])
-        self.item, self.at = i[keep], at[order][keep]
-        self.first = np.searchsorted(w[keep], np.arange(len(keyed) + 1))
+        # All places of each different window, as (window and the word beside it, item, place): first by the word before, then by the word after.
+        before = np.where(at > 0, padded[first[item] + at - 1], 0)
+        after = np.where(at + size < counts[item], padded[first[item] + at + size], 0)
+        self.sides = []
+        for beside in (before, after):
+            key = (which.astype(np.int64) << BITS) | beside
+            order = np.argsort(key, kind="stable")
+            self.sides.append((key[order], item[order], at[order]))
+        self.first = np.searchsorted(np.sort(which), np.arange(len(keyed) + 1))
         self.least = int(self.size.min()) if len(self.size) else 0
 
 
@@ -125,20 +127,27 @@ def search(block: Block, column: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray
     window = np.repeat(np.arange(len(found)), found)
     inside = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)
     place = suffix[order[lo[window] + inside]]
-    many = block.first[window + 1] - block.first[window]
-    pair = np.repeat(block.first[window], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    place, size = np.repeat(place, many), np.repeat(block.size[window], many)
-    item, item_at = block.item[pair], block.at[pair]
-    # From places in the padded text to rows and words of rows.
-    row = np.searchsorted(first[1:] + np.arange(1, len(counts) + 1), place, side="right")
-    word = place - row - first[row]
-    order = np.lexsort([word, word - item_at, item, row])
-    row, item, item_at, word, size = (x[order] for x in (row, item, item_at, word, size))
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (word[1:] != word[:-1] + 1) | (item_at[1:] != item_at[:-1] + 1)
-    begin = np.flatnonzero(new)
-    last = np.concatenate([begin[1:], [len(row)]]) - 1
-    return counts, (row[begin], item[begin], item_at[begin], word[begin], word[last[: len(begin)]] + size[last[: len(begin)]] - word[begin])
+    size = block.size[window]
+    # A longest match begins at a window whose word before differs on both sides, and ends at one whose word after
+    # does; a 0 is an end of the text or a word that no item has. Only these are listed, not all pairs of places.
+    ends = []
+    for (key, items_, at_), beside in zip(block.sides, (text[place - 1], text[place + size])):
+        own = (window << BITS) | beside
+        low, up = block.first[window], block.first[window + 1]
+        same, over = (np.where(beside > 0, np.searchsorted(key, own, side=k), low) for k in ("left", "right"))
+        many = up - over + same - low
+        pair = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pair = np.where(pair < np.repeat(same - low, many), pair, pair + np.repeat(over - same, many)) + np.repeat(low, many)
+        item, item_at = items_[pair], at_[pair]
+        # From places in the padded text to rows and words of rows.
+        spot = np.repeat(place, many)
+        row = np.searchsorted(first[1:] + np.arange(1, len(counts) + 1), spot, side="right")
+        word = spot - row - first[row]
+        order = np.lexsort([word, word - item_at, item, row])
+        ends.append([x[order] for x in (row, item, item_at, word, word + np.repeat(size, many))])
+    # In this order the n-th beginning and the n-th end are of one match.
+    (row, item, item_at, word, _), (*_, stop) = ends
+    return counts, (row, item, item_at, word, stop - word)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[pa.Table]:
@@ -171,7 +180,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     """(id, n_words, matches) of every row: longest verbatim matches and their places.
 
     Places and lengths count words. An item that holds a window twice is
-    reported at the first place.
+    reported at each place.
     """
     spark = ship(docs.sparkSession)
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
