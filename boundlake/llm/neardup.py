@@ -4,7 +4,9 @@ A document is the set of its different 5-word shingles. Its sketch deals the
 shingle hashes to buckets and keeps for each bucket's least hash the number of
 leading zeros and a few bits of mantissa; empty buckets borrow from others.
 Bands of registers propose pairs, a collision-corrected estimate of the Jaccard
-similarity drops hopeless ones, and the full sets confirm the rest.
+similarity drops hopeless ones, and the full sets confirm the rest. Sets of few
+shingles, whose registers hang together, are also proposed by the subsets that
+similar ones share, so that none of their pairs is left to chance.
 
 How groups are kept small: exact copies are one class and only its least id
 goes on. Within a band's bucket only stars are proposed: every member with the
@@ -21,6 +23,7 @@ count as one document. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -36,7 +39,8 @@ from .textnp import LOWER, NON_SPACE, gathered, mix, pack, steps, unpack, utf8,
 
 SHINGLE = 5
 #: Registers of a sketch and of a band. At similarity 0.75 a pair shares no
-#: band with a chance of (1 - 0.75**4)**48, about one in 80 million.
+#: band with a chance of (1 - 0.75**4)**48, about one in 80 million, if
+#: registers are independent; those of tiny sets are borrowed from a few.
 BUCKETS, ROWS = 192, 4
 BANDS = BUCKETS // ROWS
 ZERO_BITS, MANTISSA_BITS = 6, 10
@@ -45,6 +49,8 @@ EMPTY = np.uint16(0xFFFF)
 COLLISION = 1 / 3 / (1 << MANTISSA_BITS)
 #: Similarity as a fraction, compared in whole numbers.
 NUMERATOR, DENOMINATOR = 75, 100
+#: Largest set that is also proposed by its subsets.
+SMALL = 8
 #: Members that meet one copy of their star's centre.
 SALT_ROWS = 200
 #: Ids are broadcast up to this number (about 32 bytes each), else shuffled.
@@ -130,8 +136,31 @@ def densified(found: np.ndarray, tries: int = 24) -> np.ndarray:
     return out
 
 
+def shared_sizes(n: int) -> list[int]:
+    """Least numbers of shingles that a set of n shares with similar sets of up to ``SMALL``."""
+    least = {m: -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR)) for m in range(1, SMALL + 1)}
+    return sorted({k for m, k in least.items() if k <= min(n, m) and (n != m or k < n)})
+
+
+#: For each small size, the subsets of each of these sizes by their members' places.
+SUBSETS = {n: [np.array(list(itertools.combinations(range(n), k))) for k in shared_sizes(n)] for n in range(1, SMALL + 1)}
+
+
+def subset_keys(hashes: np.ndarray, begin: np.ndarray) -> pa.ListArray:
+    """Keys of each small set, of which any two similar ones share at least one; none for other sets."""
+    sizes = np.diff(begin)
+    mixed = mix(hashes ^ _U(0xC2B2AE3D27D4EB4F))
+    out, lengths = [np.zeros(0, _U)], np.zeros(len(sizes), np.int32)
+    for i in np.flatnonzero((sizes > 0) & (sizes <= SMALL)):
+        own = mixed[begin[i] : begin[i + 1]]
+        for places in SUBSETS[int(sizes[i])]:
+            out.append(mix(own[places].sum(axis=1, dtype=_U) ^ _U(places.shape[1])))
+            lengths[i] += len(places)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate(out).view(np.int64)))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, fp1, fp2, sketch): set size, 128-bit set fingerprint and dense registers."""
+    """(id, n, fp1, fp2, sketch, subsets): set size, 128-bit set fingerprint, dense registers and keys of small sets."""
 
     def run(batches):
         for batch in batches:
@@ -146,11 +175,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sums.append((run_[begin[1:]] - run_[begin[:-1]]).view(np.int64))
                 dense = densified(registers(hashes, begin))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(begin)), pa.array(sums[0]), pa.array(sums[1]), pa.array([x.tobytes() for x in dense], pa.binary())],
-                    names=["id", "n", "fp1", "fp2", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(begin)), pa.array(sums[0]), pa.array(sums[1]), pa.array([x.tobytes() for x in dense], pa.binary()), subset_keys(hashes, begin)],
+                    names=["id", "n", "fp1", "fp2", "sketch", "subsets"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n long, fp1 long, fp2 long, sketch binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n long, fp1 long, fp2 long, sketch binary, subsets array<long>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -255,9 +284,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ship(docs.sparkSession)
     sketch = checkpointed(sketches(docs, id_col, text_col))
     classes = checkpointed(sketch.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")))
-    reps = checkpointed(sketch.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch"))
+    reps = checkpointed(sketch.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch", "subsets"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sketch"), k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    bands = reps.select("id", F.explode(keys).alias("key"))
+    bands = reps.select("id", F.explode(F.concat(keys, "subsets")).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = checkpointed(bands.join(shared, "key"))
     labels = None

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from boundlake.llm import neardup
+from boundlake.llm.textnp import utf8
 
 from .common import blank_words, docs, empty, lower, rows
 
@@ -69,6 +71,33 @@ def test_components_of_planted_groups(spark, seed):
     compare(spark, list(enumerate(texts)))
 
 
+def test_short_texts_that_share_no_band_are_linked(spark):
+    texts = []
+    for i in (12251, 18606, 23456, 33831, 56855, 112740):  # found among 400 000
+        words = [f"n{i}x{k}" for k in range(8)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    hashes, begin = neardup.shingles(*utf8(pa.array(texts)))
+    bands = neardup.densified(neardup.registers(hashes, begin)).reshape(-1, 2, neardup.BANDS, neardup.ROWS)
+    assert not (bands[:, 0] == bands[:, 1]).all(axis=2).any()
+    compare(spark, list(enumerate(texts)))
+
+
+def test_similar_small_sets_share_a_subset():
+    rng, pool = random.Random(3), np.random.default_rng(3).integers(0, 2**64, 12, dtype=np.uint64)
+    small = [np.sort(pool[rng.sample(range(12), rng.randint(0, 9))]) for _ in range(1500)]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in small])])
+    keys = [set(x) for x in neardup.subset_keys(np.concatenate(small), begin).to_pylist()]
+    assert all(not k for k, x in zip(keys, small) if len(x) > neardup.SMALL)
+    seen = set()
+    for i, a in enumerate(small):
+        for j, b in enumerate(small[:i]):
+            both = len(np.intersect1d(a, b, assume_unique=True)) if abs(len(a) - len(b)) < 3 else 0
+            if 0 < max(len(a), len(b)) <= 8 and 100 * both >= 75 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+                assert keys[i] & keys[j]
+                seen.add(tuple(sorted((len(a), len(b)))))
+    assert seen == {(3, 4), (4, 5), (5, 6), (6, 7), (6, 8), (7, 7), (7, 8), (8, 8)}
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**64, 6000, dtype=np.uint64)
