@@ -85,7 +85,7 @@ def construct(formula: Column) -> Column:
     )
 
 
-def coverage(cells: DataFrame, workbook: str, formula: str, samples: int = 50) -> DataFrame:
+def coverage(cells: DataFrame, workbook: str, formula: str) -> DataFrame:
     """Ledger of each workbook: cells, formulas, unsupported ones, confidence."""
     reason = construct(F.col(formula))
     marked = cells.withColumn("_reason", reason)

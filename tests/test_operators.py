@@ -74,6 +74,13 @@ def test_long_chains_are_followed_to_the_end(spark):
         structure.topological_levels(e, 2)
 
 
+def test_coverage_has_no_unused_parameter(spark):
+    cells = spark.createDataFrame([("w", "=A1+1"), ("w", "=VLOOKUP(A1,B1:C9,2)"), ("w", None)], "w string, f string")
+    assert runs.coverage(cells, "w", "f").first().asDict() == {"w": "w", "cells": 3, "formulas": 2, "unsupported": 1, "confidence": "low"}
+    with pytest.raises(TypeError):
+        runs.coverage(cells, "w", "f", samples=50)
+
+
 def test_merkle(spark):
     leaves = [b"a", b"b", b"c", b"d", b"e"]
     root = structure.merkle_root(leaves)
