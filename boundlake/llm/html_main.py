@@ -1,9 +1,12 @@
 """Main text of web pages from flat text blocks and a small decision tree.
 
 A page becomes a flat list of text blocks. Each block is described by its word
-count and link density, those of its neighbours, and what its open elements
-say about their role; a decision tree, trained on a small labelled table of
-layouts, keeps or drops it. Kept blocks are joined by two newlines.
+count and link density, those of its neighbours and of its siblings, its kind,
+and weak hints: what its open elements' tags and class words say of their role
+and how much of the page lies inside them. A decision tree keeps or drops it.
+It is trained on a small labelled table of layouts in which tags and class
+words are right, missing or wrong whatever the label is, so that no word of the
+list decides alone. Kept blocks are joined by two newlines.
 
 Null or empty html gives an empty text. Pages are read whole, however broken:
 unclosed elements end with their container, an unclosed tag or comment takes
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import html as entities
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -33,13 +37,16 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 MAIN_TAGS = {"article", "main"}
+BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BOILER_WORDS = (
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies "
-    "disqus donate dropdown footer footnav form gdpr header login masthead menu meta modal nav navbar navigation newsletter "
-    "notice notices notification outbrain pager paging pagination popup promo promotion promoted related recommended reply replies respond search "
-    "share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar topbar widget alert privacy legal copyright"
+    "ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "disqus dropdown footer footnav gdpr masthead menu nav navbar navigation newsletter "
+    "notification outbrain pager paging pagination popup promo promotion promoted recommended reply replies respond "
+    "sharing sidebar signup sponsor sponsored subscribe taboola"
 ).split()
+#: Words that pages also give to the frames of articles.
+LOOSE_WORDS = "alert banner byline copyright donate form header legal login meta modal notice notices privacy related search share skip social tags toolbar topbar widget".split()
 MAIN_WORDS = "article content entry main post story body text".split()
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -48,31 +55,53 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 #: Attributes that end with a slash of the tag, not of an unquoted value.
 _CLOSED = re.compile(r"""(?:[^"'=]|=\s*(?:"[^"]*"|'[^']*'|[^\s"'][^\s]*(?=\s))|"[^"]*"|'[^']*')*+(?<=/)""")
 _WORDS = re.compile(r"[a-z]+")
-_BOILER, _MAIN = frozenset(BOILER_WORDS), frozenset(MAIN_WORDS)
+_BOILER, _LOOSE, _MAIN = frozenset(BOILER_WORDS), frozenset(LOOSE_WORDS), frozenset(MAIN_WORDS)
 #: "with-sidebar" and the like say what stands elsewhere.
 _ABOUT = frozenset(("with", "has", "no", "without"))
-FEATURES = ("words", "links", "previous_words", "previous_links", "next_words", "next_links", "boiler", "main", "heading", "paragraph", "item", "hint")
+FEATURES = (
+    "words", "links", "previous_words", "previous_links", "next_words", "next_links", "sibling_words", "sibling_links", "sibling_share",
+    "heading", "paragraph", "item", "named", "loose", "tagged", "region_share", "main", "hint",
+)
 
 
 @dataclass
 class Block:
+    """A text block: its words, those in links, and the places of its element's parent and of its region."""
+
     text: str
     words: int
     linked: int
-    boiler: bool
-    main: bool
     kind: str
+    parent: int
+    region: int
+    named: bool
+    loose: bool
+    tagged: bool
+    main: bool
     hint: bool
-    label: bool = False
+
+    @property
+    def boiler(self) -> bool:
+        """Whether an element around it hints at boilerplate."""
+        return self.named or self.loose or self.tagged
 
 
 @dataclass
 class _Open:
+    """An open element; ``region`` is the innermost element around it whose tag or words hint at boilerplate."""
+
     tag: str
-    boiler: bool = False
+    place: int = 0
+    parent: int = 0
+    region: int = 0
+    named: bool = False
+    loose: bool = False
+    tagged: bool = False
     main: bool = False
     hint: bool = False
-    label: bool = False
+
+
+_PAGE = _Open("")
 
 
 @dataclass
@@ -81,6 +110,8 @@ class _State:
     #: Places of each tag's open elements in the stack, ascending.
     places: dict[str, list[int]] = field(default_factory=dict)
     blocks: list[Block] = field(default_factory=list)
+    #: Parent of every element in order of opening; the page itself is element 0.
+    parents: list[int] = field(default_factory=lambda: [0])
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     anchors: int = 0
@@ -89,49 +120,32 @@ class _State:
         if self.parts:
             words = " ".join(entities.unescape("".join(self.parts)).split())
             if words:
-                inner = self.stack[-1] if self.stack else _Open("")
+                inner = self.stack[-1] if self.stack else _PAGE
                 count = words.count(" ") + 1
                 kind = next((e.tag for e in reversed(self.stack) if e.tag in HEADINGS or e.tag in ("p", "li", "td", "th", "dd", "dt", "blockquote", "pre")), "")
-                self.blocks.append(Block(words, count, min(self.linked, count), inner.boiler, inner.main, kind, inner.hint, inner.label))
+                self.blocks.append(Block(words, count, min(self.linked, count), kind, inner.parent, inner.region, inner.named, inner.loose, inner.tagged, inner.main, inner.hint))
         self.parts.clear()
         self.linked = 0
 
     def open(self, tag: str, attributes: str) -> None:
-        outer = self.stack[-1] if self.stack else _Open("")
-        new = _Open(tag, outer.boiler or tag in BOILER_TAGS, outer.main, outer.hint, outer.label)
-        if tag == "header":
-            new.boiler |= not outer.main
-        if tag in MAIN_TAGS and not outer.boiler:
-            new.main = True
-        if attributes:
-            self._attributes(new, attributes)
+        outer = self.stack[-1] if self.stack else _PAGE
+        new = _Open(tag, len(self.parents), outer.place, outer.region, outer.named, outer.loose, outer.tagged, outer.main, outer.hint)
+        self.parents.append(outer.place)
+        names, role, hidden = _hints(attributes) if attributes else (frozenset(), "", False)
+        if tag in BOILER_TAGS or (tag == "header" and not outer.main) or role in BOILER_ROLES or hidden:
+            new.tagged, new.region = True, new.place
+        if names & (_BOILER | _LOOSE) and not names & _ABOUT:
+            new.named |= bool(names & _BOILER)
+            new.loose |= bool(names & _LOOSE)
+            new.region = new.place
+        new.main |= tag in MAIN_TAGS or role in MAIN_TAGS
+        new.hint |= bool(names & _MAIN)
         self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append(new)
 
     def pop(self) -> None:
         self.places[self.stack.pop().tag].pop()
 
-    @staticmethod
-    def _attributes(new: _Open, attributes: str) -> None:
-        for name, a, b, c in _ATTR.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id"):
-                words = set(_WORDS.findall(value))
-                spared = new.tag in ("html", "body", "main") or words & _ABOUT or (new.tag == "article" and words & _MAIN)
-                if words & _BOILER and not spared:
-                    new.boiler = True
-                elif words & _MAIN:
-                    new.hint = True
-            elif name == "role":
-                new.boiler |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar")
-                new.main |= value in ("main", "article") and not new.boiler
-            elif name == "aria-hidden":
-                new.boiler |= value == "true"
-            elif name == "style":
-                new.boiler |= "display:none" in value.replace(" ", "")
-            elif name == "data-label":
-                new.label = value == "main"
-
     def close(self, tag: str) -> None:
         """End the innermost open element of the tag, at any depth, and all inside it."""
         if found := self.places.get(tag):
@@ -139,8 +153,28 @@ class _State:
                 self.pop()
 
 
+def _hints(attributes: str) -> tuple[frozenset[str], str, bool]:
+    """Words of class and id, the role, and whether the element is hidden."""
+    names, role, hidden = [], "", False
+    for name, a, b, c in _ATTR.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id"):
+            names += _WORDS.findall(value)
+        elif name == "role":
+            role = value
+        elif name == "aria-hidden":
+            hidden |= value == "true"
+        elif name == "style":
+            hidden |= "display:none" in value.replace(" ", "")
+    return frozenset(names), role, hidden
+
+
 def blocks(page: str) -> list[Block]:
     """Flat text blocks in page order; only block-level elements separate them."""
+    return _parsed(page).blocks
+
+
+def _parsed(page: str) -> _State:
     s, at, n, quotes = _State(), 0, len(page), True
 
     def text(a: int, b: int) -> None:
@@ -205,20 +239,33 @@ def blocks(page: str) -> list[Block]:
                 s.pop()
             s.open(tag, attributes)
     s.flush()
-    return s.blocks
-
-
-def described(found: list[Block]) -> np.ndarray:
-    """One row of ``FEATURES`` for each block."""
+    return s
+
+
+def described(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a page and one row of ``FEATURES`` for each."""
+    state = _parsed(page)
+    found = state.blocks
+    within = [0] * len(state.parents)  # words inside each element, at any depth
+    siblings: dict[int, list[int]] = {}
+    for b in found:
+        both = siblings.setdefault(b.parent, [0, 0])
+        both[0] += b.words
+        both[1] += b.linked
+        if b.region:
+            within[b.region] += b.words
+    for place in range(len(within) - 1, 0, -1):
+        within[state.parents[place]] += within[place]
+    total = max(sum(b.words for b in found), 1)
     own = [(b.words, b.linked / b.words) for b in found]
     edge = (0, 0.0)
-    return np.array(
-        [
-            (*own[i], *(own[i - 1] if i else edge), *(own[i + 1] if i + 1 < len(found) else edge), b.boiler, b.main, b.kind in HEADINGS, b.kind in ("p", "blockquote", "pre"), b.kind in ("li", "td", "th", "dd", "dt"), b.hint)
-            for i, b in enumerate(found)
-        ],
-        dtype=float,
-    ).reshape(-1, len(FEATURES))
+    rows = []
+    for i, b in enumerate(found):
+        words, linked = siblings[b.parent]
+        kinds = (b.kind in HEADINGS, b.kind in ("p", "blockquote", "pre"), b.kind in ("li", "td", "th", "dd", "dt"))
+        near = (*(own[i - 1] if i else edge), *(own[i + 1] if i + 1 < len(found) else edge))
+        rows.append((*own[i], *near, words, linked / words, words / total, *kinds, b.named, b.loose, b.tagged, within[b.region] / total if b.region else 0.0, b.main, b.hint))
+    return found, np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
 
 @dataclass
@@ -242,13 +289,24 @@ class Tree:
             node = np.where(inner, np.where(value <= cut[node], low[node], high[node]), node)
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8, least: int = 2) -> Tree:
-    """Decision tree by Gini impurity; equal gains go to the first feature and cut."""
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 20, least: int = 5) -> Tree:
+    """Decision tree by Gini impurity with at least ``least`` rows in a leaf; equal gains go to the first feature and cut."""
     tree = Tree([], [], [], [], [])
 
-    def impurity(y: np.ndarray) -> float:
-        p = y.mean()
-        return 2 * p * (1 - p) * len(y)
+    def impurity(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return 2 * ones * (n - ones) / n
+
+    def split(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        """Best gain and cut of one feature, over all places where its value changes."""
+        order = np.argsort(x, kind="stable")
+        x, ones, n = x[order], np.cumsum(y[order]), len(y)
+        at = np.flatnonzero((x[1:] > x[:-1]) & (np.arange(1, n) >= least) & (np.arange(n - 1, 0, -1) >= least))
+        if not len(at):
+            return 0.0, 0.0
+        whole = impurity(ones[-1:], np.array([n]))[0]
+        gain = whole - impurity(ones[at], at + 1) - impurity(ones[-1] - ones[at], n - at - 1)
+        best = int(np.argmax(np.round(gain, 9)))
+        return float(round(gain[best], 9)), float((x[at[best]] + x[at[best] + 1]) / 2)
 
     def add(at: np.ndarray, left: int) -> int:
         node, y = len(tree.feature), labels[at]
@@ -256,20 +314,11 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8, least: int = 2) -
             values.append(value)
         if not left or y.min() == y.max():
             return node
-        best = (1e-9, -1, 0.0)
-        for j in range(rows.shape[1]):
-            x = rows[at, j]
-            values = np.unique(x)
-            for a, b in zip(values, values[1:]):
-                under = x <= (a + b) / 2
-                if min(under.sum(), (~under).sum()) < least:
-                    continue
-                gain = impurity(y) - impurity(y[under]) - impurity(y[~under])
-                if gain > best[0] + 1e-9:
-                    best = (gain, j, (a + b) / 2)
-        if best[1] >= 0:
-            under = rows[at, best[1]] <= best[2]
-            tree.feature[node], tree.cut[node] = best[1], best[2]
+        found = [split(rows[at, j], y.astype(np.int64)) for j in range(rows.shape[1])]
+        best = int(np.argmax([gain for gain, _ in found]))
+        if found[best][0] > 0:
+            under = rows[at, best] <= found[best][1]
+            tree.feature[node], tree.cut[node] = best, found[best][1]
             tree.low[node] = add(at[under], left - 1)
             tree.high[node] = add(at[~under], left - 1)
         return node
@@ -299,26 +348,76 @@ LAYOUTS = [
     [("", "p", 3, 0, _M, ""), ("", "p", 90, 0, _M, "")],
     [("<div>", "", 2, 1, _X, "</div>"), ("<div>", "", 70, 0, _M, "</div>"), ("<div>", "", 55, 0, _M, "</div>"), ("<div>", "", 5, 0, _X, "</div>")],
     [("<nav>", "", 3, 1, _X, "</nav>"), ("<article>", "h1", 1, 0, _M, ""), ("", "p", 400, 0, _M, ""), ("", "p", 250, 0, _M, "</article>"), ("<aside>", "", 90, 0, _X, "</aside>"), ("<footer>", "", 120, 0, _X, "</footer>")],
+    [("<nav>", "", 5, 1, _X, "</nav>"), ('<div class="content"><section>', "h2", 4, 0, _M, ""), ("", "p", 70, 0, _M, ""), ("", "p", 45, 0, _M, "</section>"), ("<section>", "h2", 3, 0, _M, ""), ("", "p", 90, 0, _M, ""), ("", "p", 30, 0, _M, "</section>"), ("<section>", "h2", 5, 0, _M, ""), ("", "p", 60, 0, _M, ""), ("<ol>", "li", 12, 0, _M, ""), ("", "li", 18, 0, _M, "</ol></section>"), ("<section>", "h2", 2, 0, _M, ""), ("", "p", 85, 0, _M, "</section></div>"), ("<footer>", "", 25, 0, _X, "</footer>")],
+    [('<div class="menu">', "", 6, 1, _X, "</div>"), ("<div><div>", "", 80, 0, _M, "</div></div>"), ("<div><div>", "", 45, 0, _M, "</div></div>"), ("<div><div>", "", 110, 0, _M, "</div></div>"), ("<div><div>", "", 65, 0, _M, "</div></div>"), ("<div><div>", "", 8, 0, _X, "</div></div>")],
+    [("<nav>", "", 4, 1, _X, "</nav>"), ("<article>", "h1", 7, 0, _M, ""), ("", "p", 80, 0, _M, ""), ("", "p", 60, 0, _M, "</article>"), ('<div class="comments">', "h3", 2, 0, _X, ""), ('<div class="comment">', "p", 40, 0, _X, "</div>"), ('<div class="comment">', "p", 70, 0, _X, "</div>"), ('<div class="comment">', "p", 30, 0, _X, "</div>"), ('<div class="comment">', "p", 55, 0, _X, "</div></div>"), ("<footer>", "", 9, 0, _X, "</footer>")],
+    [("<article>", "h1", 6, 0, _M, ""), ("", "p", 50, 0, _M, ""), ("", "p", 35, 0, _M, "</article>"), ('<ul class="comments">', "li", 25, 0, _X, ""), ("", "li", 40, 0, _X, ""), ("", "li", 18, 0, _X, "</ul>"), ("<footer><div>", "h4", 2, 0, _X, ""), ("<ul>", "li", 2, 1, _X, ""), ("", "li", 3, 1, _X, "</ul></div>"), ("<div>", "p", 12, 0, _X, "</div></footer>")],
+    [("<header>", "", 5, 1, _X, "</header>"), ("<main>", "h1", 8, 0, _M, ""), ("", "p", 55, 0, _M, ""), ('<div class="related"><div>', "h3", 7, 1, _X, ""), ("", "p", 22, 0, _X, "</div>"), ("<div>", "h3", 6, 1, _X, ""), ("", "p", 26, 0, _X, "</div></div>"), ("", "p", 75, 0, _M, "</main>"), ('<div class="newsletter">', "h3", 4, 0, _X, ""), ("", "p", 15, 0, _X, ""), ("<form>", "label", 2, 0, _X, "</form></div>")],
+    [("<nav>", "", 6, 1, _X, "</nav>"), ('<div class="ad">', "", 20, 0, _X, "</div>"), ("<article>", "h1", 5, 0, _M, ""), ("", "p", 14, 0, _M, "</article>"), ("<footer>", "", 40, 0, _X, "</footer>")],
+    [("<nav>", "", 6, 1, _X, "</nav>"), ('<div class="ad">', "", 5, 0, _X, "</div>"), ("<article>", "h1", 9, 0, _M, ""), ("", "p", 9, 0, _M, ""), ("", "p", 30, 0, _M, ""), ('<div class="ad">', "p", 20, 0, _X, "</div>"), ("", "p", 60, 0, _M, "</article>"), ("<footer>", "", 18, 0, _X, "</footer>")],
+    [('<div class="sidebar">', "h3", 2, 0, _X, ""), ("", "p", 45, 0, _X, ""), ("", "p", 30, 0, _X, "</div>"), ("<article>", "h1", 7, 0, _M, ""), ("", "p", 95, 0, _M, ""), ("<dl>", "dt", 2, 0, _M, ""), ("", "dd", 16, 0, _M, ""), ("", "dt", 3, 0, _M, ""), ("", "dd", 20, 0, _M, "</dl>"), ("", "p", 50, 0, _M, "</article>"), ('<div class="legal">', "p", 50, 0, _X, "</div>")],
+    [("<header>", "h1", 4, 0, _X, ""), ("", "p", 9, 0, _X, "</header>"), ("<article>", "h2", 6, 0, _M, ""), ("", "p", 65, 0, _M, ""), ("<ul>", "li", 22, 0, _M, ""), ("", "li", 30, 0, _M, ""), ("", "li", 14, 0, _M, "</ul>"), ("", "p", 40, 0, _M, "</article>"), ("<article>", "h2", 5, 0, _M, ""), ("", "p", 70, 0, _M, ""), ("", "p", 20, 0, _M, "</article>"), ("<footer>", "p", 8, 0, _X, "</footer>")],
+    [("<nav><ul>", "li", 1, 1, _X, ""), ("", "li", 1, 1, _X, ""), ("", "li", 2, 1, _X, "</ul></nav>"), ("<article>", "", 12, 0, _M, ""), ("", "p", 40, 0, _M, ""), ("<div>", "", 30, 0, _M, "</div>"), ("", "p", 22, 0, _M, "</article>"), ("<aside>", "", 15, 0, _X, "</aside>"), ("<footer>", "", 10, 0, _X, "</footer>")],
+    [("<nav>", "", 4, 1, _X, "</nav>"), ("<article>", "h1", 6, 0, _M, ""), ("<p>", "", 3, 1, _M, "</p>"), ("<table><tr>", "td", 25, 0, _M, ""), ("", "td", 40, 0, _M, "</tr>"), ("<tr>", "td", 30, 0, _M, ""), ("", "td", 12, 0, _M, "</tr></table>"), ("", "p", 33, 0, _M, "</article>"), ("<footer>", "", 10, 1, _X, "</footer>")],
+    [("<nav><ul>", "li", 1, 1, _X, ""), ("", "li", 1, 1, _X, ""), ("", "li", 1, 1, _X, "</ul></nav>"), ('<div class="ad">', "", 12, 0, _X, "</div>"), ("<article>", "h1", 2, 0, _M, ""), ("", "p", 2, 0, _M, ""), ("", "p", 10, 0, _M, "</article>"), ("<footer>", "", 16, 0, _X, "</footer>")],
+    [("<nav><ul>", "li", 1, 1, _X, ""), ("", "li", 2, 1, _X, ""), ("", "li", 1, 1, _X, "</ul></nav>"), ('<div class="ad">', "", 6, 0, _X, "</div>"), ("<article>", "h1", 1, 0, _M, ""), ("", "p", 3, 0, _M, "</article>"), ("<footer>", "", 12, 0, _X, "</footer>")],
+    [("<nav>", "", 6, 1, _X, "</nav>"), ('<div class="ad">', "", 25, 0, _X, "</div>"), ("<article>", "h1", 2, 0, _M, ""), ("", "p", 2, 0, _M, ""), ("", "p", 14, 0, _M, ""), ("", "p", 6, 0, _M, "</article>"), ("<footer>", "", 30, 0, _X, "</footer>")],
+    [("<nav>", "", 4, 1, _X, "</nav>"), ("<main>", "h1", 5, 0, _M, ""), ("", "p", 60, 0, _M, ""), ("", "p", 40, 0, _M, "</main>"), ('<section class="comments">', "h2", 1, 0, _X, ""), ('<div class="comment">', "p", 60, 0, _X, "</div>"), ('<div class="comment">', "p", 45, 0, _X, "</div>"), ('<div class="comment">', "p", 80, 0, _X, "</div>"), ('<div class="comment">', "p", 25, 0, _X, "</div></section>")],
 ]
 
 
-def labelled_table(scales: tuple[float, ...] = (0.5, 1.0, 2.0)) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of every layout, at several text lengths."""
-    rows, labels = [], []
-    for layout in LAYOUTS:
-        for scale in scales:
-            page, wanted = ["<html><body>"], []
-            for before, tag, words, linked, label, after in layout:
-                text = " ".join(["word"] * max(round(words * scale), 1))
-                text = f"<a href='#'>{text}</a>" if linked else text
-                page.append(before + (f"<{tag}>{text}</{tag}>" if tag else text) + after)
-                wanted.append(label)
-            found = blocks("".join(page) + "</body></html>")
-            if len(found) != len(wanted):
-                raise ValueError("a layout's blocks run together")
-            rows.append(described(found))
-            labels += wanted
-    return np.concatenate(rows), np.array(labels)
+#: Class words of a layout with wrong names: of containers of main text, and of others.
+_WRONG_MAIN = ("page-header-layout", "content post widget", "form-page", "social-article", "entry related-posts", "search-body")
+_WRONG_OTHER = ("content", "text", "post", "entry body", "main-block", "story")
+_STARTS = re.compile(r"<(nav|footer|aside|form|header|article|main|section|div)\b([^>]*)>")
+_ENDS = re.compile(r"</(?:nav|footer|aside|form|header|article|main|section)>")
+NAMINGS = ("given", "given", "given", "classes", "none", "wrong", "framed", "notice")
+
+
+def renamed(layout: list[tuple], naming: str, turn: int) -> list[tuple]:
+    """A layout whose containers keep their tags and class words, or have other, wrong or no ones."""
+
+    def start(m: re.Match, label: bool) -> str:
+        if naming == "none":
+            return "<div>"
+        if naming == "classes":
+            return f"<div{m[2]}>" if m[1] == "div" or "class" in m[2] else f'<div class="{m[1]}">'
+        wrong = _WRONG_MAIN if label else _WRONG_OTHER
+        return f'<div class="{wrong[turn % len(wrong)]}">'
+
+    rows = list(layout)
+    if naming in ("none", "classes", "wrong"):
+        rows = [(_STARTS.sub(lambda m, label=row[4]: start(m, label), row[0]), *row[1:5], _ENDS.sub("</div>", row[5])) for row in rows]
+    if naming == "framed":  # all of the page in one form or layout element
+        frame = ('<form id="aspnetForm">', '<div class="page-header-layout">', '<div id="social-site">')[turn % 3]
+        rows[0] = (frame + rows[0][0], *rows[0][1:])
+    if naming == "notice":  # a notice in a plain element, first or last
+        plain = ("<div>", "", 14 + 5 * (turn % 4), 0, False, "</div>")
+        rows = [plain, *rows] if turn % 2 else [*rows, plain]
+    return rows
+
+
+def labelled_table(draws: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of every layout, under each naming and at several text lengths.
+
+    Lengths are drawn around those of the layout by a generator with a fixed seed.
+    """
+    random, table, labels = np.random.default_rng(17), [], []
+    for turn, (layout, naming, _) in enumerate(itertools.product(LAYOUTS, NAMINGS, range(draws))):
+        page, wanted = ["<html><body>"], []
+        whole = random.normal(0, 0.6)  # some articles are long, some short
+        for before, tag, words, linked, label, after in renamed(layout, naming, turn):
+            spread = np.exp(random.normal(0, 0.25) if words < 8 else random.normal(0, 0.6) + (whole if label else 0))
+            text = " ".join(["word"] * max(round(words * spread), 1))
+            text = f"<a href='#'>{text}</a>" if linked else text
+            page.append(before + (f"<{tag}>{text}</{tag}>" if tag else text) + after)
+            wanted.append(label)
+        found, rows = described("".join(page) + "</body></html>")
+        if len(found) != len(wanted):
+            raise ValueError("a layout's blocks run together")
+        table.append(rows)
+        labels += wanted
+    return np.concatenate(table), np.array(labels)
 
 
 @functools.lru_cache(maxsize=1)
@@ -327,8 +426,10 @@ def default_tree() -> Tree:
 
 
 def main_blocks(page: str | None, tree: Tree) -> list[str]:
-    found = blocks(page) if page else []
-    return [b.text for b, keep in zip(found, tree.keep(described(found))) if keep] if found else []
+    if not page:
+        return []
+    found, rows = described(page)
+    return [b.text for b, keep in zip(found, tree.keep(rows)) if keep]
 
 
 def extract(pages: DataFrame, tree: Tree | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
