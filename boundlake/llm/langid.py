@@ -93,8 +93,8 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(docs: DataFrame, lang: Column, text: str) -> DataFrame:
-    """(lang, buckets, shares) of each row: its n-gram distribution, whatever its length."""
+def _features(docs: DataFrame) -> DataFrame:
+    """(lang, key, buckets, shares) of rows (lang, text, key): each n-gram distribution, whatever the text's length."""
 
     def run(batches):
         for batch in batches:
@@ -104,9 +104,10 @@ def _features(docs: DataFrame, lang: Column, text: str) -> DataFrame:
                 found, counts = np.unique(np.concatenate(gram_buckets(raw)), return_counts=True)
                 buckets.append(found.astype(np.int32))
                 shares.append((counts / max(counts.sum(), 1)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["lang", "buckets", "shares"])
+            columns = [batch.column(0), batch.column(2), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "key", "buckets", "shares"])
 
-    return docs.select(lang.alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, buckets array<int>, shares array<float>")
+    return docs.mapInArrow(run, "lang string, key long, buckets array<int>, shares array<float>")
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -148,29 +149,30 @@ def fit(langs: list[str], buckets: list[np.ndarray], shares: list[np.ndarray], e
     return model
 
 
-def train(docs: DataFrame, allowed: Column, per_lang: int = 600, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Model from at most about ``per_lang`` rows of each of ``most_langs`` languages.
+def train(docs: DataFrame, allowed: Column, per_lang: int = 600, most_rows: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Model from about ``per_lang`` rows of every language, or fewer of each where that would pass ``most_rows``.
 
-    Rows are drawn by a hash of their id among the ``allowed`` ones. Their
-    n-gram distributions, of bounded size each, are all that reaches the driver.
+    Rows are drawn by a hash of id and text among the ``allowed`` ones; every
+    language that has a row with a letter is learned. The drawn rows' n-gram
+    distributions, of bounded size each, are all that reaches the driver, in
+    one order whatever order they arrive in.
     """
-    ship(docs.sparkSession)
+    spark = ship(docs.sparkSession)
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = docs.where(allowed & F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    draw = F.pmod("key", F.lit(1 << 30))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
     if not counts:
         return Model([], np.zeros((BUCKETS * len(GRAMS), DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    picked = F.lit(False)
-    for lang, n in counts:
-        picked = picked | ((F.col(lang_col) == lang) & (draw < int((1 << 30) * min(1.0, per_lang / n))))
-    sample = _features(rows.where(picked), F.col(lang_col), text_col).limit(2 * per_lang * len(counts)).toArrow()
-    langs = sample.column("lang").to_pylist()
+    each = max(min(per_lang, most_rows // len(counts)), 1)
+    # The row with the least draw always counts, so that no language is left out.
+    below = spark.createDataFrame([(r.lang, max(int((1 << 30) * min(1.0, each / r.n)), r.least + 1)) for r in counts], "lang string, below long")
+    sample = _features(rows.join(F.broadcast(below), "lang").where(draw < F.col("below")).select("lang", "text", "key")).toArrow()
+    langs, keys = (sample.column(c).to_pylist() for c in ("lang", "key"))
     lists = [sample.column(c).combine_chunks() for c in ("buckets", "shares")]
     cut = np.asarray(lists[0].offsets, dtype=np.int64)
     buckets, shares = (np.asarray(x.values) for x in lists)
-    # A fixed order, whatever order the rows arrived in.
-    order = np.lexsort([buckets[np.minimum(cut[:-1], max(len(buckets) - 1, 0))] if len(buckets) else cut[:-1], np.diff(cut), langs])
-    parts = [(slice(cut[i], cut[i + 1]), langs[i]) for i in order]
+    parts = [(slice(cut[i], cut[i + 1]), langs[i]) for i in np.lexsort([keys, langs])]
     return fit([lang for _, lang in parts], [buckets[s] for s, _ in parts], [shares[s] for s, _ in parts])
 
 
