@@ -20,8 +20,11 @@ from .stores import checkpointed
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: How often a rule may at most vote "bad" on good documents.
-FALSE_ALARMS = 0.005
+#: Where a rule's rates of bad votes start, on bad and on good documents, and
+#: how many votes the start counts for. Neither bounds what is learned.
+START, START_VOTES = (0.4, 0.05), (6.0, 20.0)
+#: Rates stay this far from 0 and 1.
+EDGE = 1e-4
 
 
 def _let(value: Column, body) -> Column:
@@ -85,41 +88,61 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The rules. Where neither bound is met, or there are too few words, a rule abstains."""
+    """The rules. Where neither bound is met, or there are too few words, a rule abstains.
+
+    Most defects have a strict and a mild rule or are seen by several, so that
+    votes overlap and say how far each rule can be trusted.
+    """
     per_word = lambda name: F.col(name) / F.greatest(F.col("n_words"), F.lit(1))
-    mean = per_word("word_chars")
+    per_char = lambda name: F.col(name) / F.greatest(F.col("word_chars"), F.lit(1))
     enough = F.col("n_words") >= 20
+
+    def above(value: Column, bad: float, good: float) -> Column:
+        return _vote(enough & (value > bad), enough & (value <= good))
+
+    mean, stops = per_word("word_chars"), per_word("n_stops")
+    variety = F.col("n_distinct") / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     return {
-        "word_length": _vote((F.col("n_words") > 0) & ((mean < 2.5) | (mean > 12)), enough & mean.between(3.5, 9)),
-        "symbols": _vote(per_word("n_symbols") > 0.15, enough & (per_word("n_symbols") < 0.03)),
-        "dup_lines": _vote(F.col("n_dup_lines") > 0.3 * F.col("n_lines"), (F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0)),
-        "repeats": _vote(enough & (per_word("n_repeat_words") > 0.25), enough & (per_word("n_repeat_words") < 0.1)),
-        "upper": _vote(enough & (F.col("n_upper") > 0.3 * F.col("word_chars")), enough & (F.col("n_upper") < 0.1 * F.col("word_chars"))),
-        "shouts": _vote(enough & (per_word("n_shouts") > 0.1), enough & (per_word("n_shouts") < 0.02)),
-        "sentences": _vote((F.col("n_words") >= 60) & (per_word("n_stops") < 0.004), enough & per_word("n_stops").between(0.02, 0.3)),
-        "bars": _vote(per_word("n_bars") > 0.05, F.lit(False)),
+        "word_length": _vote(enough & ((mean < 2.5) | (mean > 12)), enough & mean.between(3.5, 9)),
+        "word_length_narrow": _vote(enough & ((mean < 3.5) | (mean > 7)), enough & mean.between(4, 6.5)),
+        "symbols": above(per_word("n_symbols"), 0.15, 0.03),
+        "symbols_mild": above(per_word("n_symbols"), 0.04, 0.01),
+        "symbol_chars": above(per_char("n_symbols"), 0.05, 0.005),
+        "dup_lines": _vote((F.col("n_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * F.col("n_lines")), (F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0)),
+        "repeats": above(per_word("n_repeat_words"), 0.25, 0.1),
+        "repeats_mild": above(per_word("n_repeat_words"), 0.08, 0.02),
+        "variety": _vote(enough & (variety < 3), enough & (variety >= 6)),
+        "upper": above(per_char("n_upper"), 0.3, 0.1),
+        "upper_mild": above(per_char("n_upper"), 0.12, 0.06),
+        "shouts": above(per_word("n_shouts"), 0.1, 0.02),
+        "shouts_mild": above(per_word("n_shouts"), 0.03, 0.005),
+        "sentences": _vote((F.col("n_words") >= 60) & (stops < 0.004), enough & stops.between(0.02, 0.3)),
+        "sentences_mild": _vote(enough & (stops < 0.03), enough & stops.between(0.04, 0.2)),
+        "bars": above(per_word("n_bars"), 0.05, 0.0),
+        "bars_mild": above(per_word("n_bars"), 0.01, 0.0),
     }
 
 
 Rates = list[tuple[float, float]]
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300, tolerance: float = 1e-9) -> tuple[float, Rates]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300, tolerance: float = 1e-7) -> tuple[float, Rates]:
     """Share of good documents and, for each rule, its accuracies.
 
     A rule's accuracies are how often a vote that it casts is "bad" on bad and
-    on good documents; abstentions say nothing. Weak prior counts (6 and 40
-    votes) hold a rule that hardly votes near its start. Rules are written so
-    that a bad vote is rare on good documents (``FALSE_ALARMS`` at most) and
-    never worse than chance, which fixes what "good" means even where kinds of
-    bad documents share no rule. With no patterns the starting values return.
+    on good documents; abstentions say nothing. Both are learned from the votes
+    of the other rules: a rule that calls documents bad which the others call
+    good gets a high rate on good ones and little weight. A few votes at the
+    starting rates (``START_VOTES``) hold a rule that hardly votes near them.
+    What "good" means is fixed by one condition alone, that no rule is worse
+    than chance. With no patterns the starting values return.
     """
     rules = len(patterns[0][0]) if patterns else len(votes())
-    prior, rates = 0.8, [(0.3, FALSE_ALARMS)] * rules
+    prior, rates = 0.8, [START] * rules
     for _ in range(rounds):
         total = good = 0.0
-        hit = [[0.3 * 6, FALSE_ALARMS * 40] for _ in range(rules)]
-        cast = [[6.0, 40.0] for _ in range(rules)]
+        hit = [[rate * n for rate, n in zip(START, START_VOTES)] for _ in range(rules)]
+        cast = [list(START_VOTES) for _ in range(rules)]
         for pattern, n in patterns:
             p = posterior(pattern, prior, rates)
             total += n
@@ -136,8 +159,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300, toleranc
         new_prior = min(max(good / total, 0.02), 0.98)
         new = []
         for h, c in zip(hit, cast):
-            f = min(max(h[1] / c[1], 1e-4), FALSE_ALARMS)
-            new.append((min(max(h[0] / c[0], f), 0.999), f))
+            on_good = min(max(h[1] / c[1], EDGE), 1 - EDGE)
+            new.append((min(max(h[0] / c[0], on_good), 1 - EDGE), on_good))
         moved = abs(new_prior - prior) + sum(abs(x - y) for u, v in zip(new, rates) for x, y in zip(u, v))
         prior, rates = new_prior, new
         if moved < tolerance:
@@ -159,13 +182,13 @@ def posterior(pattern: tuple[int, ...], prior: float, rates: Rates) -> float:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics, votes, posterior quality probability and verdict of every row.
 
-    The statistics of all rows are computed once and checkpointed in the folder
-    of ``spark.checkpoint.dir``; only the counts of vote patterns, at most three
-    to the power of the number of rules, reach the driver.
+    The statistics and votes of all rows are computed once and checkpointed in the folder
+    of ``spark.checkpoint.dir``; only the counts of vote patterns reach the
+    driver. The rules read nine statistics at few levels each, so patterns are
+    some hundreds, however many documents there are.
     """
-    stats = checkpointed(statistics(docs, id_col, text_col))
     rules = votes()
-    voted = stats.select("*", *(c.alias(f"vote_{k}") for k, c in rules.items()))
+    voted = checkpointed(statistics(docs, id_col, text_col).select("*", *(c.cast("tinyint").alias(f"vote_{k}") for k, c in rules.items())))
     names = [f"vote_{k}" for k in rules]
     seen = [(tuple(row[:-1]), row[-1]) for row in voted.groupBy(*names).count().collect()]
     prior, rates = fit(sorted(seen))
