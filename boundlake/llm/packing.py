@@ -1,9 +1,15 @@
 """Best-fit-decreasing packing of tokenised documents into fixed-length sequences.
 
-Pieces are dealt to shards by a hash of (id, piece), so one hot document or
-source is spread out; each shard packs its own pieces and leaves at most a
-few sequences partly filled. Null texts are empty documents of one end token.
-Repeated ids are packed once for each row.
+Pieces of one length are alike to the packing, and there are only as many
+lengths as a sequence has places. So the whole corpus is packed at once: the
+counts by length go through the segment tree, many equal pieces and bins at a
+time, and give a plan of bounded size that says which bins the pieces of each
+length fill. Every piece then finds its place by its rank among those of its
+length. Ranks come from small groups, so that no length, document or source is
+ever in one task.
+
+Null texts are empty documents of one end token. Repeated and null ids are
+packed once for each row. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,18 +17,16 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .stores import checkpointed
 from .tokens import encoder
 
-#: Documents for each packing shard, on average, once there are many shards.
-SHARD_DOCS = 20_000
-#: Smaller tables get up to so many shards of at least so many documents each.
-SPREAD, LEAST_DOCS = 64, 1_500
+#: Pieces of one length, on average at most, that are ranked in one group.
+GROUP = 20_000
 
 
 class OpenBins:
@@ -36,16 +40,17 @@ class OpenBins:
     def __init__(self, capacity: int):
         self.size = 1 << (capacity + 1).bit_length()
         self.tree = bytearray(2 * self.size)
-        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.bins: list[list] = [[] for _ in range(capacity + 1)]
 
-    def put(self, left: int, which: int) -> None:
+    def put(self, left: int, which) -> None:
+        """Open a bin, or anything that stands for some, with so many places left."""
         self.bins[left].append(which)
         node = left + self.size
         while node and not self.tree[node]:
             self.tree[node] = 1
             node >>= 1
 
-    def take(self, need: int) -> tuple[int, int] | None:
+    def take(self, need: int) -> tuple | None:
         tree, node = self.tree, need + self.size
         if not tree[node]:
             while node > 1 and (node & 1 or not tree[node + 1]):
@@ -89,6 +94,43 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, made
 
 
+def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """Best-fit decreasing over counts by length: rows (length, rank, bin, offset) and the number of bins.
+
+    From its rank on, up to the next row of the same length, the pieces go to
+    bins that follow one another, each at the offset. Open bins with equal room
+    are kept as runs of neighbouring bins: the tightest run takes as many pieces
+    as fit before the next one is asked, which is what taking them one by one
+    does.
+    """
+    opened, made, rows = OpenBins(capacity), 0, []
+    for length in sorted((n for n, count in counts.items() if count), reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            found = opened.take(length)
+            room, (first, bins) = found if found else (capacity, (made, -(-left // (capacity // length))))
+            if not found:
+                made += bins
+            layers = room // length
+            used = min(bins, left // layers)
+            if used:
+                for k in range(layers):
+                    rows.append((length, rank, first, capacity - room + k * length))
+                    rank += used
+                if room - layers * length:
+                    opened.put(room - layers * length, (first, used))
+            left -= used * layers
+            if left and used < bins:  # the last bin is filled in part
+                for k in range(left):
+                    rows.append((length, rank, first + used, capacity - room + k * length))
+                    rank += 1
+                opened.put(room - left * length, (first + used, 1))
+                used, left = used + 1, 0
+            if used < bins:
+                opened.put(room, (first + used, bins - used))
+    return np.array(rows, np.int64).reshape(-1, 4), made
+
+
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool, id_col: str, text_col: str) -> DataFrame:
     """Token pieces of every document: whole, or cut so that only the first is shorter."""
 
@@ -125,23 +167,40 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: boo
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns for each piece: id, piece, start, length, ids_crc32, [ids],
-    sequence_id and offset. Sequences are gapless from offset 0. An empty table
-    gives no rows; equal lengths are placed in order of id and piece.
+    sequence_id and offset. Sequences are numbered from 0 and gapless from
+    offset 0. Which of equally long pieces goes where is not fixed. The pieces
+    are checkpointed, so their ranks stay the same when tasks are repeated.
     """
-    ship(docs.sparkSession)
-    count = docs.count()
-    shards = max(1, -(-count // shard_docs), min(SPREAD, count // LEAST_DOCS))
-    cut = pieces(docs, path, capacity, end_id, with_ids, id_col, text_col)
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64(id_col, "piece"), F.lit(shards)).cast("int"))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([id_col, "piece"], kind="stable", ignore_index=True)
-        bins, offsets, _ = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=pdf["shard"].astype("int64") * (1 << 40) + bins, offset=offsets).drop(columns="shard")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInPandas(fill, schema)
+    spark = ship(docs.sparkSession)
+    found = pieces(docs, path, capacity, end_id, with_ids, id_col, text_col)
+    kept = found.columns
+    # Rows that are equal in all columns must part as well, so the deal is by row.
+    cut = checkpointed(found.withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())))
+    counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
+    rows, _ = plan(counts, capacity)
+    groups = max(1, -(-max(counts.values(), default=0) // group))
+    dealt = cut.withColumn("_group", F.pmod("_deal", F.lit(groups)))
+    sizes = dealt.groupBy("length", "_group").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "_group", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("length", "_group").orderBy("_deal")) - 1
+    ranked = dealt.withColumn("_within", within).join(sizes, ["length", "_group"]).withColumn("_rank", F.col("_within") + F.col("_before"))
+    shared = spark.sparkContext.broadcast(rows[np.lexsort([rows[:, 1], rows[:, 0]])])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
+
+    def place(batches):
+        moves = shared.value
+        # Lengths and ranks as one ascending key; ranks stay below 2**52.
+        key = (moves[:, 0].astype(np.uint64) << np.uint64(52)) | moves[:, 1].astype(np.uint64)
+        for batch in batches:
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            own = (length.astype(np.uint64) << np.uint64(52)) | rank.astype(np.uint64)
+            at = np.searchsorted(key, own, side="right") - 1
+            out = [batch.column(k) for k in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(moves[at, 2] + rank - moves[at, 1]), pa.array(moves[at, 3])], names=[*kept, "sequence_id", "offset"])
+
+    return ranked.select(*(F.col(f"`{c}`") for c in kept), "_rank").mapInArrow(place, schema)
