@@ -74,6 +74,23 @@ class Ival:
 EMPTY, ENTIRE = Ival(INF, NEG_INF), Ival(NEG_INF, INF)
 
 
+class Steps:
+    """Projections to apply in order. ``hold`` gives texts a column, so that a kernel that
+    reads a result several times doesn't repeat its text; generated code stays small."""
+
+    def __init__(self, prefix: str):
+        self.prefix, self.stages = prefix, []
+
+    def hold(self, *sqls: str) -> list[str]:
+        names = [f"{self.prefix}_{len(self.stages)}_{i}" for i in range(len(sqls))]
+        self.stages.append(list(zip(names, sqls)))
+        return names
+
+
+def _hold(steps: Steps | None, *sqls: str) -> list[str]:
+    return steps.hold(*sqls) if steps else list(sqls)
+
+
 def _or_empty(when: str, lo: str, hi: str) -> Ival:
     return Ival(f"(CASE WHEN {when} THEN {INF} ELSE {lo} END)", f"(CASE WHEN {when} THEN {NEG_INF} ELSE {hi} END)")
 
@@ -98,110 +115,136 @@ def _nan(x: str) -> str:
     return f"isnan({x})"
 
 
-def mul(a: Ival, b: Ival) -> Ival:
+def _extremes(steps: Steps | None, candidates: list[str], empty: str, bad: str) -> Ival:
+    """From least to greatest candidate, one step outward; entire where ``bad`` holds."""
+    lo, hi = _hold(steps, f"least({', '.join(candidates)})", f"greatest({', '.join(candidates)})")
+    return _or_empty(empty, f"CASE WHEN {bad} THEN {NEG_INF} ELSE {dn(lo)} END", f"CASE WHEN {bad} THEN {INF} ELSE {up(hi)} END")
+
+
+def mul(a: Ival, b: Ival, steps: Steps | None = None) -> Ival:
     """Least and greatest of the four products; 0 times infinity gives entire."""
-    ps = [f"({x} * {y})" for x in (a.lo, a.hi) for y in (b.lo, b.hi)]
+    ps = _hold(steps, *(f"({x} * {y})" for x in (a.lo, a.hi) for y in (b.lo, b.hi)))
     bad = "(" + " OR ".join(_nan(p) for p in ps) + ")"
-    lo, hi = f"least({', '.join(ps)})", f"greatest({', '.join(ps)})"
-    return _or_empty(_any_empty(a, b), f"CASE WHEN {bad} THEN {NEG_INF} ELSE {dn(lo)} END", f"CASE WHEN {bad} THEN {INF} ELSE {up(hi)} END")
+    return _extremes(steps, ps, _any_empty(a, b), bad)
 
 
-def div(a: Ival, b: Ival) -> Ival:
+def div(a: Ival, b: Ival, steps: Steps | None = None) -> Ival:
     """A divisor that holds 0 gives entire; it is replaced by 1 before dividing."""
     zero = f"({b.lo} <= 0 AND {b.hi} >= 0)"
-    lo_b, hi_b = (f"(CASE WHEN {zero} THEN CAST(1 AS DOUBLE) ELSE {x} END)" for x in (b.lo, b.hi))
-    qs = [f"({x} / {y})" for x in (a.lo, a.hi) for y in (lo_b, hi_b)]
+    lo_b, hi_b = _hold(steps, *(f"(CASE WHEN {zero} THEN CAST(1 AS DOUBLE) ELSE {x} END)" for x in (b.lo, b.hi)))
+    qs = _hold(steps, *(f"({x} / {y})" for x in (a.lo, a.hi) for y in (lo_b, hi_b)))
     bad = "(" + " OR ".join([zero, *(_nan(q) for q in qs)]) + ")"
-    lo, hi = f"least({', '.join(qs)})", f"greatest({', '.join(qs)})"
-    return _or_empty(_any_empty(a, b), f"CASE WHEN {bad} THEN {NEG_INF} ELSE {dn(lo)} END", f"CASE WHEN {bad} THEN {INF} ELSE {up(hi)} END")
+    return _extremes(steps, qs, _any_empty(a, b), bad)
 
 
-def sqr(a: Ival) -> Ival:
-    low = f"CASE WHEN {a.lo} >= 0 THEN {dn(f'{a.lo} * {a.lo}')} WHEN {a.hi} <= 0 THEN {dn(f'{a.hi} * {a.hi}')} ELSE CAST(0 AS DOUBLE) END"
-    return _or_empty(a.is_empty, f"greatest(CAST(0 AS DOUBLE), {low})", up(f"greatest({a.lo} * {a.lo}, {a.hi} * {a.hi})"))
+def sqr(a: Ival, steps: Steps | None = None) -> Ival:
+    lo, hi = _hold(steps, f"({a.lo} * {a.lo})", f"({a.hi} * {a.hi})")
+    low = f"CASE WHEN {a.lo} >= 0 THEN {dn(lo)} WHEN {a.hi} <= 0 THEN {dn(hi)} ELSE CAST(0 AS DOUBLE) END"
+    return _or_empty(a.is_empty, f"greatest(CAST(0 AS DOUBLE), {low})", up(f"greatest({lo}, {hi})"))
 
 
-def ipow(a: Ival, n: int) -> Ival:
-    """Integer power with bounds at the ends; even powers know their sign."""
+def ipow(a: Ival, n: int, steps: Steps | None = None) -> Ival:
+    """Integer power of any size with bounds at the ends; even powers know their sign."""
     if n == 0:
         return _or_empty(a.is_empty, number(1.0), number(1.0))
     if n < 0:
-        return div(Ival.point(1.0), ipow(a, -n))
+        inner = ipow(a, -n, steps)
+        return div(Ival.point(1.0), Ival(*_hold(steps, inner.lo, inner.hi)), steps)
     if n == 1:
         return a
     if n == 2:
-        return sqr(a)
-    slack = n - 1
-    power = lambda x: "(" + " * ".join([x] * n) + ")"
-    wide = lambda f, x: f"({f(x, 1)})" if slack < 2 else f"({x} {'-' if f is dn else '+'} (abs({x}) * {slack} * {REL} + {slack} * {TINY}))"
+        return sqr(a, steps)
+    # Few factors are multiplied; the library's power is within one unit of the exact one.
+    power = (lambda x: "(" + " * ".join([x] * n) + ")") if n <= 4 else (lambda x: f"power({x}, {number(float(n))})")
+    slack = n - 1 if n <= 4 else 2
+    lo, hi = _hold(steps, power(a.lo), power(a.hi))
+    wide = lambda f, x: f(x, slack)
     if n % 2:
-        return _or_empty(a.is_empty, wide(dn, power(a.lo)), wide(up, power(a.hi)))
-    low = f"CASE WHEN {a.lo} > 0 THEN {wide(dn, power(a.lo))} WHEN {a.hi} < 0 THEN {wide(dn, power(a.hi))} ELSE CAST(0 AS DOUBLE) END"
-    return _or_empty(a.is_empty, f"greatest(CAST(0 AS DOUBLE), {low})", f"greatest({wide(up, power(a.lo))}, {wide(up, power(a.hi))})")
+        return _or_empty(a.is_empty, wide(dn, lo), wide(up, hi))
+    low = f"CASE WHEN {a.lo} > 0 THEN {wide(dn, lo)} WHEN {a.hi} < 0 THEN {wide(dn, hi)} ELSE CAST(0 AS DOUBLE) END"
+    return _or_empty(a.is_empty, f"greatest(CAST(0 AS DOUBLE), {low})", f"greatest({wide(up, lo)}, {wide(up, hi)})")
+
 
+def rpow(a: Ival, p: float, steps: Steps | None = None) -> Ival:
+    """Real power; the base is clipped to its non-negative part unless the exponent is whole.
 
-def rpow(a: Ival, p: float) -> Ival:
-    """Real power; the base is clipped to its non-negative part."""
-    if p == int(p) and abs(p) < 1000:
-        return ipow(a, int(p))
-    base = f"greatest({a.lo}, CAST(0 AS DOUBLE))"
+    An exponent that is no finite number gives entire.
+    """
+    if not math.isfinite(p):
+        return _or_empty(a.is_empty, NEG_INF, INF)
+    if p == int(p):
+        return ipow(a, int(p), steps)
+    (base,) = _hold(steps, f"greatest({a.lo}, CAST(0 AS DOUBLE))")
     ends = [f"power({base}, {number(p)})", f"power(greatest({a.hi}, CAST(0 AS DOUBLE)), {number(p)})"]
     if p < 0:
         ends.reverse()
         at_zero = f"({base} = 0)"
         ends[1] = f"(CASE WHEN {at_zero} THEN {INF} ELSE power(CASE WHEN {at_zero} THEN CAST(1 AS DOUBLE) ELSE {base} END, {number(p)}) END)"
         ends[0] = f"(CASE WHEN {a.hi} <= 0 THEN {INF} ELSE power(CASE WHEN {a.hi} <= 0 THEN CAST(1 AS DOUBLE) ELSE {a.hi} END, {number(p)}) END)"
-    return _or_empty(f"({a.is_empty} OR {a.hi} < 0)", f"greatest(CAST(0 AS DOUBLE), {dn(ends[0], 2)})", up(ends[1], 2))
+    lo, hi = _hold(steps, *ends)
+    return _or_empty(f"({a.is_empty} OR {a.hi} < 0)", f"greatest(CAST(0 AS DOUBLE), {dn(lo, 2)})", up(hi, 2))
 
 
-def pow_interval(a: Ival, b: Ival) -> Ival:
+def pow_interval(a: Ival, b: Ival, steps: Steps | None = None) -> Ival:
     """A non-constant exponent: exp(b * log(a)), which encloses every power of a positive base."""
-    return exp(mul(b, log(a)))
+    held = lambda x: Ival(*_hold(steps, x.lo, x.hi))
+    return exp(held(mul(b, held(log(a, steps)), steps)), steps)
+
+
+def sqrt(a: Ival, steps: Steps | None = None) -> Ival:
+    lo, hi = _hold(steps, *(f"sqrt(greatest({x}, CAST(0 AS DOUBLE)))" for x in (a.lo, a.hi)))
+    return _or_empty(f"({a.is_empty} OR {a.hi} < 0)", f"greatest(CAST(0 AS DOUBLE), {dn(lo)})", up(hi))
 
 
-def sqrt(a: Ival) -> Ival:
-    root = lambda x: f"sqrt(greatest({x}, CAST(0 AS DOUBLE)))"
-    return _or_empty(f"({a.is_empty} OR {a.hi} < 0)", f"greatest(CAST(0 AS DOUBLE), {dn(root(a.lo))})", up(root(a.hi)))
+def log(a: Ival, steps: Steps | None = None) -> Ival:
+    lo, hi = _hold(steps, *(f"ln(CASE WHEN {x} > 0 THEN {x} ELSE CAST(1 AS DOUBLE) END)" for x in (a.lo, a.hi)))
+    return _or_empty(f"({a.is_empty} OR {a.hi} <= 0)", f"CASE WHEN {a.lo} <= 0 THEN {NEG_INF} ELSE {dn(lo, 2)} END", up(hi, 2))
 
 
-def log(a: Ival) -> Ival:
-    ln = lambda x: f"ln(CASE WHEN {x} > 0 THEN {x} ELSE CAST(1 AS DOUBLE) END)"
-    return _or_empty(f"({a.is_empty} OR {a.hi} <= 0)", f"CASE WHEN {a.lo} <= 0 THEN {NEG_INF} ELSE {dn(ln(a.lo), 2)} END", up(ln(a.hi), 2))
+def exp(a: Ival, steps: Steps | None = None) -> Ival:
+    lo, hi = _hold(steps, f"exp({a.lo})", f"exp({a.hi})")
+    return _or_empty(a.is_empty, f"greatest(CAST(0 AS DOUBLE), {dn(lo, 2)})", up(hi, 2))
 
 
-def exp(a: Ival) -> Ival:
-    return _or_empty(a.is_empty, f"greatest(CAST(0 AS DOUBLE), {dn(f'exp({a.lo})', 2)})", up(f"exp({a.hi})", 2))
+#: Beyond this size an argument's place in its period is not told from its bounds.
+FAR = "CAST('1048576' AS DOUBLE)"
+#: More than what first + k * period loses to rounding below that size.
+CLOSE = "CAST('1E-9' AS DOUBLE)"
 
 
 def _crosses(a: Ival, first: str, period: str) -> str:
-    """Whether first + k * period lies in the interval for some whole k."""
-    return f"(ceil(({a.lo} - {first}) / {period}) * {period} + {first} <= {a.hi})"
+    """Whether first + k * period lies in the interval, or next to it, for some whole k."""
+    return f"(ceil(({a.lo} - {CLOSE} - {first}) / {period}) * {period} + {first} <= {a.hi} + {CLOSE})"
 
 
-def _wave(a: Ival, fn: str, top: str, bottom: str) -> Ival:
-    whole = f"({a.hi} - {a.lo} >= {TWO_PI} OR isnan({a.hi} - {a.lo}))"
+def _whole(a: Ival, period: str) -> str:
+    return f"({a.hi} - {a.lo} >= {period} OR isnan({a.hi} - {a.lo}) OR abs({a.lo}) > {FAR} OR abs({a.hi}) > {FAR})"
+
+
+def _wave(a: Ival, fn: str, top: str, bottom: str, steps: Steps | None) -> Ival:
+    (whole,) = _hold(steps, _whole(a, TWO_PI))
     # Bounded stand-ins keep the functions off infinities in the branch not taken.
-    safe = lambda x: f"(CASE WHEN {whole} THEN CAST(0 AS DOUBLE) ELSE {x} END)"
-    ends = [f"{fn}({safe(a.lo)})", f"{fn}({safe(a.hi)})"]
-    at = Ival(safe(a.lo), safe(a.hi))
-    lo = f"CASE WHEN {whole} OR {_crosses(at, bottom, TWO_PI)} THEN CAST(-1 AS DOUBLE) ELSE greatest(CAST(-1 AS DOUBLE), {dn(f'least({ends[0]}, {ends[1]})', 2)}) END"
-    hi = f"CASE WHEN {whole} OR {_crosses(at, top, TWO_PI)} THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), {up(f'greatest({ends[0]}, {ends[1]})', 2)}) END"
-    return _or_empty(a.is_empty, lo, hi)
+    at = Ival(*_hold(steps, *(f"(CASE WHEN {whole} THEN CAST(0 AS DOUBLE) ELSE {x} END)" for x in (a.lo, a.hi))))
+    lo, hi = _hold(steps, f"{fn}({at.lo})", f"{fn}({at.hi})")
+    least, greatest = _hold(steps, f"least({lo}, {hi})", f"greatest({lo}, {hi})")
+    low = f"CASE WHEN {whole} OR {_crosses(at, bottom, TWO_PI)} THEN CAST(-1 AS DOUBLE) ELSE greatest(CAST(-1 AS DOUBLE), {dn(least, 2)}) END"
+    high = f"CASE WHEN {whole} OR {_crosses(at, top, TWO_PI)} THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), {up(greatest, 2)}) END"
+    return _or_empty(a.is_empty, low, high)
 
 
-def sin(a: Ival) -> Ival:
-    return _wave(a, "sin", f"({PI} / 2)", f"(-{PI} / 2)")
+def sin(a: Ival, steps: Steps | None = None) -> Ival:
+    return _wave(a, "sin", f"({PI} / 2)", f"(-{PI} / 2)", steps)
 
 
-def cos(a: Ival) -> Ival:
-    return _wave(a, "cos", "CAST(0 AS DOUBLE)", PI)
+def cos(a: Ival, steps: Steps | None = None) -> Ival:
+    return _wave(a, "cos", "CAST(0 AS DOUBLE)", PI, steps)
 
 
-def tan(a: Ival) -> Ival:
-    whole = f"({a.hi} - {a.lo} >= {PI} OR isnan({a.hi} - {a.lo}))"
-    safe = lambda x: f"(CASE WHEN {whole} THEN CAST(0 AS DOUBLE) ELSE {x} END)"
-    pole = f"({whole} OR {_crosses(Ival(safe(a.lo), safe(a.hi)), f'({PI} / 2)', PI)})"
-    return _or_empty(a.is_empty, f"CASE WHEN {pole} THEN {NEG_INF} ELSE {dn(f'tan({safe(a.lo)})', 2)} END", f"CASE WHEN {pole} THEN {INF} ELSE {up(f'tan({safe(a.hi)})', 2)} END")
+def tan(a: Ival, steps: Steps | None = None) -> Ival:
+    (whole,) = _hold(steps, _whole(a, PI))
+    at = Ival(*_hold(steps, *(f"(CASE WHEN {whole} THEN CAST(0 AS DOUBLE) ELSE {x} END)" for x in (a.lo, a.hi))))
+    pole, lo, hi = _hold(steps, f"({whole} OR {_crosses(at, f'({PI} / 2)', PI)})", f"tan({at.lo})", f"tan({at.hi})")
+    return _or_empty(a.is_empty, f"CASE WHEN {pole} THEN {NEG_INF} ELSE {dn(lo, 2)} END", f"CASE WHEN {pole} THEN {INF} ELSE {up(hi, 2)} END")
 
 
 def hull(a: Ival, b: Ival) -> Ival:
@@ -281,23 +324,23 @@ def _inexact(x: str, error: str, down: bool) -> str:
     return f"(CASE WHEN {finite} THEN {x} ELSE {dn(x) if down else up(x)} END)"
 
 
-def exact_add(a: Ival, b: Ival) -> Ival:
-    lo, hi = f"({a.lo} + {b.lo})", f"({a.hi} + {b.hi})"
-    return _or_empty(_any_empty(a, b), _inexact(lo, sum_error(a.lo, b.lo), True), _inexact(hi, sum_error(a.hi, b.hi), False))
+def exact_add(a: Ival, b: Ival, steps: Steps | None = None) -> Ival:
+    lo, hi, lo_error, hi_error = _hold(steps, f"({a.lo} + {b.lo})", f"({a.hi} + {b.hi})", sum_error(a.lo, b.lo), sum_error(a.hi, b.hi))
+    return _or_empty(_any_empty(a, b), _inexact(lo, lo_error, True), _inexact(hi, hi_error, False))
 
 
-def exact_sub(a: Ival, b: Ival) -> Ival:
-    return exact_add(a, neg(b))
+def exact_sub(a: Ival, b: Ival, steps: Steps | None = None) -> Ival:
+    return exact_add(a, neg(b), steps)
 
 
-def exact_mul(a: Ival, b: Ival) -> Ival:
+def exact_mul(a: Ival, b: Ival, steps: Steps | None = None) -> Ival:
     """Each product is stepped only where it was rounded; tiny or huge ones always are."""
-    los, his = [], []
-    for x in (a.lo, a.hi):
-        for y in (b.lo, b.hi):
-            p = f"({x} * {y})"
-            sure = f"({product_error(x, y)} = 0 AND (({p} = 0 AND ({x} = 0 OR {y} = 0)) OR (abs({p}) > CAST('1E-290' AS DOUBLE) AND abs({p}) < CAST('1E300' AS DOUBLE))))"
-            los.append(f"(CASE WHEN {sure} THEN {p} ELSE {dn(p)} END)")
-            his.append(f"(CASE WHEN {sure} THEN {p} ELSE {up(p)} END)")
-    bad = "(" + " OR ".join(_nan(f"({x} * {y})") for x in (a.lo, a.hi) for y in (b.lo, b.hi)) + ")"
+    pairs = [(x, y) for x in (a.lo, a.hi) for y in (b.lo, b.hi)]
+    ps = _hold(steps, *(f"({x} * {y})" for x, y in pairs))
+    errors = _hold(steps, *(product_error(x, y) for x, y in pairs))
+    known = [f"({e} = 0 AND (({p} = 0 AND ({x} = 0 OR {y} = 0)) OR (abs({p}) > CAST('1E-290' AS DOUBLE) AND abs({p}) < CAST('1E300' AS DOUBLE))))" for (x, y), p, e in zip(pairs, ps, errors)]
+    sure = _hold(steps, *known)
+    los = _hold(steps, *(f"(CASE WHEN {k} THEN {p} ELSE {dn(p)} END)" for k, p in zip(sure, ps)))
+    his = _hold(steps, *(f"(CASE WHEN {k} THEN {p} ELSE {up(p)} END)" for k, p in zip(sure, ps)))
+    bad = "(" + " OR ".join(_nan(p) for p in ps) + ")"
     return _or_empty(_any_empty(a, b), f"CASE WHEN {bad} THEN {NEG_INF} ELSE least({', '.join(los)}) END", f"CASE WHEN {bad} THEN {INF} ELSE greatest({', '.join(his)}) END")

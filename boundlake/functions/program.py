@@ -150,10 +150,11 @@ ROW_SCHEMA = "program string, slot int, kind string, name string, value double,
 
 _UNARY = {"neg": iv.neg, "sqrt": iv.sqrt, "log": iv.log, "exp": iv.exp, "sin": iv.sin, "cos": iv.cos, "tan": iv.tan}
 _BINARY = {"add": iv.add, "sub": iv.sub, "mul": iv.mul, "div": iv.div}
+_PLAIN = (iv.neg, iv.add, iv.sub)
 _EXACT = {"add": iv.exact_add, "sub": iv.exact_sub, "mul": iv.exact_mul}
 
 
-def _slot_bounds(slot: Slot, at: list[iv.Ival], slots: list[Slot], exact: bool, columns: dict[str, iv.Ival]) -> iv.Ival:
+def _slot_bounds(slot: Slot, at: list[iv.Ival], slots: list[Slot], exact: bool, columns: dict[str, iv.Ival], steps: iv.Steps) -> iv.Ival:
     node, args = slot.node, [at[i] for i in slot.args]
     if node.kind == "const":
         return iv.Ival.point(node.value)
@@ -164,7 +165,10 @@ def _slot_bounds(slot: Slot, at: list[iv.Ival], slots: list[Slot], exact: bool,
     if node.kind == "hole":
         given = columns.get(node.name)
         own = iv.Ival(iv.number(node.phys[0]), iv.number(node.phys[1]))
-        return own if given is None else iv.Ival(f"coalesce({given.lo}, {own.lo})", f"coalesce({given.hi}, {own.hi})")
+        if given is None:
+            return own
+        model = f"{given.lo} <= {given.hi}"  # a missing or empty (refuted) model falls back to the physical range
+        return iv.Ival(f"(CASE WHEN {model} THEN {given.lo} ELSE {own.lo} END)", f"(CASE WHEN {model} THEN {given.hi} ELSE {own.hi} END)")
     if node.kind == "disj":
         out = args[0]
         for x in args[1:]:
@@ -179,10 +183,9 @@ def _slot_bounds(slot: Slot, at: list[iv.Ival], slots: list[Slot], exact: bool,
         return iv.ENTIRE  # an unknown function bounds nothing
     if node.name == "pow":
         exponent = slots[slot.args[1]].node
-        return iv.rpow(args[0], exponent.value) if exponent.kind == "const" else iv.pow_interval(*args)
-    if node.name in _UNARY:
-        return _UNARY[node.name](args[0])
-    return (_EXACT if exact and node.name in _EXACT else _BINARY)[node.name](*args)
+        return iv.rpow(args[0], exponent.value, steps) if exponent.kind == "const" else iv.pow_interval(*args, steps)
+    made = {**_UNARY, **_BINARY, **(_EXACT if exact else {})}[node.name]
+    return made(*args) if made in _PLAIN else made(*args, steps)
 
 
 def stages(root: Node, columns: dict[str, tuple[str, str]], ks: float = 0.0, exact: bool = False) -> list[list[tuple[str, str]]]:
@@ -197,11 +200,13 @@ def stages(root: Node, columns: dict[str, tuple[str, str]], ks: float = 0.0, exa
     at: list[iv.Ival] = []
     out: list[list[tuple[str, str]]] = []
     for i, slot in enumerate(slots):
-        made = _slot_bounds(slot, at, slots, exact, bounds)
+        steps = iv.Steps(f"s{i}")
+        made = _slot_bounds(slot, at, slots, exact, bounds, steps)
         if slot.node.kind == "const":
             at.append(made)
             continue
         names = (f"s{i}_lo", f"s{i}_hi")
+        out += steps.stages
         out.append([(names[0], made.lo), (names[1], made.hi)])
         at.append(iv.Ival(*names))
     terms = [iv.number(ks)]

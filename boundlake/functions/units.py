@@ -37,7 +37,17 @@ def dim_text(a: Column) -> Column:
 
 def to_si(df: DataFrame, units: DataFrame, value: str, unit: str) -> DataFrame:
     """Add ``si``: value * scale + offset of the row's unit; null for unknown units."""
-    return df.join(F.broadcast(units.limit(100_000)).select(F.col("name").alias(unit), "scale", "offset"), unit, "left").withColumn("si", F.col(value) * F.col("scale") + F.col("offset")).drop("scale", "offset")
+    return df.join(_named(units, unit), unit, "left").withColumn("si", F.col(value) * F.col("scale") + F.col("offset")).drop("scale", "offset")
+
+
+def from_si(df: DataFrame, units: DataFrame, value: str, unit: str) -> DataFrame:
+    """Add ``own``: the SI value in the row's unit, (value - offset) / scale; null for unknown units and scale 0."""
+    own = F.when(F.col("scale") != 0, (F.col(value) - F.col("offset")) / F.col("scale"))
+    return df.join(_named(units, unit), unit, "left").withColumn("own", own).drop("scale", "offset")
+
+
+def _named(units: DataFrame, unit: str) -> DataFrame:
+    return units.select(F.col("name").alias(unit), "scale", "offset")
 
 
 def smith(a: list[list[int]]) -> tuple[list[list[int]], list[list[int]], list[list[int]], int]:

@@ -12,21 +12,25 @@ from ..stores import checkpointed
 from . import verdict as v
 
 
-def sivia(boxes: DataFrame, root: pg.Node, symbols: list[str], epsilon: float = 0.01, ks: float = 0.0, most_levels: int = 40) -> DataFrame:
+def sivia(boxes: DataFrame, root: pg.Node, symbols: list[str], epsilon: float = 0.01, ks: float = 0.0, most_levels: int | None = None) -> DataFrame:
     """Settle boxes as safe, failed or (narrower than ``epsilon``) unknown, bisecting the widest side.
 
     ``boxes`` has ``x_lo, x_hi`` for each symbol and may hold many runs; all its
     other columns are kept. Levels run one after the other, each on all open
-    boxes at once; equal widths split the first symbol.
+    boxes at once, until none is open; equal widths split the first symbol.
+    Boxes without finite bounds cannot be halved and stay unknown unless they
+    are settled at once, as do all that ``most_levels`` leaves open, if given.
     """
+    if not epsilon > 0:
+        raise ValueError("epsilon must be above 0")
     names = [(f"{s}_lo", f"{s}_hi") for s in symbols]
     columns = {s: n for s, n in zip(symbols, names)}
     open_, done = boxes, None
     width = F.greatest(*(F.col(hi) - F.col(lo) for lo, hi in names)) if len(names) > 1 else F.col(names[0][1]) - F.col(names[0][0])
-    for _ in range(most_levels):
+    for _ in itertools.count() if most_levels is None else range(most_levels):
         judged = pg.evaluate(open_, root, columns, ks)
         status = v.decide(F.col("ms_lo"), F.col("ms_hi"), F.col("residual"))
-        status = F.when(status == "SAFE", "safe").when(status == "FAIL", "fail").when(width < epsilon, "unknown").otherwise("open")
+        status = F.when(status == "SAFE", "safe").when(status == "FAIL", "fail").when((width < epsilon) | ~(width < float("inf")), "unknown").otherwise("open")
         judged = judged.withColumn("status", status).drop("ms_lo", "ms_hi", "residual")
         judged = checkpointed(judged)
         settled = judged.where("status <> 'open'")

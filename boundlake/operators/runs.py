@@ -69,22 +69,58 @@ def action(priority: Column, has_fix: Column, proceed: bool = False) -> Column:
     return (out.when(priority == 0, "proceed") if proceed else out).otherwise("work_order")
 
 
-# Function families that a formula evaluator must report as unsupported.
-LOOKUPS = ("VLOOKUP", "HLOOKUP", "XLOOKUP", "LOOKUP", "INDEX", "MATCH", "OFFSET", "INDIRECT", "CHOOSE")
-DYNAMIC = ("FILTER", "SORT", "UNIQUE", "SEQUENCE", "LET", "LAMBDA")
+# Functions that a formula evaluator must report as unsupported, in their order.
+UNSUPPORTED = (
+    "XLOOKUP", "VLOOKUP", "HLOOKUP", "LOOKUP", "INDEX", "MATCH", "XMATCH", "OFFSET", "INDIRECT", "LAMBDA",
+    "LET", "FILTER", "UNIQUE", "SEQUENCE", "SORT", "SORTBY", "TEXTJOIN", "CHOOSE", "GETPIVOTDATA",
+)
+#: Those that make an array or a function; the others look cells up.
+DYNAMIC = {"LAMBDA", "LET", "FILTER", "UNIQUE", "SEQUENCE", "SORT", "SORTBY", "TEXTJOIN"}
 
 
 def construct(formula: Column) -> Column:
-    """Why a formula is not supported, or null."""
-    called = lambda names: formula.rlike(r"(?i)\b(" + "|".join(names) + r")\s*\(")
+    """The first reason why a formula is not supported, or null."""
+    called = lambda names: r"(?i)\b(" + "|".join(names) + r")\s*\("
+    dynamic, lookups = called(x for x in UNSUPPORTED if x in DYNAMIC), called(x for x in UNSUPPORTED if x not in DYNAMIC)
     return (
         F.when(formula.rlike(r"\[\d+\]"), "external_reference")
-        .when(called(LOOKUPS), F.concat(F.lit("lookup:"), F.upper(F.regexp_extract(formula, r"(?i)\b(" + "|".join(LOOKUPS) + r")\s*\(", 1))))
-        .when(called(DYNAMIC), F.concat(F.lit("dynamic:"), F.upper(F.regexp_extract(formula, r"(?i)\b(" + "|".join(DYNAMIC) + r")\s*\(", 1))))
+        .when(formula.rlike(lookups), F.concat(F.lit("lookup:"), F.upper(F.regexp_extract(formula, lookups, 1))))
+        .when(formula.rlike(dynamic), F.concat(F.lit("dynamic:"), F.upper(F.regexp_extract(formula, dynamic, 1))))
         .when(formula.rlike('"'), "text")
     )
 
 
+def reasons(formula: Column) -> Column:
+    """All reasons why a formula is a hole, in order; a name also counts inside a longer one, as LOOKUP in VLOOKUP."""
+    upper = F.upper(formula)
+    external = F.contains(formula, F.lit("[")) & F.contains(formula, F.lit("]"))
+    found = [F.when(external, F.lit("external_ref")), *(F.when(F.contains(upper, F.lit(f"{x}(")), F.lit(f"unsupported_function:{x}")) for x in UNSUPPORTED)]
+    return F.array_compact(F.array(*found))
+
+
+def ledger(cells: DataFrame, workbook: str, formula: str, value: str) -> DataFrame:
+    """Coverage of each workbook: cells by class, holes, share, confidence and flags.
+
+    A cell counts as formula, else as constant if it has a value.
+    """
+    why = F.coalesce(reasons(F.col(formula)), F.array().cast("array<string>"))
+    counted = cells.withColumn("_why", why).groupBy(workbook).agg(
+        F.count_if(F.col(formula).isNotNull() | F.col(value).isNotNull()).alias("total_cells"),
+        F.count(formula).alias("formula_cells"),
+        F.count_if(F.col(formula).isNull() & F.col(value).isNotNull()).alias("constant_cells"),
+        F.count_if(F.size("_why") > 0).alias("hole_cells"),
+        F.count_if(F.array_contains("_why", "external_ref")).alias("_external"),
+    )
+    share = F.when(F.col("formula_cells") > 0, F.col("hole_cells") / F.col("formula_cells")).otherwise(0.0)
+    flags = F.array_compact(F.array(F.when(share >= 0.1, F.lit("high_uncovered_ratio")), F.when(F.col("_external") > 0, F.lit("external_refs_present"))))
+    return counted.withColumn("confidence", F.when(share < 0.02, "high").when(share < 0.1, "medium").otherwise("low")).withColumn("flags", flags).drop("_external")
+
+
+def hole_reasons(cells: DataFrame, workbook: str, formula: str) -> DataFrame:
+    """(workbook, reason, n): histogram of the reasons of each workbook's holes."""
+    return cells.select(workbook, F.explode(reasons(F.col(formula))).alias("reason")).groupBy(workbook, "reason").agg(F.count("*").alias("n"))
+
+
 def coverage(cells: DataFrame, workbook: str, formula: str) -> DataFrame:
     """Ledger of each workbook: cells, formulas, unsupported ones, confidence."""
     reason = construct(F.col(formula))

@@ -104,3 +104,26 @@ def explain(trace: DataFrame, run: list[str]) -> DataFrame:
     reason = F.struct((-F.col("share")).alias("order"), F.col("name"), F.col("kind"), F.col("share"), advice.alias("advice"))
     grouped = wanted.groupBy(*run).agg(F.sort_array(F.collect_list(reason)).alias("reasons"))
     return grouped.select(*run, "reasons", F.format_string("%d uncertain parts; worst: %s", F.size("reasons"), F.col("reasons")[0]["name"]).alias("summary"))
+
+
+def abstain_report(trace: DataFrame, run: list[str]) -> DataFrame:
+    """(run, holes, hole_share, summary): how much of a run's uncertainty its holes account for.
+
+    ``trace`` has one row for each node with kind (``hole_phys``, ``hole_refuted``,
+    ``disjunction`` or any other) and width; shares are of the sum of all widths.
+    """
+    holes = F.col("kind").startswith("hole")
+    total = F.sum("width")
+    share = F.when(total > 0, F.sum(F.when(holes, F.col("width")).otherwise(0.0)) / F.when(total > 0, total).otherwise(1.0)).otherwise(F.sum(F.when(holes, F.col("width")).otherwise(0.0)))
+    counted = trace.groupBy(*run).agg(F.count_if(holes).alias("holes"), F.count_if(holes | (F.col("kind") == "disjunction")).alias("_reasons"), share.alias("hole_share"))
+    said = F.format_string("%d hole(s) account for %.0f%% of uncertainty", "holes", F.col("hole_share") * 100)
+    return counted.withColumn("summary", F.when(F.col("_reasons") == 0, "no decomposable uncertainty source").otherwise(said)).drop("_reasons")
+
+
+def instruction(kind: Column, name: Column) -> Column:
+    """What would narrow a reason to abstain."""
+    return (
+        F.when(kind == "hole_refuted", F.concat(F.lit("wrapper refuted: revisit the regularity assumption for "), name))
+        .when(kind == "hole_phys", F.concat(F.lit("no wrapper: add measured input and output bounds for "), name))
+        .otherwise(F.lit("ambiguous formula: choose among the candidates"))
+    )

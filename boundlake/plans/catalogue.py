@@ -16,6 +16,7 @@ from ..functions import formula, interval, points, units
 from ..functions import program as pg
 from ..operators import boxes, registry, runs, structure
 from ..operators import verdict as v
+from . import twins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,22 +61,10 @@ def margin_boxes(spark: SparkSession, sf_dir: str, rel: float) -> DataFrame:
     )
 
 
-def boxes_sql(rel: float) -> str:
-    lo, hi = interval.number(1 - rel), interval.number(1 + rel)
-    return f"(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * {lo} AS sall_lo, l_extendedprice * {hi} AS sall_hi, l_quantity * {lo} AS load_lo, l_quantity * {hi} AS load_hi FROM lineitem)"
-
-
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-INFS = "CAST('Infinity' AS DOUBLE)"
-VERDICT = f"CASE WHEN isnan(ms_lo) OR isnan(ms_hi) OR abs(ms_lo) = {INFS} OR abs(ms_hi) = {INFS} OR residual < 0 THEN 'ABSTAIN' WHEN ms_lo - residual > 0 THEN 'SAFE' WHEN ms_hi + residual < 0 THEN 'FAIL' ELSE 'ABSTAIN' END"
-SCORE = f"CASE WHEN isnan(ms_lo) OR isnan(ms_hi) OR abs(ms_lo) = {INFS} OR abs(ms_hi) = {INFS} OR residual < 0 THEN CAST(1 AS DOUBLE) ELSE 1 / (1 + exp(CAST(3 AS DOUBLE) * ((ms_lo - residual) / ((ms_hi - ms_lo) + residual + CAST('1e-12' AS DOUBLE))))) END"
 PRIORITY = "CASE WHEN cs < 0.2 THEN 0 WHEN cs < 0.5 THEN 1 WHEN cs < 0.75 THEN 2 WHEN cs < 0.9 THEN 3 ELSE 4 END"
 LABEL = "CASE WHEN cs < 0.2 THEN 'SAFE' WHEN cs < 0.5 THEN 'WATCH' WHEN cs < 0.75 THEN 'REVIEW' WHEN cs < 0.9 THEN 'CRITICAL' ELSE 'HALT' END"
-
-
-def margin_sql(rel: float, root: pg.Node = MARGIN) -> str:
-    inner = pg.to_sql(root, BOUNDS, boxes_sql(rel), KEYS)
-    return f"(SELECT *, {VERDICT} AS verdict, {SCORE} AS cs FROM ({inner}) AS m)"
+margin_sql = twins.margins
 
 
 def margins(spark: SparkSession, sf_dir: str, rel: float = 0.05, root: pg.Node = MARGIN) -> DataFrame:
@@ -88,7 +77,7 @@ def margin_verdict(spark, sf_dir):
     return margins(spark, sf_dir).select("l_orderkey", "l_linenumber", "ms_lo", "ms_hi", "verdict")
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round(residual, 6) AS residual, round(ms_lo, 9) AS ms_lo, round(ms_hi, 9) AS ms_hi, verdict FROM {margin_sql(0.05, HOLED)} AS x")
+@query(f"SELECT l_orderkey, l_linenumber, round(residual, 6) AS residual, round(ms_lo, 9) AS ms_lo, round(ms_hi, 9) AS ms_hi, verdict FROM {margin_sql(0.05, holed=True)} AS x")
 def hole_verdict(spark, sf_dir):
     return margins(spark, sf_dir, 0.05, HOLED).select("l_orderkey", "l_linenumber", r("residual").alias("residual"), r("ms_lo", 9).alias("ms_lo"), r("ms_hi", 9).alias("ms_hi"), "verdict")
 
@@ -160,44 +149,53 @@ def cert_digest(spark, sf_dir):
 
 # --- single interval kernels over parts ---------------------------------------------------------
 
-_A, _B = interval.Ival("a_lo", "a_hi"), interval.Ival("b_lo", "b_hi")
+_A, _B, _C = interval.Ival("a_lo", "a_hi"), interval.Ival("b_lo", "b_hi"), interval.Ival("c_lo", "c_hi")
 KERNELS = {
-    "neg": interval.neg(_A), "add": interval.add(_A, _B), "sub": interval.sub(_A, _B), "mul": interval.mul(_A, _B), "div": interval.div(_A, _B), "sqr": interval.sqr(_A),
-    "cube": interval.ipow(_A, 3), "inverse_square": interval.ipow(_A, -2), "root": interval.sqrt(_A), "log": interval.log(_A), "exp": interval.exp(interval.Ival("c_lo", "c_hi")),
-    "sin": interval.sin(_A), "cos": interval.cos(_A), "tan": interval.tan(interval.Ival("c_lo", "c_hi")), "pow": interval.rpow(_A, 1.5), "hull": interval.hull(_A, _B), "meet": interval.meet(_A, _B),
-    "max": interval.maximum(_A, _B), "min": interval.minimum(_A, _B), "abs": interval.absolute(_A), "exact_add": interval.exact_add(_A, _B), "exact_mul": interval.exact_mul(_A, _B),
+    "neg": lambda s: interval.neg(_A), "add": lambda s: interval.add(_A, _B), "sub": lambda s: interval.sub(_A, _B), "mul": lambda s: interval.mul(_A, _B, s), "div": lambda s: interval.div(_A, _B, s),
+    "sqr": lambda s: interval.sqr(_A, s), "cube": lambda s: interval.ipow(_A, 3, s), "inverse_square": lambda s: interval.ipow(_A, -2, s), "ninth": lambda s: interval.ipow(_C, 9, s),
+    "root": lambda s: interval.sqrt(_A, s), "log": lambda s: interval.log(_A, s), "exp": lambda s: interval.exp(_C, s), "sin": lambda s: interval.sin(_A, s), "cos": lambda s: interval.cos(_A, s),
+    "tan": lambda s: interval.tan(_C, s), "pow": lambda s: interval.rpow(_A, 1.5, s), "hull": lambda s: interval.hull(_A, _B), "meet": lambda s: interval.meet(_A, _B),
+    "max": lambda s: interval.maximum(_A, _B), "min": lambda s: interval.minimum(_A, _B), "abs": lambda s: interval.absolute(_A),
+    "exact_add": lambda s: interval.exact_add(_A, _B, s), "exact_mul": lambda s: interval.exact_mul(_A, _B, s),
 }
 _OPERANDS = "(SELECT p_partkey, CAST(p_size AS DOUBLE) - 25 AS a_lo, CAST(p_size AS DOUBLE) - 25 + CAST(p_partkey % 7 AS DOUBLE) / 4 AS a_hi, p_retailprice / 1000 - 1 AS b_lo, p_retailprice / 1000 - CAST('0.5' AS DOUBLE) AS b_hi, (CAST(p_size AS DOUBLE) - 25) / 32 AS c_lo, (CAST(p_size AS DOUBLE) - 24) / 32 AS c_hi FROM part)"
 
 
-def _kernel_sql(names: list[str]) -> str:
-    parts = ", ".join(f"round(CASE WHEN abs({e}) < CAST('1e300' AS DOUBLE) THEN {e} ELSE CAST(NULL AS DOUBLE) END, 6) AS {k}_{side}" for k in names for side, e in (("lo", KERNELS[k].lo), ("hi", KERNELS[k].hi)))
-    return f"SELECT p_partkey, {parts} FROM {_OPERANDS} AS o"
+def operands(spark, sf_dir):
+    size = F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", (size - 25).alias("a_lo"), (size - 25 + (F.col("p_partkey") % 7).cast("double") / 4).alias("a_hi"),
+        (F.col("p_retailprice") / 1000 - 1).alias("b_lo"), (F.col("p_retailprice") / 1000 - 0.5).alias("b_hi"), ((size - 25) / 32).alias("c_lo"), ((size - 24) / 32).alias("c_hi"),
+    )
 
 
-def _kernel_query(names: list[str]):
+def _kernel_query(names: list[str], digits: int | None):
+    """Bounds of kernels, infinite ones as null with a column of their own that says which."""
+
     def run(spark, sf_dir):
-        p = table(spark, sf_dir, "part")
-        size = F.col("p_size").cast("double")
-        o = p.select(
-            "p_partkey", (size - 25).alias("a_lo"), (size - 25 + (F.col("p_partkey") % 7).cast("double") / 4).alias("a_hi"),
-            (F.col("p_retailprice") / 1000 - 1).alias("b_lo"), (F.col("p_retailprice") / 1000 - 0.5).alias("b_hi"), ((size - 25) / 32).alias("c_lo"), ((size - 24) / 32).alias("c_hi"),
-        )
-        for k in names:  # one projection for each kernel
-            o = o.select("*", F.expr(KERNELS[k].lo).alias(f"{k}_lo"), F.expr(KERNELS[k].hi).alias(f"{k}_hi"))
-        shown = lambda c: r(F.when(F.abs(F.col(c)) < 1e300, F.col(c)), 6).alias(c)
-        return o.select("p_partkey", *(shown(f"{k}_{s}") for k in names for s in ("lo", "hi")))
+        o = operands(spark, sf_dir)
+        for k in names:
+            steps = interval.Steps(k)
+            made = KERNELS[k](steps)
+            for stage in [*steps.stages, [(f"{k}_lo", made.lo), (f"{k}_hi", made.hi)]]:
+                o = o.select("*", *(F.expr(sql).alias(name) for name, sql in stage))
+        ends = [f"{k}_{s}" for k in names for s in ("lo", "hi")]
+        endless = lambda c: F.abs(F.col(c)) == float("inf")
+        finite = lambda c: F.when(F.col(c) == 0, 0.0).when(~endless(c), F.col(c))
+        shown = lambda c: (finite(c) if digits is None else r(finite(c), digits)).alias(c)
+        return o.select("p_partkey", *map(shown, ends), F.concat_ws(" ", *(F.when(endless(c), F.concat(F.lit(c), F.when(F.col(c) > 0, "+").otherwise("-"))) for c in ends)).alias("infinite"))
 
     return run
 
 
-for _name, _set in {
-    "interval_arithmetic": ["neg", "add", "sub", "mul", "div", "sqr", "cube", "inverse_square", "abs"],
-    "interval_functions": ["root", "log", "exp", "sin", "cos", "tan", "pow"],
-    "interval_sets": ["hull", "meet", "max", "min"],
-    "interval_exact": ["exact_add", "exact_mul"],
-}.items():
-    QUERIES[_name], ORACLE_SQL[_name] = _kernel_query(_set), _kernel_sql(_set)
+_KERNEL_SETS = {
+    "interval_arithmetic": (["neg", "add", "sub", "mul", "div", "sqr", "cube", "inverse_square", "abs"], None),
+    "interval_functions": (["root", "log", "exp", "sin", "cos", "tan", "pow", "ninth"], 6),
+    "interval_sets": (["hull", "meet", "max", "min"], None),
+    "interval_exact": (["exact_add", "exact_mul"], None),
+}
+for _name, (_set, _digits) in _KERNEL_SETS.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _kernel_query(_set, _digits), twins.kernels(_set, _digits, _OPERANDS)
 
 
 @query(f"SELECT p_partkey, round({interval.width(_A)}, 6) AS width, round({interval.middle(_A)}, 6) AS middle, round({interval.magnitude(_A)}, 6) AS magnitude, {interval.contains(_A, 'CAST(0 AS DOUBLE)')} AS has_zero, {interval.subset(_A, _B)} AS inside, {interval.equal(_A, _B)} AS same, {_A.is_empty} AS empty FROM {_OPERANDS} AS o")
@@ -399,6 +397,7 @@ def lineage(spark, sf_dir):
 
 
 def _band():
+    """Priority of an event by its value."""
     x = F.col("value")
     return F.when(x >= 90, 4).when(x >= 60, 3).when(x >= 30, 2).when(x >= 10, 1).otherwise(0)
 
@@ -461,9 +460,9 @@ def event_file(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CAST(coalesce(q * CAST('0.99' AS DOUBLE), p_size * CAST('0.95' AS DOUBLE)) AS DOUBLE) AS lo, CAST(coalesce(q * CAST('1.01' AS DOUBLE), p_size * CAST('1.05' AS DOUBLE)) AS DOUBLE) AS hi, q IS NOT NULL AS measured
-FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) AS m ON p_partkey = l_partkey""")
+FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity) AS q FROM lineitem GROUP BY 1) AS m ON p_partkey = l_partkey""")
 def params_override(spark, sf_dir):
-    measured = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").alias("q"))
+    measured = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").alias("q"))
     p = table(spark, sf_dir, "part").join(measured, "p_partkey", "left")
     return p.select("p_partkey", F.coalesce(F.col("q") * 0.99, F.col("p_size") * 0.95).alias("lo"), F.coalesce(F.col("q") * 1.01, F.col("p_size") * 1.05).alias("hi"), F.col("q").isNotNull().alias("measured"))
 
@@ -533,10 +532,11 @@ def topological_levels(spark, sf_dir):
     return structure.topological_levels(tree_edges(spark, sf_dir)).withColumn("level", big("level"))
 
 
-@query("SELECT DISTINCT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linenumber = 7)")
+@query(f"WITH e AS {_EDGES} SELECT node FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) AS n WHERE node NOT IN (SELECT src FROM e)")
 def margin_sinks(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_partkey").alias("src"))
-    return structure.sinks(table(spark, sf_dir, "part").select("p_partkey"), edges, "p_partkey")
+    edges = tree_edges(spark, sf_dir)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return structure.sinks(nodes, edges.select("src"), "node")
 
 
 @query("""SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, CASE WHEN a.src IS NULL THEN 'interventional' WHEN b.src IS NULL THEN 'syntactic' ELSE 'both' END AS origin, b.sens
@@ -683,9 +683,9 @@ def reduction_plan(spark, sf_dir):
     return v.reduction_plan(t, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", r("width").alias("width"), r("share", 9).alias("share"))
 
 
-@query("""SELECT l_orderkey, CAST(count(*) AS BIGINT) AS parts, count(*) || ' uncertain parts; worst: ' || min_by('p' || l_partkey, (-share, 'p' || l_partkey)) AS summary FROM (SELECT *, w / max(w) OVER (PARTITION BY l_orderkey) AS share FROM (SELECT l_orderkey, l_partkey, l_extendedprice AS w FROM lineitem WHERE l_linenumber <= 5) AS y) AS x GROUP BY 1""")
+@query("""SELECT l_orderkey, CAST(count(*) AS BIGINT) AS parts, count(*) || ' uncertain parts; worst: ' || min_by('p' || l_partkey, (-share, 'p' || l_partkey)) AS summary FROM (SELECT *, w / max(w) OVER (PARTITION BY l_orderkey) AS share FROM (SELECT l_orderkey, l_partkey, l_extendedprice AS w FROM lineitem) AS y) AS x GROUP BY 1""")
 def explain_abstain(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").select("l_orderkey", F.concat(F.lit("p"), "l_partkey").alias("name"), F.lit("hole").alias("kind"), F.col("l_extendedprice").alias("width"))
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("p"), "l_partkey").alias("name"), F.lit("hole").alias("kind"), F.col("l_extendedprice").alias("width"))
     return v.explain(t, ["l_orderkey"]).select("l_orderkey", big(F.size("reasons")).alias("parts"), "summary")
 
 

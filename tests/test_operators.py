@@ -36,33 +36,59 @@ def test_contract(spark):
 
 
 def test_registry_tree(spark):
-    names = ["fuselage/s655/stringers/stringer_loads_Rev_C.xlsx", "fuselage/s655/stringers/stringer_loads_Rev_D.xlsx", "fuselage/s655/frames/frame_station_120_v1.xlsx", "fuselage/s655/frames/frame_station_120_v2.xlsx", "fuselage/s676/fasteners/rivet_joint_R1.xlsx", "fuselage/s676/fasteners/rivet_joint_R2.xlsx", "fuselage/s676/fasteners/bolt_joint.xlsx", "wing/panels/panel_buckling.csv"]
+    names = [
+        "bridges/north/cables/tension_v3.xlsx", "bridges/north/cables/tension_v7.xlsx", "bridges/north/cables/tension_v12.xlsx",
+        "bridges/south/deck plan R2.csv", "bridges/south/piers/pier-depth_Rev_B.xlsx", "towers/mast.xlsx", "readme.txt",
+    ]
     df = spark.createDataFrame([(n, n.rpartition("/")[2], i) for i, n in enumerate(names)], "rel string, name string, mtime long")
     out = {r.rel: r for r in files.catalogue(df).collect()}
-    assert sum(r.is_head for r in out.values()) == 5
-    assert out[names[1]].is_head and out[names[1]].revision == 4 and out[names[0]].config_key == "stringer_loads" and not out[names[0]].is_head
-    assert registry.folders(df, "rel").count() == 9 and out[names[6]].revision is None
-    ranks = spark.createDataFrame([("bolt_joint_v10.xlsx",), ("frame_R3.xlsx",), ("rivet.xlsx",), ("x_RevG_1.xlsx",), ("x_RevG1_655_676.xlsx",), ("x_RevH.xlsx",), ("skin_analysis_Revised_final.xlsx",)], "n string").select(registry.revision_rank(F.col("n")).alias("r"))
-    assert [r.r for r in ranks.collect()] == [10, 3, None, 7, 7.001, 8, None]
-    text = spark.createDataFrame([(1, "RIVET, RIVET DIAMETER, SHEAR, PITCH"), (2, "BAY ID, FEM LOAD CASE, Nx, Nxy, MSstr_buck"), (3, None)], "id int, t string")
-    assert {r.id: r.format_type for r in registry.classify(text, "id", "t", registry.markers(spark)).collect()} == {1: "rivet_joint", 2: "stringer_fem_loads", 3: "unknown"}
+    assert {n for n in names if out[n].is_head} == {names[2], names[3], names[4], names[5], names[6]}
+    assert [out[n].revision for n in names] == [3, 7, 12, 2, 2, None, None] and out[names[0]].config_key == "tension"
+    assert {r.rel: r.n_files for r in registry.folders(df, "rel").collect()} == {"": 7, "bridges": 5, "bridges/north": 3, "bridges/north/cables": 3, "bridges/south": 2, "bridges/south/piers": 1, "towers": 1}
+    ranks = [("deck_v41.csv", 41), ("deck_R8.csv", 8), ("deck.csv", None), ("deck_RevD_2.csv", 4), ("deck_RevD2_9_9.csv", 4.002), ("deck_RevE.csv", 5), ("deck_reviewed_twice.csv", None), ("deck rev 6.csv", 6), ("deck_RevAA.csv", 27)]
+    found = spark.createDataFrame([(n,) for n, _ in ranks], "n string").select("n", registry.revision_rank(F.col("n")).alias("r")).collect()
+    assert {r.n: r.r for r in found} == dict(ranks)
+
+
+def test_formats_and_ties(spark):
+    texts = [(i, " | ".join(words)) for i, (_, _, words) in enumerate(registry.FORMATS)] + [(100, "a panel with buckling"), (101, "skin"), (102, ""), (103, None)]
+    got = {r.id: r for r in registry.classify(spark.createDataFrame(texts, "id int, t string"), "id", "t", registry.markers(spark)).collect()}
+    for i, (name, _, words) in enumerate(registry.FORMATS):
+        assert (got[i].format_type, got[i].hits) == (name, len(words))
+    assert (got[100].format_type, got[101].format_type) == ("panel_buckling", "skin_stringer_fem")
+    assert got[102].format_type == got[103].format_type == "unknown"
+    tie = registry.classify(spark.createDataFrame([(1, "shear and torque")], "id int, t string"), "id", "t", registry.markers(spark)).first()
+    assert tie.format_type == "rivet_joint"  # one marker each; the earlier format wins
+    assert spark.range(1).select(registry.domain(F.lit("bolt_joint")).alias("d"), registry.domain(F.lit("x")).alias("n")).first()[:] == ("fastener.bolt", None)
+
+
+def test_unsupported_functions_are_all_found(spark):
+    rows = [(x, f"={x.lower()}(A1,2)") for x in runs.UNSUPPORTED]
+    found = {r.name: r for r in spark.createDataFrame(rows, "name string, f string").select("name", runs.reasons(F.col("f")).alias("why"), runs.construct(F.col("f")).alias("c")).collect()}
+    for name in runs.UNSUPPORTED:
+        assert f"unsupported_function:{name}" in found[name].why and found[name].c.endswith(f":{name}")
+    cells = spark.createDataFrame([("w", "=A1+1", None), ("w", "=[2]X!A1", None), ("w", "=VLOOKUP(A1,B1:B2,1)", None), ("w", None, 3.0), ("w", None, None), ("v", "=A1", None)], "w string, f string, v double")
+    got = {r.w: r for r in runs.ledger(cells, "w", "f", "v").collect()}
+    assert (got["w"].total_cells, got["w"].formula_cells, got["w"].constant_cells, got["w"].hole_cells, got["w"].confidence) == (4, 3, 1, 2, "low")
+    assert got["w"].flags == ["high_uncovered_ratio", "external_refs_present"] and (got["v"].confidence, got["v"].flags) == ("high", [])
+    assert {(r.reason, r.n) for r in runs.hole_reasons(cells, "w", "f").collect()} == {("external_ref", 1), ("unsupported_function:VLOOKUP", 1), ("unsupported_function:LOOKUP", 1)}
 
 
 def test_graph_and_glue(spark):
-    e = spark.createDataFrame([("stringer", "frame"), ("assembly", "stringer")], "src string, dst string")
-    start = spark.createDataFrame([("assembly",)], "node string")
-    assert {r.node: r.depth for r in structure.reach(e, start, 3).collect()} == {"assembly": 0, "stringer": 1, "frame": 2}
-    assert "frame" not in {r.node for r in structure.reach(e, start, 1).collect()}
-    cycle = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "src string, dst string")
-    assert {r.node: r.level for r in structure.topological_levels(cycle).collect()} == {"c": 0, "a": -1, "b": -1}
-    assert {r.node for r in structure.affected(cycle, spark.createDataFrame([("a",)], "node string")).collect()} == {"a", "b", "c"}
-    s = spark.createDataFrame([("r1", "x", 0.0, 10.0, "1", 1), ("r2", "x", 5.0, 15.0, "1", 2), ("r3", "x", 8.0, 20.0, "1", 3), ("r1", "y", 90.0, 110.0, "1", 1), ("r2", "y", 200.0, 300.0, "1", 2), ("r1", "z", 0.0, 1.0, "1", 1), ("r2", "z", 0.0, 1.0, "2", 2)], "region string, sym string, lo double, hi double, dim string, ord int")
+    e = spark.createDataFrame([("mast", "anchor"), ("tower", "mast"), ("park", "tower")], "src string, dst string")
+    start = spark.createDataFrame([("park",)], "node string")
+    assert {r.node: r.depth for r in structure.reach(e, start, 3).collect()} == {"park": 0, "tower": 1, "mast": 2, "anchor": 3}
+    assert {r.node for r in structure.reach(e, start, 2).collect()} == {"park", "tower", "mast"}
+    cycle = spark.createDataFrame([("u", "v"), ("v", "w"), ("w", "u"), ("t", "u"), ("s", "t")], "src string, dst string")
+    assert {r.node: r.level for r in structure.topological_levels(cycle).collect()} == {"s": 0, "t": 1, "u": -1, "v": -1, "w": -1}
+    assert {r.node for r in structure.affected(cycle, spark.createDataFrame([("w",)], "node string")).collect()} == {"s", "t", "u", "v", "w"}
+    s = spark.createDataFrame([("k1", "f", -3.0, 6.5, "m", 1), ("k2", "f", 1.5, 9.0, "m", 2), ("k3", "f", 2.25, 4.0, "m", 3), ("k1", "g", 7.0, 8.0, "m", 1), ("k2", "g", 12.0, 13.0, "m", 2), ("k3", "g", 7.5, 12.5, "m", 3), ("k1", "h", 2.0, 3.0, "m", 1), ("k2", "h", 2.0, 3.0, "s", 2)], "region string, sym string, lo double, hi double, dim string, ord int")
     g = {r.sym: r for r in structure.glue(s).collect()}
-    assert (g["x"].lo, g["x"].hi, g["y"].conflict, g["z"].conflict) == (8, 10, "range", "dimension")
-    assert {r.sym: r.conflicts for r in structure.fold_glue(s).collect()}["y"] == ["r2"]
-    o = spark.createDataFrame([("A", "B", "p", 1.0), ("B", "C", "p", 1.0), ("C", "A", "p", 1.0), ("A", "B", "q", 1.0), ("B", "C", "q", 2.0), ("A", "C", "q", 3.0), ("A", "B", "t", 1.0), ("A", "B", "w", 1.0), ("B", "A", "w", 5.0)], "a string, b string, symbol string, offset double")
-    h = {r.symbol: (r.h1, r.obstructed) for r in structure.cohomology(o).collect()}
-    assert h == {"p": (1, True), "q": (1, False), "t": (0, False), "w": (1, True)}
+    assert (g["f"].lo, g["f"].hi, g["g"].conflict, g["h"].conflict) == (2.25, 4, "range", "dimension")
+    assert {r.sym: r.conflicts for r in structure.fold_glue(s).collect()}["g"] == ["k2"]
+    o = [("D", "E", "p", 2.5), ("E", "F", "p", -4.0), ("F", "G", "p", 1.0), ("G", "D", "p", 0.25), ("D", "E", "q", 2.5), ("E", "F", "q", -4.0), ("D", "F", "q", -1.5), ("D", "E", "t", 7.0), ("E", "F", "t", 7.0), ("D", "E", "w", 3.0), ("E", "D", "w", -3.0)]
+    h = {r.symbol: (r.h1, r.obstructed) for r in structure.cohomology(spark.createDataFrame(o, "a string, b string, symbol string, offset double")).collect()}
+    assert h == {"p": (1, True), "q": (1, False), "t": (0, False), "w": (1, False)}
 
 
 def test_long_chains_are_followed_to_the_end(spark):
@@ -93,10 +119,12 @@ def test_merkle(spark):
 
 def test_run_pair(spark):
     kind = "cell string, verdict string, lo double, hi double, cs double, holes int"
-    old = spark.createDataFrame([("A1", "SAFE", 0.1, 0.5, 0.18, 1), ("A2", "SAFE", 0.3, 0.6, 0.10, 0)], kind)
-    new = spark.createDataFrame([("A1", "SAFE", 0.2, 0.5, 0.10, 0), ("A2", "ABSTAIN", -0.1, 0.6, 0.62, 1)], kind)
+    old = spark.createDataFrame([("C7", "ABSTAIN", -2.0, 1.0, 0.71, 3), ("D7", "SAFE", 4.0, 4.5, 0.02, 0), ("E7", "SAFE", 1.0, 2.0, 0.12, 0)], kind)
+    new = spark.createDataFrame([("C7", "SAFE", 0.4, 1.0, 0.16, 1), ("D7", "FAIL", -4.5, -4.0, 0.98, 0), ("F7", "SAFE", 1.0, 2.0, 0.12, 0)], kind)
     d = {r.cell: r for r in runs.diff(old, new).collect()}
-    assert d["A2"].trend == "regressed" and d["A1"].trend == "improved" and d["A1"].delta_holes == -1 and d["A2"].transition == "SAFE_TO_ABSTAIN"
+    assert set(d) == {"C7", "D7", "F7"} and d["D7"].trend == "regressed" and d["C7"].trend == "improved" and d["F7"].trend == "new"
+    assert d["C7"].delta_holes == -2 and d["C7"].transition == "ABSTAIN_TO_SAFE" and d["D7"].transition == "SAFE_TO_FAIL"
+    assert {r.cell for r in runs.diff(old, new, full=True).collect()} == {"C7", "D7", "E7", "F7"}
     assert not runs.diff_summary(runs.diff(old, new)).first().safe
 
 
