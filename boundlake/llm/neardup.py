@@ -188,15 +188,35 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((share - COLLISION) / (1 - COLLISION), 0)
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, salts): in how many groups the rows of a key are dealt; only keys with more than ``SALT_ROWS`` rows."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > SALT_ROWS)
+    return checkpointed(counted.select(key, F.ceil(F.col("n") / SALT_ROWS).cast("long").alias("salts")))
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """Inner join of many rows for each key with the key's one row.
+
+    Rows of a hot key are dealt by a hash of ``by`` to groups of about
+    ``SALT_ROWS``, each with a copy of the one row, so that no task gets a
+    whole key. Which keys are hot is itself joined without gathering their rows
+    if it is counted to be small.
+    """
+    salts = matching(rows, hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), "salts"), F.lit(0))).drop("salts")
+    copies = matching(one, hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salts.join(copies, [key, "salt"]).drop("salt")
+
+
 def hopeful(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and estimate don't rule the similarity out.
 
     The estimate may fall short by six standard deviations, and sets with fewer
     shingles than registers, whose registers are not independent, all stay.
     """
-    both = pairs.join(sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(
-        sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"
-    )
+    side = lambda k: sketch.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    pairs = checkpointed(pairs)
+    both = spread_join(pairs, side("a"), "a", "b", hot_keys(pairs, "a"))
+    both = spread_join(both, side("b"), "b", "a", hot_keys(pairs, "b"))
     both = both.where(DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb"))
     target = NUMERATOR / DENOMINATOR
     bound = target - 6 * (target * (1 - target) / BUCKETS) ** 0.5
@@ -221,10 +241,13 @@ def matching(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFram
 
 def confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough; ``a`` is the centre of a star."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(salts, "a")
-    members = salted.select(F.col("b").alias("id"), F.col("a").alias("star"), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), F.lit(1).alias("role"))
-    centres = salts.select(F.col("a").alias("id"), F.col("a").alias("star"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    hot = hot_keys(pairs, "a")
+    salted = matching(pairs, hot, "a", "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("b"), "salts"), F.lit(0)).cast("int")
+    members = salted.select(F.col("b").alias("id"), F.col("a").alias("star"), salt.alias("salt"), F.lit(1).alias("role"))
+    each = matching(pairs.select("a").distinct(), hot, "a", "left")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)).cast("int") - 1))
+    centres = each.select(F.col("a").alias("id"), F.col("a").alias("star"), copies.alias("salt"), F.lit(0).alias("role"))
     wanted = checkpointed(members.unionByName(centres))
     kind = dict(docs.dtypes)[id_col]
     texts = matching(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, "id", "inner")
@@ -256,8 +279,9 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     both = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
     labels = checkpointed(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    hot = hot_keys(both, "v")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("v"), F.col("component").alias("c")), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("near"))
+        near = spread_join(both, labels.select(F.col("id").alias("v"), F.col("component").alias("c")), "v", "u", hot).groupBy(F.col("u").alias("id")).agg(F.min("c").alias("near"))
         hooked = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("now"))
         jump = labels.select(F.col("id").alias("now"), F.col("component").alias("further"))
         moved = checkpointed(hooked.join(jump, "now", "left").select("id", "was", F.least("now", F.coalesce("further", "now")).alias("component")))
