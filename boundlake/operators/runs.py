@@ -29,6 +29,12 @@ def transition(old: Column, new: Column) -> Column:
     return F.when(old.isNull(), F.lit("NEW")).when(new.isNull(), F.lit("GONE")).when(old == new, F.lit("UNCHANGED")).otherwise(F.concat(old, F.lit("_TO_"), new))
 
 
+def transition_name(old: Column, new: Column) -> Column:
+    """A change of verdict by what matters about it: to or from FAIL whatever the other side, else both sides."""
+    pair = F.concat(old, F.lit("->"), new)
+    return F.when((new == "FAIL") & (old != "FAIL"), "->FAIL").when((old == "FAIL") & (new != "FAIL"), "FAIL->").when(pair.isin("SAFE->SAFE", "SAFE->ABSTAIN", "ABSTAIN->SAFE"), pair).otherwise("other")
+
+
 def diff_summary(deltas: DataFrame) -> DataFrame:
     """One row: counts of trends, and whether no target is worse than SAFE."""
     return deltas.agg(

@@ -165,6 +165,12 @@ def diff_by_change(spark, sf_dir):
     return ledger.by_change(d).select("cell", "old_verdict", "new_verdict", "delta_cs", "transition", "trend")
 
 
+@query(f"""SELECT name, count(*) AS n FROM (SELECT CASE WHEN old_verdict = 'FAIL' AND new_verdict = 'FAIL' THEN 'other' WHEN new_verdict = 'FAIL' THEN '->FAIL' WHEN old_verdict = 'FAIL' THEN 'FAIL->' WHEN old_verdict = 'ABSTAIN' AND new_verdict = 'ABSTAIN' THEN 'other' ELSE old_verdict || '->' || new_verdict END AS name FROM ({DIFF}) AS d) AS x GROUP BY 1""")
+def transition_names(spark, sf_dir):
+    d = runs.diff(run_targets(spark, sf_dir, 0.05), run_targets(spark, sf_dir, 0.01))
+    return d.groupBy(runs.transition_name(F.col("old_verdict"), F.col("new_verdict")).alias("name")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT name FROM (SELECT DISTINCT p_type AS name FROM part) AS p WHERE name NOT IN (SELECT p_type FROM part WHERE p_size > 45) ORDER BY name")
 def pending_migrations(spark, sf_dir):
     p = table(spark, sf_dir, "part")
