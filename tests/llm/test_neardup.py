@@ -113,23 +113,3 @@ def test_keep_one_leaves_clean_rows_and_all_columns(spark):
     assert kept.columns == docs(spark).columns
     want = {i for i, (_, c) in brute([(r[0], r[1]) for r in rows()]).items() if i == c}
     assert {r.doc_id for r in kept.collect()} == want
-
-
-def test_hot_centres_are_dealt_to_salted_groups(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SALT_ROWS", 4)
-    rng = random.Random(9)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    base = [rng.choice(vocabulary) for _ in range(120)]
-    texts = []
-    for i in range(45):  # all like the first, in places of their own
-        w = list(base)
-        w[2 * i] = f"own{i}"
-        texts.append(" ".join(w))
-    texts += [" ".join(rng.choice(vocabulary) for _ in range(50)) for _ in range(10)]
-    compare(spark, list(enumerate(texts)))
-    pairs = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(50, 51)], "a long, b long")
-    hot = neardup.hot_keys(pairs, "a")
-    assert [(r.a, r.salts) for r in hot.collect()] == [(0, 10)]
-    one = spark.createDataFrame([(0, "x"), (50, "y"), (60, "z")], "a long, v string")
-    got = neardup.spread_join(pairs, one, "a", "b", hot)
-    assert sorted((r.a, r.b, r.v) for r in got.collect()) == sorted((a, b, "x" if a == 0 else "y") for a, b in [(0, i) for i in range(1, 40)] + [(50, 51)])
