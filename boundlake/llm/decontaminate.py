@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .stores import map_rows
 from .textnp import ALNUM_HIGH, LOWER, steps, utf8, word_hashes, word_spans
 
 WINDOW = 10
@@ -254,5 +255,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col
                     hit[a + search(block, batch.column(at).slice(a, b - a))[1][0]] = True
                 yield batch.filter(pa.array(~hit))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .stores import map_rows
 from .textnp import steps, utf8
 
 GRAMS = (2, 3, 4)
@@ -222,4 +223,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
         for batch in batches:
             yield batch.filter(pa.array(~predict(batch.column(at))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

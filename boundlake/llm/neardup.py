@@ -455,4 +455,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs``, all columns, without near-duplicates of a kept document."""
     found = find(docs, id_col, text_col)
     gone = checkpointed(found.where(~F.col("kept")).select(id_col).distinct())
-    return matching(docs, gone, id_col, "left_anti").select(docs.columns)
+    return matching(docs, gone, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

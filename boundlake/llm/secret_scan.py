@@ -200,7 +200,7 @@ def redact(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, te
     if size_col in docs.columns:
         kind = dict(docs.dtypes)[size_col]
         masked = masked.withColumn(size_col, F.when(changed, F.length(text_col).cast(kind)).otherwise(F.col(size_col)))
-    return masked.select(docs.columns)
+    return masked.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def joined(spans: Column) -> Column:
