@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html_main, langid, lm_score, neardup, oracles, quality_pu, quality_rules, secret_scan
+from . import decontaminate, hard_negatives, html_main, langid, lm_score, neardup, oracles, pieces, prefix_trie, quality_pu, quality_rules, secret_scan
 from .packing import pack
 from .tokens import count_tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +90,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECES, begin=True, end=True)
+    return pieces.decode(encoded, PIECES).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(table(spark, sf_dir, "conversations"), group=20, heads=4)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -104,9 +119,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": oracles.DECONTAMINATION, "op9_near_dedup": oracles.NEAR_DEDUP}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": oracles.DECONTAMINATION,
+    "op9_near_dedup": oracles.NEAR_DEDUP,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
