@@ -156,14 +156,31 @@ def case_distance(queries: DataFrame, cases: DataFrame, delta: float = 0.15, top
 
     Both sides are long tables (query or case_id, program_hash, sym, lo, hi);
     the distance scales by the query's own widths, so it is not symmetric.
+    Within ``delta`` no shared symbol's middles can be further apart than the widest
+    scale of that symbol allows, so only middles in neighbouring cells of that
+    width meet; a pair counts if it met in every symbol it shares.
     """
-    a = queries.select("query", "program_hash", "sym", ((F.col("lo") + F.col("hi")) / 2).alias("ma"), (F.col("hi") - F.col("lo")).alias("wa"))
-    b = cases.select("case_id", "program_hash", "sym", ((F.col("lo") + F.col("hi")) / 2).alias("mb"), (F.col("hi") - F.col("lo")).alias("wb"))
+    a, b = _middles(queries, "query", "a"), _middles(cases, "case_id", "b")
+    sides = [x.select("program_hash", "sym", F.greatest(f"w{k}", 0.01 * F.abs(f"m{k}"), F.lit(1e-9)).alias("scale"), F.size(f"syms_{k}").alias("n")) for x, k in ((a, "a"), (b, "b"))]
+    cell = sides[0].union(sides[1]).groupBy("program_hash", "sym").agg((F.max("scale") * F.sqrt(F.max("n")) * (delta * 1.0001)).alias("cell"))
+    at = lambda x, k: F.floor(F.try_divide(F.col(f"m{k}"), F.col("cell")))
+    near = a.join(cell, ["program_hash", "sym"]).withColumn("at", F.explode(F.sequence(at(a, "a") - 1, at(a, "a") + 1)))
+    held = b.join(cell, ["program_hash", "sym"]).withColumn("at", at(b, "b")).drop("cell")
     scale = F.greatest("wa", "wb", 0.01 * F.abs("ma"), F.lit(1e-9))
     part = F.pow((F.col("ma") - F.col("mb")) / scale, 2)
-    found = a.join(b, ["program_hash", "sym"]).groupBy("query", "case_id").agg((F.sqrt(F.sum(part)) / F.sqrt(F.count("*"))).alias("distance")).where(F.col("distance") < delta)
-    at = F.row_number().over(Window.partitionBy("query").orderBy("distance", "case_id"))
-    return found.withColumn("nearest", at).where(F.col("nearest") <= top)
+    shared = F.size(F.array_intersect("syms_a", "syms_b"))
+    met = near.join(held, ["program_hash", "sym", "at"]).groupBy("query", "case_id")
+    found = met.agg((F.sqrt(F.sum(part)) / F.sqrt(F.count("*"))).alias("distance"), F.count("*").alias("_met"), F.max(shared).alias("_shared"))
+    found = found.where((F.col("distance") < delta) & (F.col("_met") == F.col("_shared"))).drop("_met", "_shared")
+    best = F.row_number().over(Window.partitionBy("query").orderBy("distance", "case_id"))
+    return found.withColumn("nearest", best).where(F.col("nearest") <= top)
+
+
+def _middles(rows: DataFrame, key: str, k: str) -> DataFrame:
+    """Middle and width of each symbol, beside all symbols of its box; unbounded sides are near nothing."""
+    syms = F.collect_set("sym").over(Window.partitionBy(key, "program_hash")).alias(f"syms_{k}")
+    out = rows.select(key, "program_hash", "sym", ((F.col("lo") + F.col("hi")) / 2).alias(f"m{k}"), (F.col("hi") - F.col("lo")).alias(f"w{k}"), syms)
+    return out.where(F.abs(f"m{k}") < float("inf"))
 
 
 def resolved_cases(cases: DataFrame, links: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Event streams: triage, windows with watermarks, hash chains, folder snapshots."""
+"""Event streams: triage, windows with watermarks, folder snapshots."""
 
 from __future__ import annotations
 
@@ -46,40 +46,6 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()
 
 
-def audit(stream: DataFrame, key: str, order: str, payload: str, target: str, checkpoint: str) -> None:
-    """Append each micro-batch to the hash chains of its keys, going on from the stored heads.
-
-    Batches carry their number, so a batch that is run again replaces its rows.
-    """
-    kinds = dict(stream.dtypes)
-
-    def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        heads = _heads(spark, target, key, kinds[key], number)
-        item = F.struct(F.col(order).alias("o"), F.col(payload).cast("string").alias("p"))
-        rows = batch.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items")).join(heads, key, "left")
-        start = F.struct(F.coalesce(F.col("seq") + 1, F.lit(0)).alias("n"), F.coalesce("head", F.lit("0" * 64)).alias("h"), F.array().cast("array<struct<seq:int,p:string,prev:string,h:string>>").alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            h = F.sha2(F.concat_ws("|", a["n"].cast("string"), a["h"], x["p"]), 256)
-            return F.struct((a["n"] + 1).alias("n"), h.alias("h"), F.array_append(a["out"], F.struct(a["n"].alias("seq"), x["p"].alias("p"), a["h"].alias("prev"), h.alias("h"))).alias("out"))
-
-        made = rows.select(key, F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("e"))
-        out = made.select(key, F.col("e.seq").alias("seq"), F.col("e.p").alias("payload"), F.col("e.prev").alias("prev_hash"), F.col("e.h").alias("entry_hash"))
-        out.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def _heads(spark: SparkSession, target: str, key: str, kind: str, before: int) -> DataFrame:
-    """Last hash of every chain before a batch."""
-    none = spark.createDataFrame([], f"`{key}` {kind}, seq int, head string")
-    if before == 0:
-        return none
-    done = spark.read.option("basePath", target).parquet(target).where(F.col("batch") < before)
-    return done.groupBy(key).agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("head"))
-
-
 def changes(now: DataFrame, before: DataFrame | None) -> DataFrame:
     """New and edited files of a snapshot by (rel, sha256); the built-in file stream misses edits."""
     return now if before is None else registry.unseen(now, before, ["rel", "sha256"])
