@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -151,24 +151,27 @@ def fit(langs: list[str], buckets: list[np.ndarray], shares: list[np.ndarray], e
 
 
 def train(docs: DataFrame, allowed: Column, per_lang: int = 600, most_rows: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Model from about ``per_lang`` rows of every language, or fewer of each where that would pass ``most_rows``.
+    """Model from at most ``per_lang`` rows of every language, or fewer of each where that would pass ``most_rows``.
 
-    Rows are drawn by a hash of id and text among the ``allowed`` ones; every
-    language that has a row with a letter is learned. The drawn rows' n-gram
-    distributions, of bounded size each, are all that reaches the driver, in
-    one order whatever order they arrive in.
+    Rows are drawn by a hash of id and text among the ``allowed`` ones, and equal
+    rows count as one; every language that has a row with a letter is learned.
+    The drawn rows' n-gram distributions, of bounded size each, are all that
+    reaches the driver, in one order whatever order they arrive in.
     """
     spark = ship(docs.sparkSession)
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
     draw = F.pmod("key", F.lit(1 << 30))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.min(draw).alias("least")).collect()
     if not counts:
         return Model([], np.zeros((BUCKETS * len(GRAMS), DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     each = max(min(per_lang, most_rows // len(counts)), 1)
     # The row with the least draw always counts, so that no language is left out.
-    below = spark.createDataFrame([(r.lang, max(int((1 << 30) * min(1.0, each / r.n)), r.least + 1)) for r in counts], "lang string, below long")
-    sample = _features(rows.join(F.broadcast(below), "lang").where(draw < F.col("below")).select("lang", "text", "key")).toArrow()
+    below = spark.createDataFrame([(r.lang, max(int((1 << 30) * min(1.0, 1.5 * each / r.n)), r.least + 1)) for r in counts], "lang string, below long")
+    drawn = rows.join(F.broadcast(below), "lang").where(draw < F.col("below")).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    # A few more than wanted are drawn, as their number is an estimate; the first by hash stay.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "key"))
+    sample = _features(drawn.withColumn("place", place).where(F.col("place") <= each).select("lang", "text", "key")).toArrow()
     langs, keys = (sample.column(c).to_pylist() for c in ("lang", "key"))
     lists = [sample.column(c).combine_chunks() for c in ("buckets", "shares")]
     cut = np.asarray(lists[0].offsets, dtype=np.int64)

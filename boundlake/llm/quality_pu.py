@@ -173,23 +173,26 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 20_00
 
     Ids are drawn by a hash among ``allowed`` ones, positives where ``label_col``
     is 1, unlabelled ones from documents without a label (from all documents if
-    each has one). Only ids and statistics of the drawn rows reach the driver.
+    each has one). An id that repeats counts once, by its least text. Only ids and
+    statistics of the drawn rows reach the driver.
     """
     spark = ship(docs.sparkSession)
     draw = F.xxhash64(F.col(id_col))
 
     def drawn(ids: DataFrame) -> DataFrame:
-        n = max(ids.count(), 1)
-        part = ids.where(F.pmod(draw, F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / n)))
-        return spark.createDataFrame(part.limit(2 * most).toArrow()) if n else part
+        # A few more than wanted pass the threshold, as the number of ids is an estimate; the first by hash stay.
+        n = max(ids.agg(F.approx_count_distinct(id_col)).first()[0], 1)
+        part = ids.where(F.pmod(draw, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * most / n)))
+        return spark.createDataFrame(part.distinct().orderBy(draw, id_col).limit(most).toArrow())
 
     def statistics(ids: DataFrame) -> np.ndarray:
         def run(batches):
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(list(features(batch.column(0))), pa.list_(pa.float64()))], names=["f"])
 
-        # ``ids`` holds at most twice ``most`` numbers, so it may be broadcast.
-        found = docs.join(F.broadcast(ids.distinct()), id_col, "left_semi").select(text_col).mapInArrow(run, "f array<double>").toArrow()
+        # ``ids`` holds at most ``most`` of them, so it may be broadcast.
+        rows = docs.join(F.broadcast(ids), id_col, "left_semi").groupBy(id_col).agg(F.min(text_col).alias("text"))
+        found = rows.select("text").mapInArrow(run, "f array<double>").toArrow()
         x = np.array(found.column(0).to_pylist(), dtype=float).reshape(-1, len(NAMES))
         return x[np.lexsort(x.T)]
 
