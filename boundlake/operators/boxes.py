@@ -1,4 +1,4 @@
-"""Set inversion over boxes, hole models from probes, candidate bundles, result reuse."""
+"""Set inversion over boxes, hole models of one variable, candidate bundles."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import program as pg
 from ..stores import checkpointed
 from . import verdict as v
+from .structure import FOLD
 
 
 def sivia(boxes: DataFrame, root: pg.Node, symbols: list[str], epsilon: float = 0.01, ks: float = 0.0, most_levels: int | None = None) -> DataFrame:
@@ -18,8 +19,9 @@ def sivia(boxes: DataFrame, root: pg.Node, symbols: list[str], epsilon: float =
     ``boxes`` has ``x_lo, x_hi`` for each symbol and may hold many runs; all its
     other columns are kept. Levels run one after the other, each on all open
     boxes at once, until none is open; equal widths split the first symbol.
-    Boxes without finite bounds cannot be halved and stay unknown unless they
-    are settled at once, as do all that ``most_levels`` leaves open, if given.
+    Boxes without finite bounds, and those so narrow that the middle of the widest
+    side is one of its ends, cannot be halved and stay unknown unless they are
+    settled at once, as do all that ``most_levels`` leaves open, if given.
     """
     if not epsilon > 0:
         raise ValueError("epsilon must be above 0")
@@ -27,28 +29,32 @@ def sivia(boxes: DataFrame, root: pg.Node, symbols: list[str], epsilon: float =
     columns = {s: n for s, n in zip(symbols, names)}
     open_, done = boxes, None
     width = F.greatest(*(F.col(hi) - F.col(lo) for lo, hi in names)) if len(names) > 1 else F.col(names[0][1]) - F.col(names[0][0])
-    for _ in itertools.count() if most_levels is None else range(most_levels):
-        judged = pg.evaluate(open_, root, columns, ks)
+    middle = [F.col(lo) / 2 + F.col(hi) / 2 for lo, hi in names]
+    split = F.lit(len(symbols) - 1)
+    for i in range(len(symbols) - 2, -1, -1):
+        wider = F.lit(True)
+        for j in range(i + 1, len(symbols)):
+            wider &= (F.col(names[i][1]) - F.col(names[i][0])) >= (F.col(names[j][1]) - F.col(names[j][0]))
+        split = F.when(wider, F.lit(i)).otherwise(split)
+    stuck = F.lit(False)
+    for i, (lo, hi) in enumerate(names):
+        stuck |= (F.col("_split") == i) & ((middle[i] <= F.col(lo)) | (middle[i] >= F.col(hi)))
+    for level in itertools.count() if most_levels is None else range(most_levels):
+        judged = pg.evaluate(open_, root, columns, ks).withColumn("_split", split)
         status = v.decide(F.col("ms_lo"), F.col("ms_hi"), F.col("residual"))
-        status = F.when(status == "SAFE", "safe").when(status == "FAIL", "fail").when((width < epsilon) | ~(width < float("inf")), "unknown").otherwise("open")
-        judged = judged.withColumn("status", status).drop("ms_lo", "ms_hi", "residual")
-        judged = checkpointed(judged)
-        settled = judged.where("status <> 'open'")
+        status = F.when(status == "SAFE", "safe").when(status == "FAIL", "fail").when((width < epsilon) | ~(width < float("inf")) | stuck, "unknown").otherwise("open")
+        judged = checkpointed(judged.withColumn("status", status).drop("ms_lo", "ms_hi", "residual"))
+        settled = judged.where("status <> 'open'").drop("_split")
         done = settled if done is None else done.unionByName(settled)
+        if level % FOLD == FOLD - 1:
+            done = checkpointed(done)
         left = judged.where("status = 'open'").drop("status")
         if left.isEmpty():
             return done
-        split = F.lit(len(symbols) - 1)
-        for i in range(len(symbols) - 2, -1, -1):
-            wider = F.lit(True)
-            for j in range(i + 1, len(symbols)):
-                wider &= (F.col(names[i][1]) - F.col(names[i][0])) >= (F.col(names[j][1]) - F.col(names[j][0]))
-            split = F.when(wider, F.lit(i)).otherwise(split)
-        halves = left.withColumn("_split", split).withColumn("_half", F.explode(F.array(F.lit(0), F.lit(1))))
+        halves = left.withColumn("_half", F.explode(F.array(F.lit(0), F.lit(1))))
         for i, (lo, hi) in enumerate(names):
-            middle = F.col(lo) / 2 + F.col(hi) / 2
             mine = F.col("_split") == i
-            new_lo, new_hi = F.when(mine & (F.col("_half") == 1), middle).otherwise(F.col(lo)), F.when(mine & (F.col("_half") == 0), middle).otherwise(F.col(hi))
+            new_lo, new_hi = F.when(mine & (F.col("_half") == 1), middle[i]).otherwise(F.col(lo)), F.when(mine & (F.col("_half") == 0), middle[i]).otherwise(F.col(hi))
             halves = halves.withColumns({f"_{lo}": new_lo, f"_{hi}": new_hi}).drop(lo, hi).withColumnsRenamed({f"_{lo}": lo, f"_{hi}": hi})
         open_ = halves.drop("_split", "_half").select(*boxes.columns)
     return done.unionByName(open_.withColumn("status", F.lit("unknown")))
@@ -63,11 +69,6 @@ def volume_share(settled: DataFrame, symbols: list[str], by: list[str]) -> DataF
     return settled.groupBy(*by).agg(*(part(x).alias(f"{x}_share") for x in ("safe", "fail", "unknown")), F.count("*").alias("boxes"))
 
 
-def physical_model(lo: Column, hi: Column) -> tuple[Column, Column, Column]:
-    """Bounds of a hole without a model: its physical range, and half of it as residual."""
-    return lo, hi, (hi - lo) / 2
-
-
 def lipschitz(queries: DataFrame, probes: DataFrame, constants: DataFrame, hole: str = "hole") -> DataFrame:
     """Bounds of a black box on query intervals from its probes and a Lipschitz constant.
 
@@ -106,33 +107,6 @@ def probe_model(probes: DataFrame, hole: str = "hole") -> DataFrame:
     )
 
 
-def synthesize(models: DataFrame, safety: float = 1.25) -> DataFrame:
-    """Hole constants from probe models: a wider Lipschitz bound and range. Not rigorous, so regime B."""
-    half = (F.col("hi") - F.col("lo")) / 2
-    return models.select("hole", (F.col("lip") * safety).alias("lip"), (F.col("lo") - half).alias("phys_lo"), (F.col("hi") + half).alias("phys_hi"), F.lit("B").alias("regime"))
-
-
-def grid(spark, ranges: list[tuple[float, float]], n: int) -> DataFrame:
-    """Points x0, x1, ... of a regular grid with n values on each side; n ** sides rows, made in parallel."""
-    total = n ** len(ranges)
-    at = spark.range(total)
-    for i, (lo, hi) in enumerate(ranges):
-        step = (hi - lo) / (n - 1) if n > 1 else 0.0
-        at = at.withColumn(f"x{i}", F.lit(lo) + F.lit(step) * (F.floor(F.col("id") / n**i) % n))
-    return at.drop("id")
-
-
-def adaptive_probes(fn, lo: float, hi: float, rounds: int, start: int = 5) -> list[tuple[float, float]]:
-    """Probes of a black box, each round adding the middle of the steepest neighbours."""
-    found = {lo + (hi - lo) * i / (start - 1): None for i in range(start)}
-    found = {x: float(fn(x)) for x in found}
-    for _ in range(rounds):
-        xs = sorted(found)
-        a, b = max(itertools.pairwise(xs), key=lambda p: (abs(found[p[1]] - found[p[0]]) / (p[1] - p[0]), -p[0]))
-        found[(a + b) / 2] = float(fn((a + b) / 2))
-    return sorted(found.items())
-
-
 def normalise(bundles: DataFrame, by: str, conf: str = "conf") -> DataFrame:
     """Confidences that sum to 1 within each bundle."""
     total = F.sum(conf).over(Window.partitionBy(by))
@@ -145,12 +119,39 @@ def prune(bundles: DataFrame, by: str, floor: float, order: list[Column], conf:
     return bundles.withColumn("_at", at).where((F.col("_at") <= least) | (F.col(conf) >= floor)).drop("_at")
 
 
-def box_fingerprint(columns: list[str]) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in sorted(columns))), 256), 1, 16)
+def add(bundles: DataFrame, new: DataFrame) -> DataFrame:
+    """Bundles with further candidates; nothing is merged."""
+    return bundles.unionByName(new)
 
 
-def not_yet_evaluated(wanted: DataFrame, results: DataFrame) -> DataFrame:
-    """Boxes whose (program_hash, box_fp) has no stored result: the result cache as an anti join."""
-    return wanted.join(results.select("program_hash", "box_fp"), ["program_hash", "box_fp"], "left_anti")
+def mark_unknown(marks: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, lo, hi): physical range of each bundle that is marked unknown.
+
+    Marks meet in their order; one that has nothing in common with those before
+    it takes their place. A bundle has a few marks at most.
+    """
+    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "lo", "hi")))
+    none = F.struct(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+
+    def step(a: Column, x: Column) -> Column:
+        lo, hi = F.greatest(a["lo"], x["lo"]), F.least(a["hi"], x["hi"])
+        return F.struct(F.when(lo > hi, x["lo"]).otherwise(lo).alias("lo"), F.when(lo > hi, x["hi"]).otherwise(hi).alias("hi"))
+
+    return marks.groupBy(by).agg(F.aggregate(items, none, step).alias("m")).select(by, "m.lo", "m.hi")
 
 
+def top_conf(bundles: DataFrame, by: str, conf: str = "conf") -> DataFrame:
+    """(by, conf): highest confidence of each bundle, 0 at least."""
+    return bundles.groupBy(by).agg(F.greatest(F.lit(0.0), F.max(conf)).alias(conf))
+
+
+def lower(bundles: DataFrame, unknown: DataFrame, by: str, ids: DataFrame) -> DataFrame:
+    """(by, lo, hi, parts): hull of each bundle's candidates, and of its physical range where it is marked unknown.
+
+    ``ids`` lists all bundles; one without candidates and without a mark is the
+    entire line, as its hole has no bounds.
+    """
+    parts = bundles.select(by, "lo", "hi").unionByName(unknown.select(by, "lo", "hi"))
+    hull = parts.groupBy(by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("parts"))
+    end = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return ids.select(by).distinct().join(hull, by, "left").select(by, end("lo", float("-inf")), end("hi", float("inf")), end("parts", 0))

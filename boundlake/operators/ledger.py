@@ -8,6 +8,7 @@ the rows to append.
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +37,8 @@ def about(log: DataFrame, subject, key: str = "subject") -> DataFrame:
 
 
 def listed(rows: DataFrame, order: str, fields: list[str]) -> DataFrame:
-    """(position, json): the documents as canonical JSON, ordered by ``order`` when read."""
-    return rows.select(F.col(order).alias("position"), F.to_json(F.struct(*sorted(fields))).alias("json"))
-
-
-def head_of(files: DataFrame, key: Column, config_key: str, order: list[Column]) -> DataFrame:
-    """The newest file with a configuration key."""
-    return files.where(key == config_key).orderBy(*order).limit(1)
+    """(position, json): the documents as JSON with fields by name and nulls written out, in order of ``order``."""
+    return rows.select(F.col(order).alias("position"), F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}).alias("json")).orderBy("position")
 
 
 def section_map(folders: DataFrame) -> DataFrame:
@@ -153,22 +149,38 @@ def pending(available: DataFrame, applied: DataFrame, name: str = "name") -> Dat
 
 
 def upserts(rows: DataFrame, table: str, key: str) -> DataFrame:
-    """SQL text of every row: an insert that updates on conflict; quotes in texts are doubled, nulls stay null."""
+    """SQL text of every row: an insert that updates on conflict.
+
+    Quotes in texts are doubled, nulls stay null, binaries are hexadecimal, NaN and
+    infinities are quoted, arrays and structs are JSON texts; names are quoted where SQL asks for it.
+    """
+    plain = re.compile(r"[a-z_][a-z0-9_]*")
+    named = lambda n: n if plain.fullmatch(n) else '"' + n.replace('"', '""') + '"'
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
     names = rows.columns
 
     def literal(name: str, kind: str) -> Column:
-        value = F.col(f"`{name}`")
-        text = F.concat(F.lit("'"), F.replace(value.cast("string"), F.lit("'"), F.lit("''")), F.lit("'")) if kind in ("string", "timestamp", "timestamp_ntz", "date") else value.cast("string")
+        value = F.col("`" + name.replace("`", "``") + "`")
+        text = value.cast("string")
+        if kind == "binary":
+            text = F.concat(F.lit("X'"), F.hex(value), F.lit("'"))
+        elif kind in ("double", "float"):
+            text = F.when(F.isnan(value) | (F.abs(value) == float("inf")), quoted(text)).otherwise(text)
+        elif kind.startswith(("array", "map", "struct")):
+            text = quoted(F.to_json(value, {"ignoreNullFields": "false"}))
+        elif not kind.startswith(("tinyint", "smallint", "int", "bigint", "decimal", "boolean")):
+            text = quoted(text)
         return F.coalesce(text, F.lit("NULL"))
 
     values = F.concat_ws(", ", *(literal(*x) for x in rows.dtypes))
-    updates = ", ".join(f"{n} = EXCLUDED.{n}" for n in names if n != key)
-    head, tail = f"INSERT INTO {table} ({', '.join(names)}) VALUES (", f") ON CONFLICT ({key}) DO UPDATE SET {updates};"
-    return rows.select(F.col(key), F.concat(F.lit(head), values, F.lit(tail)).alias("statement"))
+    updates = ", ".join(f"{named(n)} = EXCLUDED.{named(n)}" for n in names if n != key)
+    conflict = f"DO UPDATE SET {updates}" if updates else "DO NOTHING"
+    head, tail = f"INSERT INTO {table} ({', '.join(map(named, names))}) VALUES (", f") ON CONFLICT ({named(key)}) {conflict};"
+    return rows.select(F.col("`" + key.replace("`", "``") + "`"), F.concat(F.lit(head), values, F.lit(tail)).alias("statement"))
 
 
 def reports(targets: DataFrame, run: str) -> DataFrame:
-    """(run, report): JSON of each run's number of targets, counts of verdicts and worst score."""
+    """(run, report): JSON of each run's number of targets and counts of verdicts."""
     is_ = lambda x: F.count_if(F.col("verdict") == x)
     counted = targets.groupBy(run).agg(F.count("*").alias("targets"), is_("SAFE").alias("safe"), is_("FAIL").alias("fail"), is_("ABSTAIN").alias("abstain"))
     return counted.select(run, F.to_json(F.struct("abstain", "fail", "safe", "targets")).alias("report"))

@@ -97,33 +97,36 @@ def reduction_plan(trace: DataFrame, run: list[str], width: str = "width") -> Da
     return trace.withColumn("share", share)
 
 
-def explain(trace: DataFrame, run: list[str]) -> DataFrame:
-    """One row for each run: reasons to abstain, worst first, as an array of structs and a summary."""
-    wanted = reduction_plan(trace.where(F.col("kind").isin("hole", "disj")), run)
-    advice = F.when(F.col("kind") == "hole", F.concat(F.lit("bound or replace "), F.col("name"))).otherwise(F.concat(F.lit("choose a candidate for "), F.col("name")))
-    reason = F.struct((-F.col("share")).alias("order"), F.col("name"), F.col("kind"), F.col("share"), advice.alias("advice"))
-    grouped = wanted.groupBy(*run).agg(F.sort_array(F.collect_list(reason)).alias("reasons"))
-    return grouped.select(*run, "reasons", F.format_string("%d uncertain parts; worst: %s", F.size("reasons"), F.col("reasons")[0]["name"]).alias("summary"))
+#: What would narrow each kind of reason.
+ADVICE = {
+    "hole": "give %s bounds, or a formula of its own",
+    "hole_phys": "measure %s at several inputs, so that a model can replace its range",
+    "hole_refuted": "the measurements of %s contradict its model; widen the model's constant or split its domain",
+    "disj": "decide which formula of %s holds",
+    "disjunction": "decide which formula of %s holds",
+}
 
 
-def abstain_report(trace: DataFrame, run: list[str]) -> DataFrame:
-    """(run, holes, hole_share, summary): how much of a run's uncertainty its holes account for.
+def explain(trace: DataFrame, run: list[str]) -> DataFrame:
+    """One row for each run: reasons to abstain, worst first, with advice for each, and what its holes account for.
 
-    ``trace`` has one row for each node with kind (``hole_phys``, ``hole_refuted``,
-    ``disjunction`` or any other) and width; shares are of the sum of all widths.
+    ``trace`` has one row for each node with kind (a key of ``ADVICE`` or any
+    other), name and width; ``share`` is of the widest reason, ``hole_share`` of
+    the sum of all widths. Runs without a reason have an empty list.
     """
-    holes = F.col("kind").startswith("hole")
+    wide = F.max(F.when(F.col("kind").isin(*ADVICE), F.col("width")))
     total = F.sum("width")
-    share = F.when(total > 0, F.sum(F.when(holes, F.col("width")).otherwise(0.0)) / F.when(total > 0, total).otherwise(1.0)).otherwise(F.sum(F.when(holes, F.col("width")).otherwise(0.0)))
-    counted = trace.groupBy(*run).agg(F.count_if(holes).alias("holes"), F.count_if(holes | (F.col("kind") == "disjunction")).alias("_reasons"), share.alias("hole_share"))
-    said = F.format_string("%d hole(s) account for %.0f%% of uncertainty", "holes", F.col("hole_share") * 100)
-    return counted.withColumn("summary", F.when(F.col("_reasons") == 0, "no decomposable uncertainty source").otherwise(said)).drop("_reasons")
-
-
-def instruction(kind: Column, name: Column) -> Column:
-    """What would narrow a reason to abstain."""
-    return (
-        F.when(kind == "hole_refuted", F.concat(F.lit("wrapper refuted: revisit the regularity assumption for "), name))
-        .when(kind == "hole_phys", F.concat(F.lit("no wrapper: add measured input and output bounds for "), name))
-        .otherwise(F.lit("ambiguous formula: choose among the candidates"))
-    )
+    name = F.coalesce(F.col("name").cast("string"), F.lit("it"))
+    advice = F.lit(None).cast("string")
+    for kind, text in ADVICE.items():
+        advice = F.when(F.col("kind") == kind, F.format_string(text, name)).otherwise(advice)
+    item = F.when(F.col("kind").isin(*ADVICE), F.struct((-F.col("width")).alias("order"), F.col("name"), F.col("kind"), F.col("width"), advice.alias("advice")))
+    holes = F.col("kind").startswith("hole")
+    held = F.sum(F.when(holes, F.col("width")).otherwise(0.0))
+    grouped = trace.groupBy(*run).agg(F.sort_array(F.collect_list(item)).alias("_r"), wide.alias("_wide"), F.count_if(holes).alias("holes"), held.alias("_held"), total.alias("_total"))
+    endless = F.lit(float("inf"))
+    share = lambda w: F.when(F.col("_wide") == endless, F.when(w == endless, 1.0).otherwise(0.0)).when(F.col("_wide") > 0, w / F.col("_wide")).otherwise(0.0)
+    reasons = F.transform("_r", lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), share(x["width"]).alias("share"), x["advice"].alias("advice")))
+    said = F.when(F.size("_r") == 0, F.lit("nothing to narrow")).otherwise(F.format_string("%d uncertain parts; worst: %s", F.size("_r"), F.get("_r", F.lit(0))["name"]))
+    hole_share = F.when(F.col("_total") > 0, F.col("_held") / F.col("_total")).otherwise(F.col("_held"))
+    return grouped.select(*run, reasons.alias("reasons"), "holes", hole_share.alias("hole_share"), said.alias("summary"))

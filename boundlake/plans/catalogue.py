@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import formula, interval, points, units
 from ..functions import program as pg
-from ..operators import boxes, registry, runs, structure
+from ..operators import boxes, cache, registry, runs, structure
+from ..operators import probes as probes_
 from ..operators import verdict as v
 from . import twins
 
@@ -689,11 +690,34 @@ def explain_abstain(spark, sf_dir):
     return v.explain(t, ["l_orderkey"]).select("l_orderkey", big(F.size("reasons")).alias("parts"), "summary")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 OR p_size > 40")
+def cached(spark, sf_dir):
+    """Two versions of results of every part's box, and what ended some of them: programs by hash, symbols by name."""
+    p = table(spark, sf_dir, "part")
+    box = F.array(F.struct(F.lit("size").alias("sym"), F.col("p_size").cast("double").alias("lo"), (F.col("p_size") + 1).cast("double").alias("hi")), F.struct(F.concat(F.lit("s"), F.col("p_partkey") % 7).alias("sym"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
+    boxes_ = p.select("p_partkey", F.concat(F.lit("h"), F.col("p_partkey") % 11).alias("program_hash"), cache.fingerprint(box).alias("box_fp"), F.transform(box, lambda b: b["sym"]).alias("syms"), "p_size")
+    versions = boxes_.withColumn("version", F.explode(F.sequence(F.lit(1), F.when(F.col("p_size") % 2 == 0, 2).otherwise(1)))).where("p_size > 10")
+    entries = versions.select("program_hash", "box_fp", "syms", "version", (F.col("p_size") * F.col("version")).alias("result")).distinct()
+    ended = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "program").otherwise("symbol").alias("kind"), F.concat(F.when(F.col("n_nationkey") % 2 == 0, "h").otherwise("s"), F.col("n_nationkey")).alias("value"), F.when(F.col("n_nationkey") < 4, 2).otherwise(1).alias("version"))
+    return boxes_, entries, ended
+
+
+_CACHED = """(SELECT p_partkey, p_size, CASE WHEN p_size <= 10 THEN NULL WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS version, p_partkey % 11 AS h, p_partkey % 7 AS s FROM part)"""
+_ENDS = "(SELECT n_nationkey AS k, CASE WHEN n_nationkey < 4 THEN 2 ELSE 1 END AS v FROM nation)"
+_LIVE = f"(SELECT c.*, version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_ENDS} AS e WHERE e.k % 2 = 0 AND e.k = c.h AND e.v >= c.version) AND NOT EXISTS (SELECT 1 FROM {_ENDS} AS e WHERE e.k % 2 = 1 AND e.k = c.s AND e.v >= c.version) AS hit FROM {_CACHED} AS c)"
+
+
+@query(f"SELECT p_partkey, hit, CASE WHEN hit THEN CAST(p_size * version AS BIGINT) END AS result FROM {_LIVE} AS x")
+def result_cache(spark, sf_dir):
+    wanted, entries, ended = cached(spark, sf_dir)
+    found = cache.lookup(wanted.select("p_partkey", "program_hash", "box_fp"), entries, ended)
+    return found.select("p_partkey", "hit", big("result").alias("result"))
+
+
+@query(f"SELECT p_partkey FROM {_LIVE} AS x WHERE NOT hit")
 def result_reuse(spark, sf_dir):
-    wanted = table(spark, sf_dir, "part").select("p_partkey", F.lit("h").alias("program_hash"), "p_size").withColumn("box_fp", boxes.box_fingerprint(["p_partkey", "p_size"]))
-    stored = wanted.where("p_partkey % 2 = 1 and p_size <= 40")
-    return boxes.not_yet_evaluated(wanted, stored).select("p_partkey")
+    """Boxes whose result is not stored, or not any more."""
+    wanted, entries, ended = cached(spark, sf_dir)
+    return cache.lookup(wanted, entries.drop("syms").join(entries.select("program_hash", "box_fp", "syms").distinct(), ["program_hash", "box_fp"]), ended).where("NOT hit").select("p_partkey")
 
 
 @query("SELECT p_partkey, round(greatest(CAST(p_size AS DOUBLE) * p_size - 1, 100), 6) AS lo, round(least(CAST(p_size + 1 AS DOUBLE) * (p_size + 1) - 1, 2000), 6) AS hi FROM part")
@@ -703,9 +727,56 @@ def monotone_wrap(spark, sf_dir):
     return p.select("p_partkey", r(lo).alias("lo"), r(hi).alias("hi"))
 
 
-@query("SELECT round(i / 4.0, 6) AS x0, round(j / 2.0 - 1, 6) AS x1 FROM (SELECT unnest(range(0, 5)) AS i) AS a, (SELECT unnest(range(0, 5)) AS j) AS b")
+@query("SELECT s_suppkey, round(i / 4.0, 6) AS x0, round(s_acctbal + j / 2.0 - 1, 6) AS x1 FROM supplier, (SELECT unnest(range(0, 5)) AS i) AS a, (SELECT unnest(range(0, 5)) AS j) AS b")
 def probe_grid(spark, sf_dir):
-    return boxes.grid(spark, [(0.0, 1.0), (-1.0, 1.0)], 5).select(r("x0").alias("x0"), r("x1").alias("x1"))
+    domain = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(0.0).alias("x0_lo"), F.lit(1.0).alias("x0_hi"), (F.col("s_acctbal") - 1).alias("x1_lo"), (F.col("s_acctbal") + 1).alias("x1_hi"))
+    return probes_.grid(domain, ["x0", "x1"], 5, "s_suppkey").select("s_suppkey", r("x0").alias("x0"), r("x1").alias("x1"))
+
+
+_PLANES = "(SELECT l_linenumber AS hole, l_quantity AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS f FROM lineitem)"
+_STEEP = f"(SELECT hole, x, y, min(f) AS f0, max(f) AS f1 FROM {_PLANES} AS p GROUP BY 1, 2, 3)"
+_MODELS = f"(SELECT a.hole, max(CASE WHEN a.x <> b.x OR a.y <> b.y THEN (a.f1 - b.f0) / sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) END) AS lip, min(a.f0) AS lo, max(a.f1) AS hi FROM {_STEEP} AS a JOIN {_STEEP} AS b ON a.hole = b.hole GROUP BY 1)"
+
+
+def planes(spark, sf_dir):
+    """Each line number as a black box over quantity and discount, probed by every line item."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_linenumber").alias("hole"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("f"))
+
+
+@query(f"SELECT CAST(hole AS BIGINT) AS hole, round(lo, 6) AS lo, round(hi, 6) AS hi, round(lip, 6) AS lip FROM {_MODELS} AS m")
+def plane_models(spark, sf_dir):
+    m = probes_.slopes(planes(spark, sf_dir), ["x", "y"])
+    return m.select(big("hole").alias("hole"), r("lo").alias("lo"), r("hi").alias("hi"), r("lip").alias("lip"))
+
+
+@query(f"""WITH m AS {_MODELS}, q AS (SELECT DISTINCT l_linenumber AS hole, CAST(l_quantity AS BIGINT) AS query, l_quantity AS xc, 5.5 AS yc FROM lineitem),
+c AS (SELECT hole, k, lip * k AS lip, CASE WHEN k > 1 THEN lo - ((hi - lo) / 2 + 1e-9) ELSE lo END AS a, CASE WHEN k > 1 THEN hi + ((hi - lo) / 2 + 1e-9) ELSE hi END AS b FROM m, (SELECT unnest([1.25]) AS k) AS g),
+b AS (SELECT q.hole, q.query, max(p.f1 - c.lip * (sqrt((p.x - q.xc) * (p.x - q.xc) + (p.y - q.yc) * (p.y - q.yc)) + sqrt(0.5))) AS lo, min(p.f0 + c.lip * (sqrt((p.x - q.xc) * (p.x - q.xc) + (p.y - q.yc) * (p.y - q.yc)) + sqrt(0.5))) AS hi
+  FROM q JOIN c ON q.hole = c.hole JOIN {_STEEP} AS p ON p.hole = q.hole GROUP BY 1, 2)
+SELECT CAST(b.hole AS BIGINT) AS hole, b.query, round(greatest(b.lo, c.a), 6) AS lo, round(least(b.hi, c.b), 6) AS hi, FALSE AS refuted FROM b JOIN c ON b.hole = c.hole""")
+def plane_enclosures(spark, sf_dir):
+    """Boxes around every quantity that was probed, enclosed by the wrapper made of the probes."""
+    p = planes(spark, sf_dir)
+    models = probes_.slopes(p, ["x", "y"])
+    asked = p.select("hole", big("x").alias("query"), (F.col("x") - 0.5).alias("x_lo"), (F.col("x") + 0.5).alias("x_hi"), F.lit(5.0).alias("y_lo"), F.lit(6.0).alias("y_hi")).distinct()
+    found = probes_.enclose(asked, p, probes_.synthesize(models), models, ["x", "y"])
+    return found.select(big("hole").alias("hole"), "query", r("lo").alias("lo"), r("hi").alias("hi"), "refuted")
+
+
+@query()
+def adaptive_models(spark, sf_dir):
+    """Eight more probes of a fold in each supplier's black box, where its slope is steepest; tested by brute force."""
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", (F.abs("s_acctbal") / 10000).alias("at_"), F.lit(0.0).alias("x0_lo"), F.lit(1.0).alias("x0_hi"), F.lit(0.0).alias("x1_lo"), F.lit(1.0).alias("x1_hi"))
+    start = probes_.grid(own, ["x0", "x1"], 3, "s_suppkey").join(own.select("s_suppkey", "at_"), "s_suppkey")
+    number = (F.col("x0") * 2 * 3 + F.col("x1") * 2).cast("long")
+    start = start.withColumn("at", number).withColumn("f", fold_value(F.col("x0"), F.col("x1"), F.col("at_")))
+    every = probes_.adaptive(start, ["x0", "x1"], fold_value, 8, hole="s_suppkey", keep=("at_",))
+    return every.select("s_suppkey", "at", r("x0").alias("x0"), r("x1").alias("x1"), r("f").alias("f"))
+
+
+def fold_value(x0, x1, at_):
+    return F.abs(x0 - at_) * 2 + x0 * x1
 
 
 @query("""SELECT p_partkey, round(CASE p_size % 3 WHEN 0 THEN p_retailprice * 0.001 WHEN 1 THEN p_retailprice * 0.0254 ELSE p_retailprice + 273.15 END, 6) AS si, CASE p_size % 3 WHEN 0 THEN 'm^2*s^-2' WHEN 1 THEN 'm^2*s^-2' ELSE 'm*s^-2*K' END AS dim FROM part""")

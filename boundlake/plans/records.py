@@ -86,8 +86,8 @@ def coverage_reasons(spark, sf_dir):
 def abstain_report(spark, sf_dir):
     n = F.col("l_linenumber") % 3
     kind = F.when(n == 0, "hole_phys").when(n == 1, "hole_refuted").otherwise("disjunction")
-    trace = table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("kind"), F.col("l_extendedprice").alias("width"))
-    return v.abstain_report(trace, ["l_orderkey"]).select("l_orderkey", "holes", r("hole_share", 9).alias("hole_share"))
+    trace = table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("kind"), F.col("l_partkey").alias("name"), F.col("l_extendedprice").alias("width"))
+    return v.explain(trace, ["l_orderkey"]).select("l_orderkey", "holes", r("hole_share", 9).alias("hole_share"))
 
 
 # --- documents and logs -----------------------------------------------------------------------------

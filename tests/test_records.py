@@ -130,9 +130,39 @@ def test_documents_and_statements(spark):
     assert names == ["S!A1", "S!Z10", "S!AA1", "S!AZ1", "S!BA1", "S!ZZ1", "S!AAA1", "S!XFD5"]
 
 
+def test_a_vector_of_another_length_takes_nothing_from_the_others(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(40)]
+    frame = spark.createDataFrame(rows + [(99, [1.0] * 9), (98, None)], "k long, e array<double>").coalesce(1)
+    queries = frame.where("k < 3 or k = 99")
+    got = vectors.nearest(queries, frame, "k", "e", 5).collect()
+    assert len(got) == 20
+    plain = {(r.query, r.k) for r in vectors.nearest(frame.where("k < 3"), frame.where("k < 40"), "k", "e", 5).collect()}
+    assert {(r.query, r.k) for r in got if r.query != 99} == plain
+
+
+def test_boxes_that_cannot_be_halved_end_as_unknown(spark):
+    start = spark.createDataFrame([(1, 1e17 - 32, 1e17 + 32)], "k int, x_lo double, x_hi double")
+    done = boxes.sivia(start, pg.op("sub", pg.var("x"), pg.const(1e17)), ["x"], 0.01).collect()
+    assert {r.status for r in done} == {"safe", "fail", "unknown"} and all(r.x_hi - r.x_lo <= 16 for r in done if r.status == "unknown")
+    plane = spark.createDataFrame([(1, 1e17 - 32, 1e17 + 32, 0.0, 1.0)], "k int, x_lo double, x_hi double, y_lo double, y_hi double")
+    both = boxes.sivia(plane, pg.op("sub", pg.var("x"), pg.op("add", pg.const(1e17), pg.var("y"))), ["x", "y"], 0.01)
+    assert both.where("status = 'unknown'").count() > 0
+
+
+def test_statements_of_every_type(spark):
+    row = spark.createDataFrame([(1, float("nan"), float("inf"), b"\x00\xff", [1, None], "it's")], 'id int, a double, b double, c binary, `D"x` array<int>, e string')
+    said = ledger.upserts(row, "t", "id").first().statement
+    assert said == """INSERT INTO t (id, a, b, c, "D""x", e) VALUES (1, 'NaN', 'Infinity', X'00FF', '[1,null]', 'it''s') ON CONFLICT (id) DO UPDATE SET a = EXCLUDED.a, b = EXCLUDED.b, c = EXCLUDED.c, "D""x" = EXCLUDED."D""x", e = EXCLUDED.e;"""
+    listed = ledger.listed(spark.createDataFrame([(2, None), (1, 5)], "k int, b int"), "k", ["k", "b"]).collect()
+    assert [r.json for r in listed] == ['{"b":5,"k":1}', '{"b":null,"k":2}']
+
+
 def test_reports_of_abstentions(spark):
-    trace = [(1, "hole_phys", 3.0), (1, "hole_refuted", 1.0), (1, "disjunction", 4.0), (1, "var", 8.0), (2, "var", 2.0), (3, "hole_phys", 0.0)]
-    got = {r.run: (r.holes, r.hole_share, r.summary) for r in v.abstain_report(spark.createDataFrame(trace, "run int, kind string, width double"), ["run"]).collect()}
-    assert got == {1: (2, 0.25, "2 hole(s) account for 25% of uncertainty"), 2: (0, 0.0, "no decomposable uncertainty source"), 3: (1, 0.0, "1 hole(s) account for 0% of uncertainty")}
-    said = spark.range(1).select(v.instruction(F.lit("hole_refuted"), F.lit("kc")).alias("a"), v.instruction(F.lit("disjunction"), F.lit("kc")).alias("b")).first()
-    assert "kc" in said.a and "kc" not in said.b
+    trace = [(1, "hole_phys", "a", 3.0), (1, "hole_refuted", "kc", 1.0), (1, "disjunction", "d", 4.0), (1, "var", "v", 8.0), (2, "var", "v", 2.0), (3, "hole_phys", "a", 0.0)]
+    got = {r.run: r for r in v.explain(spark.createDataFrame(trace, "run int, kind string, name string, width double"), ["run"]).collect()}
+    assert {k: (r.holes, r.hole_share, [(x.name, x.kind, x.share) for x in r.reasons]) for k, r in got.items()} == {
+        1: (2, 0.25, [("d", "disjunction", 1.0), ("a", "hole_phys", 0.75), ("kc", "hole_refuted", 0.25)]), 2: (0, 0.0, []), 3: (1, 0.0, [("a", "hole_phys", 0.0)]),
+    }
+    assert got[1].summary == "3 uncertain parts; worst: d" and got[2].summary == "nothing to narrow"
+    advice = {x.name: x.advice for x in got[1].reasons}
+    assert advice["kc"] == v.ADVICE["hole_refuted"] % "kc" and all("%" not in x for x in advice.values())
