@@ -176,21 +176,54 @@ def broken(chains: DataFrame, key: str) -> DataFrame:
     return chains.withColumn("_before", before).where((F.col("prev_hash") != F.col("_before")) | (F.col("entry_hash") != whole)).drop("_before")
 
 
+def ranked(rows: DataFrame, key: str, order: list[Column], name: str = "at") -> DataFrame:
+    """Rows numbered from 0 within their key, in order; a key of any size spreads over many tasks.
+
+    Rows are dealt by ranges of (key, order), so each task holds a run of a key;
+    runs are numbered by themselves and moved on by the sizes of those before.
+    """
+    by = [F.col(key), *order]
+    run = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_run", F.spark_partition_id())
+    dealt = checkpointed(run)
+    sizes = dealt.groupBy(key, "_run").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(key, "_run").orderBy(*order)) - 1
+    return dealt.withColumn(name, own).join(starts, [key, "_run"]).withColumn(name, F.col(name) + F.col("_start")).drop("_run", "_start")
+
+
+#: Levels of a Merkle tree that one row of a fold makes.
+LEVELS = 10
+
+
 def merkle_roots(leaves: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """(key, leaves, root): leaves prefixed by 00, inner nodes by 01, an odd node is paired with itself."""
-    item = F.struct(F.col(order).alias("o"), F.sha2(F.concat(F.unhex(F.lit("00")), F.encode(F.col(payload).cast("string"), "utf-8")), 256).alias("h"))
-    grouped = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["h"]).alias("level"))
-    counted = grouped.withColumn("leaves", F.size("level"))
-
-    def halve(level: Column) -> Column:
-        n = F.size(level)
-        pair = lambda i: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(F.get(level, 2 * i)), F.unhex(F.coalesce(F.get(level, 2 * i + 1), F.get(level, 2 * i)))), 256)
-        return F.when(n <= 1, level).otherwise(F.transform(F.sequence(F.lit(0), F.floor((n + 1) / 2).cast("int") - 1), pair))
-
-    deepest = counted.agg(F.max("leaves")).first()[0] or 1
-    for _ in range(max(deepest - 1, 0).bit_length()):
-        counted = counted.withColumn("level", halve(F.col("level")))
-    return counted.select(key, "leaves", F.col("level")[0].alias("root"))
+    """(key, leaves, root): leaves prefixed by 00, inner nodes by 01, an odd node is paired with itself.
+
+    Blocks of 2 ** LEVELS neighbouring nodes fold to one, again and again until
+    every key has one node, so a key of any number of leaves spreads over tasks;
+    no row holds more than one block. Equal orders go by the leaf's hash.
+    """
+    hashed = leaves.select(key, F.col(order).alias("o"), F.sha2(F.concat(F.unhex(F.lit("00")), F.encode(F.col(payload).cast("string"), "utf-8")), 256).alias("h"))
+    hashed = hashed.where(F.col(key).isNotNull())
+    counts = hashed.groupBy(key).agg(F.count("*").alias("leaves"))
+    level = ranked(hashed, key, [F.col("o"), F.col("h")]).join(counts, key).select(key, "leaves", F.col("leaves").alias("size"), "at", "h")
+
+    def halve(nodes: Column) -> Column:
+        n = F.size(nodes)
+        pair = lambda i: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(F.get(nodes, 2 * i)), F.unhex(F.coalesce(F.get(nodes, 2 * i + 1), F.get(nodes, 2 * i)))), 256)
+        return F.transform(F.sequence(F.lit(0), F.floor((n + 1) / 2).cast("int") - 1), pair)
+
+    deepest = counts.agg(F.max("leaves")).first()[0] or 1
+    while True:
+        blocks = level.groupBy(key, "leaves", "size", F.floor(F.col("at") / 2**LEVELS).alias("at")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]).alias("nodes"))
+        for k in range(LEVELS):
+            # A key's level is left alone once it has one node; a block's last node pairs with itself only where the whole level's does.
+            blocks = blocks.withColumn("nodes", F.when(F.col("size") > 1, halve(F.col("nodes"))).otherwise(F.col("nodes"))).withColumn("size", F.ceil(F.col("size") / 2))
+        level = blocks.select(key, "leaves", "size", "at", F.col("nodes")[0].alias("h"))
+        deepest = -(-deepest // 2**LEVELS)
+        if deepest <= 1:
+            return level.select(key, "leaves", F.col("h").alias("root"))
+        level = checkpointed(level)
 
 
 def merkle_root(leaves: list[bytes]) -> str:

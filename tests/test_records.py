@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from boundlake import stores
 from boundlake.functions import interval, units
 from boundlake.functions import program as pg
-from boundlake.operators import boxes, ledger, vectors
+from boundlake.operators import boxes, ledger, structure, vectors
 from boundlake.operators import verdict as v
 from boundlake.plans import catalogue
 
@@ -166,3 +166,23 @@ def test_reports_of_abstentions(spark):
     assert got[1].summary == "3 uncertain parts; worst: d" and got[2].summary == "nothing to narrow"
     advice = {x.name: x.advice for x in got[1].reasons}
     assert advice["kc"] == v.ADVICE["hole_refuted"] % "kc" and all("%" not in x for x in advice.values())
+
+
+def test_merkle_roots_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(structure, "LEVELS", 2)
+    rows = [(n, i, f"v{i % 5}") for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 15, 16, 17, 21, 33, 64, 65, 131) for i in range(n)]
+    frame = spark.createDataFrame([*rows, (None, 1, "x")], "k long, o long, p string").repartition(7)
+    got = {r.k: (r.leaves, r.root) for r in structure.merkle_roots(frame, "k", "o", "p").collect()}
+    assert got == {n: (n, structure.merkle_root([f"v{i % 5}".encode() for i in range(n)])) for n in {r[0] for r in rows}}
+
+
+def test_one_key_is_numbered_by_many_tasks(spark):
+    frame = spark.range(20_000).select((F.col("id") * 0 + 3).alias("k"), (F.col("id") * 7919 % 20_000).alias("o")).repartition(5)
+    got = structure.ranked(frame.unionByName(spark.createDataFrame([(1, 5), (9, 2), (9, 1)], "k long, o long")), "k", [F.col("o")])
+    assert got.where("k = 3 and at <> o").count() == 0 and got.where("k = 3").count() == 20_000
+    assert sorted((r.k, r.o, r.at) for r in got.where("k <> 3").collect()) == [(1, 5, 0), (9, 1, 0), (9, 2, 1)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert frame.repartitionByRange(F.col("k"), F.col("o")).select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
