@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import formula as formula_
+from ..ship import ship
 from . import verdict as v
 
 
@@ -80,68 +86,95 @@ UNSUPPORTED = (
     "XLOOKUP", "VLOOKUP", "HLOOKUP", "LOOKUP", "INDEX", "MATCH", "XMATCH", "OFFSET", "INDIRECT", "LAMBDA",
     "LET", "FILTER", "UNIQUE", "SEQUENCE", "SORT", "SORTBY", "TEXTJOIN", "CHOOSE", "GETPIVOTDATA",
 )
-#: Those that make an array or a function; the others look cells up.
-DYNAMIC = {"LAMBDA", "LET", "FILTER", "UNIQUE", "SEQUENCE", "SORT", "SORTBY", "TEXTJOIN"}
-
-
-def construct(formula: Column) -> Column:
-    """The first reason why a formula is not supported, or null."""
-    called = lambda names: r"(?i)\b(" + "|".join(names) + r")\s*\("
-    dynamic, lookups = called(x for x in UNSUPPORTED if x in DYNAMIC), called(x for x in UNSUPPORTED if x not in DYNAMIC)
-    return (
-        F.when(formula.rlike(r"\[\d+\]"), "external_reference")
-        .when(formula.rlike(lookups), F.concat(F.lit("lookup:"), F.upper(F.regexp_extract(formula, lookups, 1))))
-        .when(formula.rlike(dynamic), F.concat(F.lit("dynamic:"), F.upper(F.regexp_extract(formula, dynamic, 1))))
-        .when(formula.rlike('"'), "text")
-    )
+# Names of the reasons why a formula is a hole, of confidence and its limits, and of the flags.
+EXTERNAL, FUNCTION, UNPARSED = "external_ref", "unsupported_function", "parse_error"
+CONFIDENCE = ((0.02, "high"), (0.10, "medium"))
+MANY_HOLES, HAS_EXTERNAL = "high_uncovered_ratio", "external_refs_present"
+#: Samples of holes that a ledger shows.
+SAMPLES = 50
+
+
+@F.pandas_udf(T.BooleanType())
+def parses(text: pd.Series) -> pd.Series:
+    """Whether a formula can be read; null stays null."""
+    return text.map(_parses, na_action="ignore")
 
 
-def reasons(formula: Column) -> Column:
-    """All reasons why a formula is a hole, in order; a name also counts inside a longer one, as LOOKUP in VLOOKUP."""
+@functools.lru_cache(maxsize=100_000)
+def _parses(text: str) -> bool:
+    try:
+        formula_.parse(text)
+    except (ValueError, IndexError, RecursionError):
+        return False
+    return True
+
+
+def reasons(formula: Column, parsed: Column | None = None) -> Column:
+    """All reasons why a formula is a hole, in order; a name also counts inside a longer one, as LOOKUP in VLOOKUP.
+
+    ``parsed`` tells whether the formula can be read; where it is not given, that is not looked at.
+    """
     upper = F.upper(formula)
     external = F.contains(formula, F.lit("[")) & F.contains(formula, F.lit("]"))
-    found = [F.when(external, F.lit("external_ref")), *(F.when(F.contains(upper, F.lit(f"{x}(")), F.lit(f"unsupported_function:{x}")) for x in UNSUPPORTED)]
-    return F.array_compact(F.array(*found))
+    found = [F.when(external, F.lit(EXTERNAL)), *(F.when(F.contains(upper, F.lit(f"{x}(")), F.lit(f"{FUNCTION}:{x}")) for x in UNSUPPORTED)]
+    return F.array_compact(F.array(*found, *([] if parsed is None else [F.when(~parsed, F.lit(UNPARSED))])))
 
 
-def ledger(cells: DataFrame, workbook: str, formula: str, value: str) -> DataFrame:
+def _marked(cells: DataFrame, formula: str) -> DataFrame:
+    ship(cells.sparkSession)
+    ok = cells.withColumn("_ok", parses(F.col(formula)))
+    return ok.withColumn("_why", F.coalesce(reasons(F.col(formula), F.col("_ok")), F.array().cast("array<string>"))).drop("_ok")
+
+
+def confidence(share: Column) -> Column:
+    out = F.lit("low")
+    for limit, name in reversed(CONFIDENCE):
+        out = F.when(share < limit, name).otherwise(out)
+    return out
+
+
+def ledger(cells: DataFrame, workbook: str, formula: str, value: str, text: str | None = None) -> DataFrame:
     """Coverage of each workbook: cells by class, holes, share, confidence and flags.
 
-    A cell counts as formula, else as constant if it has a value.
+    A cell counts as formula, else as constant if it has a value; cells with a
+    text alone count in the total, empty cells don't.
     """
-    why = F.coalesce(reasons(F.col(formula)), F.array().cast("array<string>"))
-    counted = cells.withColumn("_why", why).groupBy(workbook).agg(
-        F.count_if(F.col(formula).isNotNull() | F.col(value).isNotNull()).alias("total_cells"),
+    filled = F.col(formula).isNotNull() | F.col(value).isNotNull()
+    counted = _marked(cells, formula).groupBy(workbook).agg(
+        F.count_if(filled if text is None else filled | F.col(text).isNotNull()).alias("total_cells"),
         F.count(formula).alias("formula_cells"),
         F.count_if(F.col(formula).isNull() & F.col(value).isNotNull()).alias("constant_cells"),
         F.count_if(F.size("_why") > 0).alias("hole_cells"),
-        F.count_if(F.array_contains("_why", "external_ref")).alias("_external"),
+        F.count_if(F.array_contains("_why", EXTERNAL)).alias("_external"),
     )
     share = F.when(F.col("formula_cells") > 0, F.col("hole_cells") / F.col("formula_cells")).otherwise(0.0)
-    flags = F.array_compact(F.array(F.when(share >= 0.1, F.lit("high_uncovered_ratio")), F.when(F.col("_external") > 0, F.lit("external_refs_present"))))
-    return counted.withColumn("confidence", F.when(share < 0.02, "high").when(share < 0.1, "medium").otherwise("low")).withColumn("flags", flags).drop("_external")
+    flags = F.array_compact(F.array(F.when(share >= CONFIDENCE[-1][0], F.lit(MANY_HOLES)), F.when(F.col("_external") > 0, F.lit(HAS_EXTERNAL))))
+    return counted.withColumn("confidence", confidence(share)).withColumn("flags", flags).drop("_external")
+
+
+def hole_samples(cells: DataFrame, workbook: str, formula: str, cell: str, order: list[Column], most: int = SAMPLES) -> DataFrame:
+    """(workbook, pos, cell, formula, reason): the first ``most`` reasons of each workbook's holes, in order of cells."""
+    each = _marked(cells, formula).where(F.size("_why") > 0).select("*", F.posexplode("_why").alias("_i", "reason"))
+    pos = F.row_number().over(Window.partitionBy(workbook).orderBy(*order, "_i"))
+    return each.withColumn("pos", pos).where(F.col("pos") <= most).select(workbook, "pos", F.col(cell).alias("cell"), F.col(formula).alias("formula"), "reason")
 
 
 def hole_reasons(cells: DataFrame, workbook: str, formula: str) -> DataFrame:
     """(workbook, reason, n): histogram of the reasons of each workbook's holes."""
-    return cells.select(workbook, F.explode(reasons(F.col(formula))).alias("reason")).groupBy(workbook, "reason").agg(F.count("*").alias("n"))
+    return _marked(cells, formula).select(workbook, F.explode("_why").alias("reason")).groupBy(workbook, "reason").agg(F.count("*").alias("n"))
 
 
 def coverage(cells: DataFrame, workbook: str, formula: str) -> DataFrame:
-    """Ledger of each workbook: cells, formulas, unsupported ones, confidence."""
-    reason = construct(F.col(formula))
-    marked = cells.withColumn("_reason", reason)
-    counted = marked.groupBy(workbook).agg(
-        F.count("*").alias("cells"), F.count(formula).alias("formulas"), F.count("_reason").alias("unsupported"),
-    )
+    """The ledger's counts for cells that are there whatever they hold."""
+    counted = _marked(cells, formula).groupBy(workbook).agg(F.count("*").alias("cells"), F.count(formula).alias("formulas"), F.count_if(F.size("_why") > 0).alias("unsupported"))
     share = F.when(F.col("formulas") > 0, F.col("unsupported") / F.col("formulas")).otherwise(0.0)
-    return counted.withColumn("confidence", F.when(share < 0.02, "high").when(share < 0.1, "medium").otherwise("low"))
+    return counted.withColumn("confidence", confidence(share))
 
 
 def heatmap(cells: DataFrame, workbook: str, formula: str) -> DataFrame:
-    """Unsupported constructs by number of files and cells."""
-    marked = cells.withColumn("construct", construct(F.col(formula))).where("construct is not null")
-    return marked.groupBy("construct").agg(F.countDistinct(workbook).alias("file_count"), F.count("*").alias("cell_count"))
+    """(construct, file_count, cell_count) over all workbooks, by the reasons of the ledger."""
+    by_file = hole_reasons(cells, workbook, formula)
+    return by_file.groupBy(F.col("reason").alias("construct")).agg(F.count("*").alias("file_count"), F.sum("n").alias("cell_count"))
 
 
 def every_nth(rows: DataFrame, order: list[Column], n: int, by: list[str]) -> DataFrame:

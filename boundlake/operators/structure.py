@@ -216,7 +216,7 @@ def merkle_roots(leaves: DataFrame, key: str, order: str, payload: str) -> DataF
     deepest = counts.agg(F.max("leaves")).first()[0] or 1
     while True:
         blocks = level.groupBy(key, "leaves", "size", F.floor(F.col("at") / 2**LEVELS).alias("at")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]).alias("nodes"))
-        for k in range(LEVELS):
+        for _ in range(min(LEVELS, max(deepest - 1, 0).bit_length())):
             # A key's level is left alone once it has one node; a block's last node pairs with itself only where the whole level's does.
             blocks = blocks.withColumn("nodes", F.when(F.col("size") > 1, halve(F.col("nodes"))).otherwise(F.col("nodes"))).withColumn("size", F.ceil(F.col("size") / 2))
         level = blocks.select(key, "leaves", "size", "at", F.col("nodes")[0].alias("h"))

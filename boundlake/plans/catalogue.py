@@ -239,8 +239,8 @@ def formula_eval(spark, sf_dir):
 
 
 _BUILT = "CASE l_linenumber % 6 WHEN 0 THEN NULL WHEN 1 THEN '=A' || l_linenumber || '+1' WHEN 2 THEN '=VLOOKUP(A1,B1:C9,2)' WHEN 3 THEN '=[1]Sheet1!A1+2' WHEN 4 THEN '=IF(A1>0,\"x\",B2)' ELSE '=index(A1:A9,2)*3' END"
-_CONSTRUCT = "CASE WHEN regexp_matches(f, '\\[\\d+\\]') THEN 'external_reference' WHEN f LIKE '%VLOOKUP(%' THEN 'lookup:VLOOKUP' WHEN f LIKE '%index(%' THEN 'lookup:INDEX' WHEN f LIKE '%\"%' THEN 'text' END"
-_CELLS = f"(SELECT l_suppkey, f, {_CONSTRUCT} AS construct FROM (SELECT l_suppkey, {_BUILT} AS f FROM lineitem) AS q)"
+_WHY = "list_filter([CASE WHEN contains(f, '[') AND contains(f, ']') THEN 'external_ref' END, " + ", ".join(f"CASE WHEN contains(upper(f), '{x}(') THEN 'unsupported_function:{x}' END" for x in ("VLOOKUP", "LOOKUP", "INDEX")) + "], lambda w: w IS NOT NULL)"
+_HOLES = f"(SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, f, coalesce({_WHY}, []) AS why FROM (SELECT *, {_BUILT} AS f FROM lineitem) AS q)"
 
 
 def formula_cells(spark, sf_dir):
@@ -252,13 +252,21 @@ def formula_cells(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", f.alias("formula"))
 
 
-@query(f"""SELECT l_suppkey, count(*) AS cells, count(f) AS formulas, count(construct) AS unsupported,
-CASE WHEN count(f) = 0 OR count(construct) / CAST(count(f) AS DOUBLE) < 0.02 THEN 'high' WHEN count(construct) / CAST(count(f) AS DOUBLE) < 0.1 THEN 'medium' ELSE 'low' END AS confidence FROM {_CELLS} AS x GROUP BY l_suppkey""")
+@query(f"""SELECT l_suppkey, cells, formulas, unsupported, CASE WHEN formulas = 0 OR unsupported / CAST(formulas AS DOUBLE) < 0.02 THEN 'high' WHEN unsupported / CAST(formulas AS DOUBLE) < 0.1 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT l_suppkey, count(*) AS cells, count(f) AS formulas, count(*) FILTER (WHERE len(why) > 0) AS unsupported FROM {_HOLES} AS h GROUP BY 1) AS x""")
 def coverage_ledger(spark, sf_dir):
     return runs.coverage(formula_cells(spark, sf_dir), "l_suppkey", "formula")
 
 
-@query(f"SELECT construct, count(DISTINCT l_suppkey) AS file_count, count(*) AS cell_count FROM {_CELLS} AS x WHERE construct IS NOT NULL GROUP BY construct")
+@query(f"""SELECT l_suppkey, pos, cell, f AS formula, reason FROM (SELECT l_suppkey, f, why[i] AS reason, l_orderkey || '/' || l_linenumber || '/' || l_partkey AS cell, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, i) AS pos
+FROM (SELECT *, unnest(range(1, len(why) + 1)) AS i FROM {_HOLES} AS h) AS x) AS y WHERE pos <= 50""")
+def coverage_samples(spark, sf_dir):
+    cells = formula_cells(spark, sf_dir).withColumn("cell", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey"))
+    order = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
+    return runs.hole_samples(cells, "l_suppkey", "formula", "cell", order).withColumn("pos", big("pos"))
+
+
+@query(f"SELECT reason AS construct, count(DISTINCT l_suppkey) AS file_count, CAST(count(*) AS BIGINT) AS cell_count FROM (SELECT l_suppkey, unnest(why) AS reason FROM {_HOLES} AS h) AS x GROUP BY 1")
 def coverage_heatmap(spark, sf_dir):
     return runs.heatmap(formula_cells(spark, sf_dir), "l_suppkey", "formula")
 
@@ -635,7 +643,14 @@ def sivia_region(spark, sf_dir):
 PLANE = pg.op("sub", pg.op("add", pg.var("x"), pg.var("y")), pg.const(1))
 
 
-@query()
+_LOW, _HIGH = twins.below(f"{twins.below('x0 + y0')} - 1"), twins.above(f"{twins.above('x1 + y1')} - 1")
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT r_regionkey, CAST(0 AS DOUBLE) AS x0, CAST(1 AS DOUBLE) AS x1, CAST(0 AS DOUBLE) AS y0, CAST(1 AS DOUBLE) AS y1 FROM region
+UNION ALL SELECT r_regionkey, CASE WHEN wide AND h = 1 THEN (x0 + x1) / 2 ELSE x0 END, CASE WHEN wide AND h = 0 THEN (x0 + x1) / 2 ELSE x1 END, CASE WHEN NOT wide AND h = 1 THEN (y0 + y1) / 2 ELSE y0 END, CASE WHEN NOT wide AND h = 0 THEN (y0 + y1) / 2 ELSE y1 END
+FROM (SELECT *, x1 - x0 >= y1 - y0 AS wide FROM t WHERE NOT ({_LOW} > 0) AND NOT ({_HIGH} < 0) AND NOT (greatest(x1 - x0, y1 - y0) < 0.05)) AS o, (SELECT unnest([0, 1]) AS h) AS g),
+s AS (SELECT r_regionkey, (x1 - x0) * (y1 - y0) AS v, CASE WHEN {_LOW} > 0 THEN 'safe' WHEN {_HIGH} < 0 THEN 'fail' WHEN greatest(x1 - x0, y1 - y0) < 0.05 THEN 'unknown' END AS status FROM t)
+SELECT r_regionkey, sum(CASE WHEN status = 'safe' THEN v ELSE 0 END) / sum(v) AS safe_share, sum(CASE WHEN status = 'fail' THEN v ELSE 0 END) / sum(v) AS fail_share, sum(CASE WHEN status = 'unknown' THEN v ELSE 0 END) / sum(v) AS unknown_share, count(*) AS boxes FROM s WHERE status IS NOT NULL GROUP BY 1""")
 def sivia_plane(spark, sf_dir):
     start = table(spark, sf_dir, "region").select("r_regionkey", F.lit(0.0).alias("x_lo"), F.lit(1.0).alias("x_hi"), F.lit(0.0).alias("y_lo"), F.lit(1.0).alias("y_hi"))
     return boxes.volume_share(boxes.sivia(start, PLANE, ["x", "y"], 0.05), ["x", "y"], ["r_regionkey"])

@@ -9,8 +9,8 @@ from ..functions import program as pg
 from ..operators import ledger, runs, vectors
 from ..operators import verdict as v
 from . import twins
-from .catalogue import _CELLS, LABEL, big, formula_cells, margin_boxes, margins, query, r, run_targets, table  # noqa: F401
-from .catalogue import DIFF, _CONSTRUCT, _BUILT  # noqa: F401
+from .catalogue import LABEL, big, formula_cells, margin_boxes, margins, query, r, run_targets, table  # noqa: F401
+from .catalogue import DIFF, _BUILT, _HOLES  # noqa: F401
 
 
 # --- formula functions ----------------------------------------------------------------------------
@@ -64,10 +64,6 @@ def graph_view(spark, sf_dir):
 
 # --- coverage -------------------------------------------------------------------------------------
 
-_WHY = "list_filter([CASE WHEN contains(f, '[') AND contains(f, ']') THEN 'external_ref' END, " + ", ".join(f"CASE WHEN contains(upper(f), '{x}(') THEN 'unsupported_function:{x}' END" for x in ("VLOOKUP", "LOOKUP", "INDEX")) + "], lambda w: w IS NOT NULL)"
-_HOLES = f"(SELECT l_suppkey, f, coalesce({_WHY}, []) AS why FROM (SELECT l_suppkey, {_BUILT} AS f FROM lineitem) AS q)"
-
-
 @query(f"""SELECT l_suppkey, total_cells, formula_cells, constant_cells, hole_cells, CASE WHEN share < 0.02 THEN 'high' WHEN share < 0.1 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN share >= 0.1 THEN 'high_uncovered_ratio ' ELSE '' END || CASE WHEN external > 0 THEN 'external_refs_present' ELSE '' END AS flags
 FROM (SELECT *, CASE WHEN formula_cells > 0 THEN hole_cells / CAST(formula_cells AS DOUBLE) ELSE 0 END AS share FROM (SELECT l_suppkey, count(*) AS total_cells, count(f) AS formula_cells, count(*) FILTER (WHERE f IS NULL) AS constant_cells, count(*) FILTER (WHERE len(why) > 0) AS hole_cells, count(*) FILTER (WHERE list_contains(why, 'external_ref')) AS external FROM {_HOLES} AS h GROUP BY 1) AS a) AS b""")
 def coverage_classes(spark, sf_dir):
@@ -145,7 +141,7 @@ def dependencies_added(spark, sf_dir):
     return ledger.add_dependencies(known, li.drop("l_linestatus"))
 
 
-@query(f"""SELECT l_suppkey, count(*) AS cells, count(f) AS formulas, count(*) FILTER (WHERE f IS NULL) AS inputs, coalesce(any_value(n), 0) AS dep_edges, coalesce(any_value(c), 0) AS conflicts, coalesce(any_value(c), 0) = 0 AS glue_consistent FROM {_CELLS} AS x
+@query(f"""SELECT l_suppkey, count(*) AS cells, count(f) AS formulas, count(*) FILTER (WHERE f IS NULL) AS inputs, coalesce(any_value(n), 0) AS dep_edges, coalesce(any_value(c), 0) AS conflicts, coalesce(any_value(c), 0) = 0 AS glue_consistent FROM {_HOLES} AS x
 LEFT JOIN (SELECT s_suppkey, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1) AS e ON l_suppkey = e.s_suppkey LEFT JOIN (SELECT s_suppkey, count(*) AS c FROM supplier WHERE s_nationkey < 5 GROUP BY 1) AS k ON l_suppkey = k.s_suppkey GROUP BY 1""")
 def analyze_summary(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
@@ -171,10 +167,10 @@ def transition_names(spark, sf_dir):
     return d.groupBy(runs.transition_name(F.col("old_verdict"), F.col("new_verdict")).alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT name FROM (SELECT DISTINCT p_type AS name FROM part) AS p WHERE name NOT IN (SELECT p_type FROM part WHERE p_size > 45) ORDER BY name")
+@query("SELECT DISTINCT p_type || '/' || p_brand AS name FROM part WHERE p_type || '/' || p_brand NOT IN (SELECT p_type || '/' || p_brand FROM part WHERE p_size > 25) ORDER BY name")
 def pending_migrations(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return ledger.pending(p.select(F.col("p_type").alias("name")).distinct(), p.where("p_size > 45").select(F.col("p_type").alias("name")))
+    p = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_type", "p_brand").alias("name"), "p_size")
+    return ledger.pending(p.select("name").distinct(), p.where("p_size > 25").select("name"))
 
 
 @query("""SELECT s_suppkey, 'INSERT INTO files (s_suppkey, s_name, s_nationkey) VALUES (' || s_suppkey || ', ''' || replace(s_name, '''', '''''') || ''', ' || s_nationkey || ') ON CONFLICT (s_suppkey) DO UPDATE SET s_name = EXCLUDED.s_name, s_nationkey = EXCLUDED.s_nationkey;' AS statement FROM supplier""")

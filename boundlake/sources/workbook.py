@@ -10,15 +10,19 @@ their first cell; cells with an error value are NaN.
 from __future__ import annotations
 
 import io
+import itertools
 import struct
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.formula import parse_a1
+from ..ship import ship
 
 SCHEMA = "workbook string, sheet_idx int, sheet string, row int, col int, has_value boolean, value double, text string, formula string"
 
@@ -118,10 +122,10 @@ def _rk(raw: int) -> float:
     return value / 100 if raw & 1 else value
 
 
-def xlsb_cells(archive: zipfile.ZipFile, name: str) -> Iterator[tuple]:
-    """Values of a binary workbook; formulas are marked by an empty text, their cached values are kept."""
-    strings, sheets = [], []
-    if "xl/sharedStrings.bin" in archive.namelist():
+def _xlsb_parts(archive: zipfile.ZipFile) -> tuple[list[str], list[tuple[str, str]]]:
+    """Shared strings, and (name, part) of each sheet that is there."""
+    strings, sheets, there = [], [], set(archive.namelist())
+    if "xl/sharedStrings.bin" in there:
         with archive.open("xl/sharedStrings.bin") as part:
             strings = [_wide(data, 1)[0] for kind, data in _records(io.BufferedReader(part)) if kind == 19]
     relations = _relations(archive, "xl/workbook.bin")
@@ -130,6 +134,12 @@ def xlsb_cells(archive: zipfile.ZipFile, name: str) -> Iterator[tuple]:
             if kind == 156:
                 key, at = _wide(data, 8)
                 sheets.append((_wide(data, at)[0], relations.get(key, "")))
+    return strings, [x for x in sheets if x[1] in there]
+
+
+def xlsb_cells(archive: zipfile.ZipFile, name: str) -> Iterator[tuple]:
+    """Values of a binary workbook; formulas are marked by an empty text, their cached values are kept."""
+    strings, sheets = _xlsb_parts(archive)
     for index, (sheet, target) in enumerate(sheets):
         row = 0
         with archive.open(target) as part:
@@ -154,6 +164,120 @@ def xlsb_cells(archive: zipfile.ZipFile, name: str) -> Iterator[tuple]:
                     yield (name, index, sheet, row, col, kind != 1, value, text, "" if kind >= 8 else None)
 
 
+#: Bytes of a decompressed sheet that are decoded at a time, and cells in an Arrow batch at most.
+CHUNK, BATCH = 4 << 20, 65_536
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+KINDS = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.string(), pa.string()]
+
+
+def _places(data: bytes, found: list[int]) -> int:
+    """Append 16 * payload place + kind of every row and cell record; gives the place of the first record that is not whole."""
+    p, n, add = 0, len(data), found.append
+    while p + 1 < n:
+        q, kind = p + 1, data[p]
+        if kind & 0x80:
+            kind = (kind & 0x7F) | (data[q] & 0x7F) << 7
+            q += 1
+            if q >= n:
+                break
+        size = data[q]
+        q += 1
+        if size & 0x80:
+            size, shift = size & 0x7F, 7
+            while shift < 28:
+                if q >= n:
+                    return p
+                byte = data[q]
+                q += 1
+                size |= (byte & 0x7F) << shift
+                shift += 7
+                if not byte & 0x80:
+                    break
+        if q + size > n:
+            break
+        if kind < 12 and (size >= 8 or kind == 0 and size >= 4):
+            add(q << 4 | kind)
+        p = q + size
+    return p
+
+
+def _words(raw: np.ndarray, at: np.ndarray, dtype: str) -> np.ndarray:
+    """Little-endian values at any places of a buffer."""
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw[at[:, None] + np.arange(size)]).view(dtype)[:, 0]
+
+
+def xlsb_batches(archive: zipfile.ZipFile, name: str) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`xlsb_cells`, decoded a chunk of a sheet at a time."""
+    strings, sheets = _xlsb_parts(archive)
+    table = pa.array(strings, pa.string())
+    for index, (sheet, target) in enumerate(sheets):
+        row, rest = 0, b""
+        with archive.open(target) as part:
+            while more := part.read(CHUNK):
+                data, found = rest + more, []
+                rest = data[_places(data, found) :]
+                if not found:
+                    continue
+                raw, place = np.frombuffer(data, np.uint8), np.array(found, np.int64)
+                kind, place = place & 15, place >> 4
+                head = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), -1))
+                starts = np.flatnonzero(kind == 0)
+                numbers = np.zeros(len(kind), np.int64)
+                numbers[starts] = _words(raw, place[starts], "<u4")
+                rows = np.where(head >= 0, numbers[head], row)
+                row = int(rows[-1])
+                cell = kind != 0
+                kind, place, rows = kind[cell], place[cell], rows[cell]
+                for i in range(0, len(kind), BATCH):
+                    yield _xlsb_batch(raw, data, kind[i : i + BATCH], place[i : i + BATCH], rows[i : i + BATCH], table, name, index, sheet)
+
+
+def _xlsb_batch(raw, data, kind, place, rows, strings, name, index, sheet) -> pa.RecordBatch:
+    n = len(kind)
+    value, known = np.zeros(n), np.isin(kind, (2, 3, 4, 5, 9, 10, 11))
+    packed = kind == 2
+    if packed.any():
+        bits = _words(raw, place[packed] + 8, "<u4").astype(np.int64)
+        whole = (bits.astype(np.uint32).view(np.int32) >> 2).astype(np.float64)
+        double = ((bits & 0xFFFFFFFC) << 32).view(np.float64)
+        out = np.where(bits & 2, whole, double)
+        with np.errstate(invalid="ignore"):
+            value[packed] = np.where(bits & 1, out / 100, out)
+    value[np.isin(kind, (3, 11))] = np.nan
+    flag, real, shared = np.isin(kind, (4, 10)), np.isin(kind, (5, 9)), kind == 7
+    value[flag] = raw[place[flag] + 8]
+    value[real] = _words(raw, place[real] + 8, "<f8")
+    at = np.zeros(n, np.int64)
+    at[shared] = _words(raw, place[shared] + 8, "<u4")
+    own = np.isin(kind, (6, 8))
+    if own.any():
+        at[own] = len(strings) + np.arange(np.count_nonzero(own))
+        strings = pa.concat_arrays([strings, pa.array([_wide(data, p + 8)[0] for p in place[own].tolist()], pa.string())])
+    text = strings.take(pa.array(at, mask=~(shared | own))) if len(strings) else pa.nulls(n, pa.string())
+    marked = pa.array([""]).take(pa.array(np.zeros(n, np.int64), mask=kind < 8))
+    columns = [
+        pa.repeat(pa.scalar(name, pa.string()), n), pa.repeat(pa.scalar(index, pa.int32()), n), pa.repeat(pa.scalar(sheet, pa.string()), n), pa.array(rows.astype(np.int32)), pa.array(_words(raw, place, "<u4").astype(np.int32)),
+        pa.array(kind != 1), pa.array(value, mask=~known), text, marked,
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+
+def batches(data: bytes, name: str) -> Iterator[pa.RecordBatch]:
+    """Cells of a workbook file as Arrow batches; a broken file has none."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(data))
+    except zipfile.BadZipFile:
+        return
+    with archive:
+        if "xl/workbook.bin" in archive.namelist():
+            yield from xlsb_batches(archive, name)
+            return
+        rows = xlsx_cells(archive, name) if "xl/workbook.xml" in archive.namelist() else iter(())
+        while some := list(itertools.islice(rows, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), KINDS)], names=NAMES)
+
+
 def cells(data: bytes, name: str) -> Iterator[tuple]:
     """Cells of a workbook file by its contents; a broken file has none."""
     try:
@@ -180,28 +304,21 @@ def images(data: bytes) -> list[tuple[str, bytes]]:
 
 def read(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Cells of every workbook under a path, through Spark's own listing and readers."""
-    import pyarrow as pa
-
-    from ..ship import ship
-
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.xls[xmb]").load(path).select("path", "content")
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.string(), pa.string()]
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            for path_, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                waiting = []
-                for cell in cells(content, path_):
-                    waiting.append(cell)
-                    if len(waiting) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*waiting), kinds)], names=names)
-                        waiting = []
-                if waiting:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*waiting), kinds)], names=names)
-
-    return files.mapInArrow(run, SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.xls[xmb]").load(path)
+    return scan(files)
+
+
+def scan(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Cells of every workbook in a table of file contents; null contents and broken files have none."""
+    ship(files.sparkSession)
+
+    def run(found):
+        for batch in found:
+            for i in range(batch.num_rows):
+                if batch.column(1)[i].is_valid:
+                    yield from batches(batch.column(1)[i].as_py(), batch.column(0)[i].as_py())
+
+    return files.select(path, content).mapInArrow(run, SCHEMA)
 
 
 class _File(InputPartition):

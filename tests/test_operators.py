@@ -64,13 +64,18 @@ def test_formats_and_ties(spark):
 
 def test_unsupported_functions_are_all_found(spark):
     rows = [(x, f"={x.lower()}(A1,2)") for x in runs.UNSUPPORTED]
-    found = {r.name: r for r in spark.createDataFrame(rows, "name string, f string").select("name", runs.reasons(F.col("f")).alias("why"), runs.construct(F.col("f")).alias("c")).collect()}
+    found = {r.name: r for r in spark.createDataFrame(rows, "name string, f string").select("name", runs.reasons(F.col("f")).alias("why")).collect()}
     for name in runs.UNSUPPORTED:
-        assert f"unsupported_function:{name}" in found[name].why and found[name].c.endswith(f":{name}")
+        assert f"unsupported_function:{name}" in found[name].why
     cells = spark.createDataFrame([("w", "=A1+1", None), ("w", "=[2]X!A1", None), ("w", "=VLOOKUP(A1,B1:B2,1)", None), ("w", None, 3.0), ("w", None, None), ("v", "=A1", None)], "w string, f string, v double")
     got = {r.w: r for r in runs.ledger(cells, "w", "f", "v").collect()}
     assert (got["w"].total_cells, got["w"].formula_cells, got["w"].constant_cells, got["w"].hole_cells, got["w"].confidence) == (4, 3, 1, 2, "low")
     assert got["w"].flags == ["high_uncovered_ratio", "external_refs_present"] and (got["v"].confidence, got["v"].flags) == ("high", [])
+    broken = spark.createDataFrame([("u", "c1", "=1+", None, None), ("u", "c2", "=[1]A!B1+", 2.0, None), ("u", "c3", None, None, "t"), ("u", "c4", None, None, None)], "w string, c string, f string, v double, t string")
+    u = runs.ledger(broken, "w", "f", "v", "t").first()
+    assert (u.total_cells, u.formula_cells, u.constant_cells, u.hole_cells, u.flags) == (3, 2, 0, 2, ["high_uncovered_ratio", "external_refs_present"])
+    assert [(r.pos, r.cell, r.reason) for r in runs.hole_samples(broken, "w", "f", "c", [F.col("c")], 2).orderBy("pos").collect()] == [(1, "c1", "parse_error"), (2, "c2", "external_ref")]
+    assert {(r.construct, r.file_count, r.cell_count) for r in runs.heatmap(broken, "w", "f").collect()} == {("parse_error", 1, 2), ("external_ref", 1, 1)}
     assert {(r.reason, r.n) for r in runs.hole_reasons(cells, "w", "f").collect()} == {("external_ref", 1), ("unsupported_function:VLOOKUP", 1), ("unsupported_function:LOOKUP", 1)}
 
 
