@@ -48,6 +48,8 @@ BOILER_WORDS = (
 #: Words that pages also give to the frames of articles.
 LOOSE_WORDS = "alert banner byline copyright donate form header legal login meta modal notice notices privacy related search share skip social tags toolbar topbar widget".split()
 MAIN_WORDS = "article content entry main post story body text".split()
+#: Words of the short headings that stand over what is not the article.
+HEADING_WORDS = "about ads advertisement archives categories comment comments discussion follow links menu navigation newsletter popular recent recommended related replies reply responses search share sponsored subscribe tags trending".split()
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -55,12 +57,14 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 #: Attributes that end with a slash of the tag, not of an unquoted value.
 _CLOSED = re.compile(r"""(?:[^"'=]|=\s*(?:"[^"]*"|'[^']*'|[^\s"'][^\s]*(?=\s))|"[^"]*"|'[^']*')*+(?<=/)""")
 _WORDS = re.compile(r"[a-z]+")
-_BOILER, _LOOSE, _MAIN = frozenset(BOILER_WORDS), frozenset(LOOSE_WORDS), frozenset(MAIN_WORDS)
+_BOILER, _LOOSE, _MAIN, _OVER = frozenset(BOILER_WORDS), frozenset(LOOSE_WORDS), frozenset(MAIN_WORDS), frozenset(HEADING_WORDS)
+#: Headings of more words are not looked at.
+SHORT_HEADING = 5
 #: "with-sidebar" and the like say what stands elsewhere.
 _ABOUT = frozenset(("with", "has", "no", "without"))
 FEATURES = (
     "words", "links", "previous_words", "previous_links", "next_words", "next_links", "sibling_words", "sibling_links", "sibling_share",
-    "heading", "paragraph", "item", "named", "loose", "tagged", "region_share", "main", "hint",
+    "heading", "paragraph", "item", "named", "loose", "tagged", "region_share", "main", "hint", "headed",
 )
 
 
@@ -79,6 +83,7 @@ class Block:
     tagged: bool
     main: bool
     hint: bool
+    headed: bool
 
     @property
     def boiler(self) -> bool:
@@ -99,6 +104,8 @@ class _Open:
     tagged: bool = False
     main: bool = False
     hint: bool = False
+    #: Whether the last heading directly inside says that what follows is not the article.
+    headed: bool = False
 
 
 _PAGE = _Open("")
@@ -123,7 +130,10 @@ class _State:
                 inner = self.stack[-1] if self.stack else _PAGE
                 count = words.count(" ") + 1
                 kind = next((e.tag for e in reversed(self.stack) if e.tag in HEADINGS or e.tag in ("p", "li", "td", "th", "dd", "dt", "blockquote", "pre")), "")
-                self.blocks.append(Block(words, count, min(self.linked, count), kind, inner.parent, inner.region, inner.named, inner.loose, inner.tagged, inner.main, inner.hint))
+                if inner.tag in HEADINGS and len(self.stack) > 1:
+                    self.stack[-2].headed = count <= SHORT_HEADING and not _OVER.isdisjoint(_WORDS.findall(words.lower()))
+                headed = any(e.headed for e in self.stack)
+                self.blocks.append(Block(words, count, min(self.linked, count), kind, inner.parent, inner.region, inner.named, inner.loose, inner.tagged, inner.main, inner.hint, headed))
         self.parts.clear()
         self.linked = 0
 
@@ -264,7 +274,7 @@ def described(page: str) -> tuple[list[Block], np.ndarray]:
         words, linked = siblings[b.parent]
         kinds = (b.kind in HEADINGS, b.kind in ("p", "blockquote", "pre"), b.kind in ("li", "td", "th", "dd", "dt"))
         near = (*(own[i - 1] if i else edge), *(own[i + 1] if i + 1 < len(found) else edge))
-        rows.append((*own[i], *near, words, linked / words, words / total, *kinds, b.named, b.loose, b.tagged, within[b.region] / total if b.region else 0.0, b.main, b.hint))
+        rows.append((*own[i], *near, words, linked / words, words / total, *kinds, b.named, b.loose, b.tagged, within[b.region] / total if b.region else 0.0, b.main, b.hint, b.headed))
     return found, np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
 
@@ -328,7 +338,8 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 20, least: int = 5)
 
 
 # The labelled table. Each layout is a list of blocks: what opens
-# before it, its element, its words, whether it is a link, its label, what closes.
+# before it, its element, its words (a number, or the text itself), whether it is
+# a link, its label, what closes.
 _M, _X = True, False
 LAYOUTS = [
     [("<nav><ul>", "li", 1, 1, _X, ""), ("", "li", 2, 1, _X, ""), ("", "li", 1, 1, _X, "</ul></nav>"), ('<div class="ad">', "", 9, 0, _X, "</div>"), ("<article>", "h1", 8, 0, _M, ""), ("", "p", 60, 0, _M, ""), ("", "p", 2, 0, _M, ""), ("", "p", 120, 0, _M, "</article>"), ("<footer>", "", 14, 0, _X, "</footer>")],
@@ -363,6 +374,23 @@ LAYOUTS = [
     [("<nav><ul>", "li", 1, 1, _X, ""), ("", "li", 2, 1, _X, ""), ("", "li", 1, 1, _X, "</ul></nav>"), ('<div class="ad">', "", 6, 0, _X, "</div>"), ("<article>", "h1", 1, 0, _M, ""), ("", "p", 3, 0, _M, "</article>"), ("<footer>", "", 12, 0, _X, "</footer>")],
     [("<nav>", "", 6, 1, _X, "</nav>"), ('<div class="ad">', "", 25, 0, _X, "</div>"), ("<article>", "h1", 2, 0, _M, ""), ("", "p", 2, 0, _M, ""), ("", "p", 14, 0, _M, ""), ("", "p", 6, 0, _M, "</article>"), ("<footer>", "", 30, 0, _X, "</footer>")],
     [("<nav>", "", 4, 1, _X, "</nav>"), ("<main>", "h1", 5, 0, _M, ""), ("", "p", 60, 0, _M, ""), ("", "p", 40, 0, _M, "</main>"), ('<section class="comments">', "h2", 1, 0, _X, ""), ('<div class="comment">', "p", 60, 0, _X, "</div>"), ('<div class="comment">', "p", 45, 0, _X, "</div>"), ('<div class="comment">', "p", 80, 0, _X, "</div>"), ('<div class="comment">', "p", 25, 0, _X, "</div></section>")],
+    [("", "", 30, 0, _M, "")],
+    [("", "", 90, 0, _M, "")],
+    [("", "", 40, 0, _M, "<hr>"), ("", "", 60, 0, _M, "")],
+    [("", "", 5, 0, _M, "<hr>"), ("", "", 25, 0, _M, "<hr>"), ("", "", 45, 0, _M, "<hr>"), ("", "", 12, 0, _M, "")],
+    [("<nav><ul>", "li", 1, 1, _X, ""), ("", "li", 1, 1, _X, ""), ("", "li", 2, 1, _X, "</ul></nav>"), ("<div>", "", 8, 0, _X, "</div>"), ("<article>", "h1", 9, 0, _M, ""), ("", "p", 30, 0, _M, ""), ("", "p", 12, 0, _M, ""), ("", "p", 60, 0, _M, "</article>"), ("<footer>", "", 12, 0, _X, "</footer>")],
+    [("<nav><ul>", "li", 1, 1, _X, ""), ("", "li", 1, 1, _X, ""), ("", "li", 2, 1, _X, "</ul></nav>"), ("<div>", "", 11, 0, _X, "</div>"), ("<div>", "h1", 8, 0, _M, ""), ("", "p", 75, 0, _M, ""), ("", "p", 40, 0, _M, "</div>"), ("<div>", "", 10, 0, _X, "</div>")],
+    [("<nav><ul>", "li", 1, 1, _X, ""), ("", "li", 1, 1, _X, "</ul></nav>"), ("<div>", "", 9, 0, _X, "</div>"), ("<article>", "h1", 9, 0, _M, ""), ("", "p", 9, 0, _M, ""), ("", "p", 12, 0, _M, "</article>"), ("<footer>", "", 12, 0, _X, "</footer>")],
+    [("<div>", "", 50, 0, _M, "</div>")],
+    [("<article>", "h1", 7, 0, _M, ""), ("", "p", 60, 0, _M, ""), ("", "p", 45, 0, _M, ""), ("", "p", 80, 0, _M, "</article>"), ("<section>", "h2", "Comments", 0, _X, ""), ("<div>", "p", 30, 0, _X, "</div>"), ("<div>", "p", 45, 0, _X, "</div>"), ("<div>", "p", 25, 0, _X, "</div>"), ("<div>", "p", 60, 0, _X, "</div></section>"), ("<footer>", "", 12, 0, _X, "</footer>")],
+    [("<div>", "h1", 7, 0, _M, ""), ("", "p", 60, 0, _M, ""), ("", "p", 45, 0, _M, "</div>"), ("<div>", "h3", "12 Comments", 0, _X, ""), ("<ul>", "li", 30, 0, _X, ""), ("", "li", 22, 0, _X, ""), ("", "li", 50, 0, _X, "</ul></div>"), ("<div>", "", 9, 0, _X, "</div>")],
+    [("<nav>", "", 4, 1, _X, "</nav>"), ("<article>", "h1", 6, 0, _M, ""), ("", "p", 90, 0, _M, ""), ("", "p", 50, 0, _M, "</article>"), ("<div>", "h3", "About us", 0, _X, ""), ("", "p", 40, 0, _X, "</div>"), ("<footer>", "", 15, 0, _X, "</footer>")],
+    [("<nav>", "", 4, 1, _X, "</nav>"), ("<article>", "h1", 6, 0, _M, ""), ("", "p", 90, 0, _M, ""), ("", "p", 50, 0, _M, "</article>"), ("<div>", "h3", 3, 0, _X, ""), ("", "", 40, 0, _X, "</div>"), ("<footer>", "", 15, 0, _X, "</footer>")],
+    [("<div>", "h4", "Recent posts", 0, _X, ""), ("<ul>", "li", 5, 1, _X, ""), ("", "li", 6, 1, _X, "</ul></div>"), ("<div>", "h1", 6, 0, _M, ""), ("", "p", 70, 0, _M, ""), ("", "p", 40, 0, _M, "</div>"), ("<form>", "h4", "Subscribe to our newsletter", 0, _X, ""), ("", "label", 5, 0, _X, ""), ("", "p", 16, 0, _X, "</form>")],
+    [("<article>", "h1", 8, 0, _M, ""), ("", "p", 70, 0, _M, ""), ("", "p", 30, 0, _M, "</article>"), ("<form>", "label", 5, 0, _X, ""), ("<div></div>", "label", 4, 0, _X, ""), ("", "p", 9, 0, _X, "</form>"), ("<footer>", "", 8, 0, _X, "</footer>")],
+    [("<form>", "label", 5, 0, _X, ""), ("<div></div>", "label", 2, 0, _X, "</form>"), ("<article>", "h1", 8, 0, _M, ""), ("", "p", 70, 0, _M, ""), ("", "p", 30, 0, _M, "</article>"), ("<form>", "p", 12, 0, _X, "</form>")],
+    [("<nav><ul>", "li", 2, 1, _X, ""), ("", "li", 1, 1, _X, "</ul></nav>"), ("<article>", "h1", 7, 0, _M, ""), ("", "p", 60, 0, _M, ""), ("<ul>", "li", 4, 1, _M, ""), ("", "li", 6, 1, _M, ""), ("", "li", 3, 1, _M, "</ul>"), ("", "p", 50, 0, _M, "</article>"), ("<footer>", "", 9, 0, _X, "</footer>")],
+    [("<header>", "", 3, 1, _X, "</header>"), ("<main>", "h1", 5, 0, _M, ""), ("", "p", 80, 0, _M, ""), ("", "h2", 2, 0, _M, ""), ("<ol>", "li", 8, 1, _M, ""), ("", "li", 10, 0, _M, ""), ("", "li", 5, 1, _M, "</ol></main>"), ("<footer><ul>", "li", 2, 1, _X, ""), ("", "li", 3, 1, _X, "</ul></footer>")],
 ]
 
 
@@ -397,26 +425,56 @@ def renamed(layout: list[tuple], naming: str, turn: int) -> list[tuple]:
     return rows
 
 
-def labelled_table(draws: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of every layout, under each naming and at several text lengths.
+def drawn(layout: list[tuple], naming: str, turn: int, draws: int, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Features (draws x blocks), words of each block and draw, and the page of the first draw.
 
-    Lengths are drawn around those of the layout by a generator with a fixed seed.
+    Word counts are drawn around those of the layout; what does not depend on
+    them is taken from one parsed page.
     """
+    rows = renamed(layout, naming, turn)
+    given = np.array([x[2].count(" ") + 1 if isinstance(x[2], str) else x[2] for x in rows])
+    fixed, label, link = (np.array([f(x) for x in rows]) for f in (lambda x: isinstance(x[2], str), lambda x: x[4], lambda x: x[3] == 1))
+    whole = random.normal(0, 0.6, (draws, 1))  # some articles are long, some short
+    spread = np.where(given < 8, random.normal(0, 0.25, (draws, len(rows))), random.normal(0, 0.6, (draws, len(rows))) + whole * label)
+    words = np.where(fixed, given, np.maximum(np.rint(given * np.exp(spread)), 1)).astype(int)
+    page = ["<html><body>"]
+    for (before, tag, said, _, _, after), n, linked in zip(rows, words[0].tolist(), link):
+        text = said if isinstance(said, str) else " ".join(["word"] * n)
+        text = f"<a href='#'>{text}</a>" if linked else text
+        page.append(before + (f"<{tag}>{text}</{tag}>" if tag else text) + after)
+    page.append("</body></html>")
+    state = _parsed("".join(page))
+    found, parents = state.blocks, state.parents
+    if len(found) != len(rows):
+        raise ValueError("a layout's blocks run together")
+
+    def above(place: int) -> set[int]:
+        out = {place}
+        while place:
+            place = parents[place]
+            out.add(place)
+        return out
+
+    same = np.array([[a.parent == b.parent for b in found] for a in found], dtype=float)
+    inside = np.array([[bool(a.region and b.region and a.region in above(b.region)) for b in found] for a in found], dtype=float)
+    count, linked = words.astype(float), words * link
+    total, siblings = count.sum(axis=1, keepdims=True), count @ same
+    shift = lambda x, k: np.pad(x, ((0, 0), (1, 0) if k < 0 else (0, 1)))[:, : x.shape[1]] if k < 0 else np.pad(x, ((0, 0), (0, 1)))[:, 1:]
+    density = linked / count
+    flags = [[b.kind in HEADINGS, b.kind in ("p", "blockquote", "pre"), b.kind in ("li", "td", "th", "dd", "dt"), b.named, b.loose, b.tagged] for b in found]
+    still = [np.broadcast_to(np.array(x, dtype=float), count.shape) for x in zip(*flags)]
+    last = [np.broadcast_to(np.array(x, dtype=float), count.shape) for x in zip(*((b.main, b.hint, b.headed) for b in found))]
+    columns = [count, density, shift(count, -1), shift(density, -1), shift(count, 1), shift(density, 1), siblings, (linked @ same) / siblings, siblings / total, *still, (count @ inside.T) / total, *last]
+    return np.stack(columns, axis=2), words, page
+
+
+def labelled_table(draws: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of every layout, under each naming and at several text lengths, drawn with a fixed seed."""
     random, table, labels = np.random.default_rng(17), [], []
-    for turn, (layout, naming, _) in enumerate(itertools.product(LAYOUTS, NAMINGS, range(draws))):
-        page, wanted = ["<html><body>"], []
-        whole = random.normal(0, 0.6)  # some articles are long, some short
-        for before, tag, words, linked, label, after in renamed(layout, naming, turn):
-            spread = np.exp(random.normal(0, 0.25) if words < 8 else random.normal(0, 0.6) + (whole if label else 0))
-            text = " ".join(["word"] * max(round(words * spread), 1))
-            text = f"<a href='#'>{text}</a>" if linked else text
-            page.append(before + (f"<{tag}>{text}</{tag}>" if tag else text) + after)
-            wanted.append(label)
-        found, rows = described("".join(page) + "</body></html>")
-        if len(found) != len(wanted):
-            raise ValueError("a layout's blocks run together")
-        table.append(rows)
-        labels += wanted
+    for turn, (layout, naming) in enumerate(itertools.product(LAYOUTS, NAMINGS)):
+        rows = drawn(layout, naming, turn, draws, random)[0]
+        table.append(rows.reshape(-1, len(FEATURES)))
+        labels += [x[4] for x in renamed(layout, naming, turn)] * draws
     return np.concatenate(table), np.array(labels)
 
 

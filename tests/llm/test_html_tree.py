@@ -1,8 +1,10 @@
 """The decision tree of op2 against pages whose tags and class words are wrong, missing or right, and block splitting against a plain parser."""
 
+import itertools
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -121,3 +123,35 @@ def test_blocks_equal_a_plain_parser(pages):
         plain.close()
         plain.flush()
         assert [b.text for b in H.blocks(page)] == plain.out
+
+
+def test_text_without_tags_is_kept(tree):
+    for n in (3, 10, 25, 40, 80, 150, 400):
+        assert H.main_blocks(text(n), tree) == [text(n)]
+
+
+def test_comments_boxes_forms_and_lists_without_telling_words(tree):
+    body = [text(60, 0), text(45, 1), text(80, 2)]
+    head = "<article><h1>Head of it</h1>" + "".join(f"<p>{x}</p>" for x in body)
+    remarks = "".join(f"<div><p>{text(30 + i * 7, i)}</p></div>" for i in range(4))
+    for after in (
+        f"<section><h2>Comments</h2>{remarks}</section>",
+        f"<section><h2>Comments</h2>{remarks}</section><footer>{text(10)}</footer>",
+        f"<div><h3>About us</h3>{text(40)}</div>",
+        f"<div><h3>Some words</h3><p>{text(40)}</p></div>",
+        f"<form><label>{text(5)}</label><input></form>",
+        f"<form><p>{text(5)}</p><p><label>{text(4)}</label></p></form><footer>{text(9)}</footer>",
+    ):
+        assert H.main_blocks(f"<html><body>{head}</article>{after}</body></html>", tree) == ["Head of it", *body], after[:40]
+    linked = [text(4), text(6, 3), text(3, 5)]
+    items = "".join(f"<li><a href=x>{x}</a></li>" for x in linked)
+    page = f"<html><body><nav><a>home</a></nav>{head}<ul>{items}</ul><p>{text(50, 6)}</p></article><footer>{text(9)}</footer></body></html>"
+    assert H.main_blocks(page, tree) == ["Head of it", *body, *linked, text(50, 6)]
+
+
+def test_drawn_rows_are_those_of_their_pages():
+    random = np.random.default_rng(1)
+    for turn, (layout, naming) in enumerate(itertools.product(H.LAYOUTS, dict.fromkeys(H.NAMINGS))):
+        rows, words, page = H.drawn(layout, naming, turn, 2, random)
+        found, own = H.described("".join(page))
+        assert [b.words for b in found] == words[0].tolist() and np.allclose(rows[0], own)
