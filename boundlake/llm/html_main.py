@@ -468,7 +468,7 @@ def drawn(layout: list[tuple], naming: str, turn: int, draws: int, random: np.ra
     return np.stack(columns, axis=2), words, page
 
 
-def labelled_table(draws: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def labelled_table(draws: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of every layout, under each naming and at several text lengths, drawn with a fixed seed."""
     random, table, labels = np.random.default_rng(17), [], []
     for turn, (layout, naming) in enumerate(itertools.product(LAYOUTS, NAMINGS)):
