@@ -184,3 +184,46 @@ def reports(targets: DataFrame, run: str) -> DataFrame:
     is_ = lambda x: F.count_if(F.col("verdict") == x)
     counted = targets.groupBy(run).agg(F.count("*").alias("targets"), is_("SAFE").alias("safe"), is_("FAIL").alias("fail"), is_("ABSTAIN").alias("abstain"))
     return counted.select(run, F.to_json(F.struct("abstain", "fail", "safe", "targets")).alias("report"))
+
+
+def target_reports(targets: DataFrame, run: list[str], trace: DataFrame | None = None) -> DataFrame:
+    """(run, report): JSON of each certified target: verdict, bounds, residual, certificate, its leaf in the audit tree, regime and derivation.
+
+    ``targets`` comes from :func:`verdict.certify`; ``trace`` (run, pos, node, op,
+    lo, hi, holed) has one row for each node of a target's program. Numbers that
+    are not finite are texts, as JSON has none.
+    """
+    number = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string"))
+    text = lambda c: F.to_json(F.struct(c.cast("string").alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.cast("string").alias("x")))) - 6)
+    sha = lambda c: F.concat(F.lit('"sha256:'), c, F.lit('"'))
+    leaf = F.sha2(F.concat(F.unhex(F.lit("00")), F.unhex("cert_hash")), 256)
+    steps = F.lit("[]")
+    if trace is not None:
+        item = F.concat(F.lit('{"encl":['), number(F.col("lo")), F.lit(","), number(F.col("hi")), F.lit('],"holed":'), F.coalesce(F.col("holed"), F.lit(False)).cast("string"), F.lit(',"node":'), text(F.col("node")), F.lit(',"op":'), text(F.col("op")), F.lit(',"width":'), number(F.col("hi") - F.col("lo")), F.lit("}"))
+        made = trace.withColumn("_item", item).groupBy(*run).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_item"))), lambda x: x["_item"]).alias("_steps"))
+        targets = targets.join(made, run, "left")
+        steps = F.concat(F.lit("["), F.array_join(F.coalesce("_steps", F.array().cast("array<string>")), ","), F.lit("]"))
+    report = F.concat(
+        F.lit('{"audit_leaf":'), sha(leaf), F.lit(',"certificate_ref":'), sha(F.col("cert_hash")), F.lit(',"derivation":'), steps, F.lit(',"ms_enclosure":{"lower":'), number(F.col("ms_lo")), F.lit(',"upper":'), number(F.col("ms_hi")),
+        F.lit('},"regime":'), text(F.col("regime")), F.lit(',"residual":'), number(F.col("residual")), F.lit(',"verdict":'), text(F.col("verdict")), F.lit("}"),
+    )
+    return targets.select(*run, report.alias("report"))
+
+
+def diff_documents(deltas: DataFrame, holes: DataFrame | None = None, key: str = "cell") -> tuple[DataFrame, DataFrame]:
+    """(head, lines) of a difference of two runs as JSON: one row of counts, and one row for each target and for each hole that opened or closed.
+
+    ``holes`` has (id, change) with change ``new`` or ``closed``.
+    """
+    head = deltas.agg(F.count("*").alias("targets"), F.count_if(F.col("trend") == "improved").alias("improved"), F.count_if(F.col("trend") == "regressed").alias("regressed"))
+    head = head.select(F.to_json(F.struct("improved", "regressed", (F.col("regressed") == 0).alias("safe"), "targets")).alias("document"))
+    fields = sorted({key, "old_verdict", "new_verdict", "transition", "delta_cs", "old_cs", "new_cs"} & set(deltas.columns))
+    lines = deltas.select(F.lit("target").alias("kind"), F.col(key).alias("id"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))
+    if holes is not None:
+        lines = lines.unionByName(holes.select(F.concat("change", F.lit("_hole")).alias("kind"), "id", F.to_json(F.struct("id")).alias("document")))
+    return head, lines
+
+
+def proposals(fixes: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows to append for fixes that are proposed (fix_id, description, patch): status ``proposed``, each id once; known ones keep their status."""
+    return fixes.dropDuplicates(["fix_id"]).join(known.select("fix_id"), "fix_id", "left_anti").withColumn("status", F.lit("proposed"))

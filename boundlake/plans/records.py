@@ -208,3 +208,20 @@ def vector_similar_cases(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     found = vectors.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)
     return found.select("query", "vec_id", r("similarity").alias("similarity"), big("nearest").alias("nearest"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, verdict, ms_lo AS lower, ms_hi AS upper, CASE WHEN residual > 0 THEN 'B' ELSE 'A' END AS regime, CAST(2 AS BIGINT) AS steps, CAST(64 AS BIGINT) AS digits
+FROM {twins.margins(0.05)} AS x""")
+def target_reports(spark, sf_dir):
+    """Reports of every line item's margin, read back from their JSON."""
+    # Line items may share all three keys; their certificates tell them apart.
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "cert_hash"]
+    m = margins(spark, sf_dir)
+    item = lambda pos, op, lo, hi: F.struct(F.lit(pos).alias("pos"), F.lit(f"n{pos}").alias("node"), F.lit(op).alias("op"), lo.alias("lo"), hi.alias("hi"), F.lit(False).alias("holed"))
+    trace = m.select(*keys, F.explode(F.array(item(0, "sub", F.col("ms_lo"), F.col("ms_hi")), item(1, "div", F.col("ms_lo") + 1, F.col("ms_hi") + 1))).alias("t")).select(*keys, "t.*").distinct()
+    j = lambda path: F.get_json_object("report", f"$.{path}")
+    found = ledger.target_reports(m, keys, trace)
+    return found.select(
+        *keys[:3], j("verdict").alias("verdict"), j("ms_enclosure.lower").cast("double").alias("lower"), j("ms_enclosure.upper").cast("double").alias("upper"), j("regime").alias("regime"),
+        big(F.json_array_length(j("derivation"))).alias("steps"), big(F.length(F.regexp_extract(j("certificate_ref"), "^sha256:([0-9a-f]+)$", 1))).alias("digits"),
+    )

@@ -1,5 +1,7 @@
 """Limits that must not be there, and the awkward cases of documents, vectors and wide programs."""
 
+import hashlib
+import json
 import math
 
 import pytest
@@ -186,3 +188,34 @@ def test_one_key_is_numbered_by_many_tasks(spark):
         assert frame.repartitionByRange(F.col("k"), F.col("o")).select(F.spark_partition_id()).distinct().count() == 4
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_reports_hold_bounds_certificate_and_derivation(spark):
+    rows = spark.createDataFrame([(1, 2.0, 3.0, 0.0), (2, -math.inf, 1.5, 0.25)], "k int, ms_lo double, ms_hi double, residual double")
+    targets = v.certify(rows, "interval", F.col("k").cast("string"))
+    trace = spark.createDataFrame([(1, 1, "b", 'di"v', 3.0, 4.0, True), (1, 0, "a", "sub", 2.0, 3.0, None)], "k int, pos int, node string, op string, lo double, hi double, holed boolean")
+    got = {r.k: json.loads(r.report) for r in ledger.target_reports(targets, ["k"], trace).collect()}
+    cert = {r.k: r.cert_hash for r in targets.collect()}
+    leaf = hashlib.sha256(b"\0" + bytes.fromhex(cert[1])).hexdigest()
+    assert got[1] == {
+        "verdict": "SAFE", "ms_enclosure": {"lower": 2.0, "upper": 3.0}, "residual": 0.0, "regime": "A", "certificate_ref": f"sha256:{cert[1]}", "audit_leaf": f"sha256:{leaf}",
+        "derivation": [{"node": "a", "op": "sub", "encl": [2.0, 3.0], "holed": False, "width": 1.0}, {"node": "b", "op": 'di"v', "encl": [3.0, 4.0], "holed": True, "width": 1.0}],
+    }
+    assert got[2]["ms_enclosure"]["lower"] == "-Infinity" and got[2]["derivation"] == [] and got[2]["regime"] == "B"
+    deltas = spark.createDataFrame([("c1", "SAFE", "FAIL", 0.1, 0.9, 0.8, "SAFE_TO_FAIL", "regressed"), ("c2", None, "SAFE", None, 0.1, None, "NEW", "new")], "cell string, old_verdict string, new_verdict string, old_cs double, new_cs double, delta_cs double, transition string, trend string")
+    head, lines = ledger.diff_documents(deltas, spark.createDataFrame([("h", "new"), ("g", "closed")], "id string, change string"))
+    assert json.loads(head.first().document) == {"improved": 0, "regressed": 1, "safe": False, "targets": 2}
+    found = {(r.kind, r.id): json.loads(r.document) for r in lines.collect()}
+    assert found["target", "c1"]["delta_cs"] == 0.8 and found["target", "c2"]["old_verdict"] is None and {("new_hole", "h"), ("closed_hole", "g")} < found.keys()
+    fixes = spark.createDataFrame([("f1", "a", [1.0]), ("f1", "a", [1.0]), ("f2", "b", None)], "fix_id string, description string, patch array<double>")
+    assert [(r.fix_id, r.status) for r in ledger.proposals(fixes, spark.createDataFrame([("f2", "approved")], "fix_id string, status string")).collect()] == [("f1", "proposed")]
+
+
+def test_bundles_lower_to_a_hull_of_candidates_and_physical_range(spark):
+    ids = spark.createDataFrame([("a",), ("b",), ("c",)], "b string")
+    made = boxes.add(spark.createDataFrame([("a", "x", 0.6, 1.0, 2.0)], "b string, k string, conf double, lo double, hi double"), spark.createDataFrame([("a", "y", 0.9, 1.5, 4.0)], "b string, k string, conf double, lo double, hi double"))
+    marks = spark.createDataFrame([("b", 1, 0.0, 10.0), ("b", 2, 5.0, 20.0), ("a", 1, 0.0, 1.0), ("a", 2, 3.0, 9.0)], "b string, o int, lo double, hi double")
+    unknown = boxes.mark_unknown(marks, "b", "o")
+    assert {(r.b, r.lo, r.hi) for r in unknown.collect()} == {("b", 5.0, 10.0), ("a", 3.0, 9.0)}
+    assert {(r.b, r.conf) for r in boxes.top_conf(made, "b").collect()} == {("a", 0.9)}
+    assert {tuple(r) for r in boxes.lower(made, unknown, "b", ids).collect()} == {("a", 1.0, 9.0, 3), ("b", 5.0, 10.0, 1), ("c", -math.inf, math.inf, 0)}
