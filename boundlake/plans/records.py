@@ -8,6 +8,7 @@ from ..functions import formula, points, units
 from ..functions import program as pg
 from ..operators import ledger, runs, vectors
 from ..operators import verdict as v
+from ..stores import checkpointed
 from . import twins
 from .catalogue import LABEL, big, formula_cells, margin_boxes, margins, query, r, run_targets, table  # noqa: F401
 from .catalogue import DIFF, _BUILT, _HOLES  # noqa: F401
@@ -216,7 +217,7 @@ def target_reports(spark, sf_dir):
     """Reports of every line item's margin, read back from their JSON."""
     # Line items may share all three keys; their certificates tell them apart.
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "cert_hash"]
-    m = margins(spark, sf_dir)
+    m = checkpointed(margins(spark, sf_dir))
     item = lambda pos, op, lo, hi: F.struct(F.lit(pos).alias("pos"), F.lit(f"n{pos}").alias("node"), F.lit(op).alias("op"), lo.alias("lo"), hi.alias("hi"), F.lit(False).alias("holed"))
     trace = m.select(*keys, F.explode(F.array(item(0, "sub", F.col("ms_lo"), F.col("ms_hi")), item(1, "div", F.col("ms_lo") + 1, F.col("ms_hi") + 1))).alias("t")).select(*keys, "t.*").distinct()
     j = lambda path: F.get_json_object("report", f"$.{path}")
