@@ -8,8 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import decontaminate, hard_negatives, html_main, langid, lm_score, neardup, oracles, pieces, prefix_trie, quality_pu, quality_rules, secret_scan
 from .packing import pack
 from .tokens import count_tokens
@@ -105,6 +103,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # the script at the top imports this subpackage, so not before it is asked for
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -131,5 +131,3 @@ ORACLE_SQL: dict[str, str] = {
     "op12_prefix_trie": oracles.PREFIX_TRIE,
     "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
