@@ -26,8 +26,8 @@ from .textnp import ALNUM_HIGH, LOWER, steps, utf8, word_hashes, word_spans
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-#: Bits of a word number in packed keys; a block has fewer different words.
-BITS = 21
+#: Bits of a packed key; a word number takes ``LEAST_BITS`` of them, or as many more as a block's different words need.
+KEY_BITS, LEAST_BITS = 63, 21
 
 
 class Block:
@@ -38,8 +38,7 @@ class Block:
         raw = LOWER[raw]
         starts, ends, counts = word_spans(raw, offsets, ALNUM_HIGH)
         self.words, ids = np.unique(word_hashes(raw, starts, ends), return_inverse=True)
-        if len(self.words) >= (1 << BITS) - 2:
-            raise ValueError("a benchmark block has too many different words")
+        self.bits = max(LEAST_BITS, (len(self.words) + 2).bit_length())
         ids = ids.astype(np.int64) + 1  # 0 stands for any other word
         self.window = window
         first = np.concatenate([[0], np.cumsum(counts)])
@@ -59,20 +58,20 @@ class Block:
         after = np.where(at + size < counts[item], padded[first[item] + at + size], 0)
         self.sides = []
         for beside in (before, after):
-            key = (which.astype(np.int64) << BITS) | beside
+            key = (which.astype(np.int64) << self.bits) | beside
             order = np.argsort(key, kind="stable")
             self.sides.append((key[order], item[order], at[order]))
         self.first = np.searchsorted(np.sort(which), np.arange(len(keyed) + 1))
         self.least = int(self.size.min()) if len(self.size) else 0
 
 
-def packed(grid: np.ndarray) -> list[np.ndarray]:
-    """Rows of word numbers as few 63-bit keys, most significant first."""
-    keys = []
-    for a in range(0, grid.shape[1], 3):
+def packed(grid: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Rows of word numbers as few keys, most significant first."""
+    keys, each = [], KEY_BITS // bits
+    for a in range(0, grid.shape[1], each):
         key = np.zeros(len(grid), np.int64)
-        for k in range(a, a + 3):
-            key = (key << BITS) | (grid[:, k] if k < grid.shape[1] else 0)
+        for k in range(a, a + each):
+            key = (key << bits) | (grid[:, k] if k < grid.shape[1] else 0)
         keys.append(key)
     return keys
 
@@ -117,13 +116,13 @@ def search(block: Block, column: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray
     suffix = np.flatnonzero(known[block.least : end + block.least] - known[:end] == block.least)
     if not len(suffix):
         return counts, none
-    keys = packed(text[suffix[:, None] + np.arange(block.window)])
+    keys = packed(text[suffix[:, None] + np.arange(block.window)], block.bits)
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     high = block.grid.copy()
-    high[np.arange(block.window) >= block.size[:, None]] = (1 << BITS) - 1
-    lo = bisect(keys, packed(block.grid), right=False)
-    hi = bisect(keys, packed(high), right=True)
+    high[np.arange(block.window) >= block.size[:, None]] = (1 << block.bits) - 1
+    lo = bisect(keys, packed(block.grid, block.bits), right=False)
+    hi = bisect(keys, packed(high, block.bits), right=True)
     found = hi - lo
     window = np.repeat(np.arange(len(found)), found)
     inside = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)
@@ -133,7 +132,7 @@ def search(block: Block, column: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray
     # does; a 0 is an end of the text or a word that no item has. Only these are listed, not all pairs of places.
     ends = []
     for (key, items_, at_), beside in zip(block.sides, (text[place - 1], text[place + size])):
-        own = (window << BITS) | beside
+        own = (window << block.bits) | beside
         low, up = block.first[window], block.first[window + 1]
         same, over = (np.where(beside > 0, np.searchsorted(key, own, side=k), low) for k in ("left", "right"))
         many = up - over + same - low

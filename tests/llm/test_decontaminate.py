@@ -44,6 +44,12 @@ def test_a_benchmark_in_several_blocks_gives_the_same(spark):
     check(spark, block_bytes=120)
 
 
+def test_word_numbers_of_any_width_give_the_same(spark, monkeypatch):
+    for bits in (25, 40):
+        monkeypatch.setattr(d, "LEAST_BITS", bits)
+        check(spark)
+
+
 def test_matches_are_longest(spark):
     bench = spark.createDataFrame(items()[:1], "item_id long, text string")
     found = d.find(docs(spark, False), bench).where("doc_id = 0").first().matches
