@@ -143,3 +143,16 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 def unseen(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are new or changed since the last snapshot."""
     return now.join(before.select(*keys), keys, "left_anti")
+
+
+def by_format(files: DataFrame, format_type: str, covered: str) -> DataFrame:
+    """(format, files, coverage_pct): files of each format, and how many of them in a hundred are covered."""
+    return files.groupBy(format_type).agg(F.count("*").alias("files"), (100.0 * F.count_if(covered) / F.count("*")).alias("coverage_pct"))
+
+
+def overridden(given: DataFrame, measured: DataFrame, keys: list[str]) -> DataFrame:
+    """Given bounds of parameters, replaced as a whole where measured ones are there."""
+    own = measured.select(*keys, F.struct("lo", "hi").alias("_m"))
+    both = given.join(own, keys, "left")
+    pick = lambda c: F.when(F.col("_m").isNotNull(), F.col(f"_m.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select(*keys, pick("lo"), pick("hi"), F.col("_m").isNotNull().alias("measured"))

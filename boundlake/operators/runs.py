@@ -184,6 +184,11 @@ def every_nth(rows: DataFrame, order: list[Column], n: int, by: list[str]) -> Da
     return rows.withColumn("_at", at).withColumn("_n", size).where((F.col("_at") - 1) % F.greatest(F.lit(1), F.floor(F.col("_n") / n)) == 0).drop("_at", "_n")
 
 
+def most_frequent(rows: DataFrame, value: str, most: int) -> DataFrame:
+    """(value, n): the ``most`` values that occur most often; equal numbers by value."""
+    return rows.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(most)
+
+
 def case_distance(queries: DataFrame, cases: DataFrame, delta: float = 0.15, top: int = 5) -> DataFrame:
     """Nearest cases of each query by box distance over shared symbols.
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from ..stores import checkpointed
 
+#: Rows of a sheet that meet the ranges over them in one key of a join.
+ROWS = 256
 #: Levels after which the union of all levels is written as one table, so that plans stay small.
 FOLD = 32
 
@@ -86,6 +88,27 @@ def merge_edges(syntactic: DataFrame, measured: DataFrame) -> DataFrame:
     return a.join(b, ["src", "dst"], "full_outer").select("src", "dst", origin.alias("origin"), "sens")
 
 
+def touching(links: DataFrame, node, *ends: str) -> DataFrame:
+    """Links with a node at any of their ends: what an artifact came from and what came of it."""
+    hit = F.lit(False)
+    for end in ends:
+        hit |= F.coalesce(F.col(end) == F.lit(node), F.lit(False))
+    return links.where(hit)
+
+
+def over_ranges(ranges: DataFrame, cells: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(keys, names, cells, total, mean) of the values in each range ``row0 .. row1`` by ``col0 .. col1``; ranges without a value are left out.
+
+    A range meets the cells by column and by its part of blocks of ``ROWS`` rows, so the join is an equi join and
+    a range that is long is not written out cell by cell.
+    """
+    block = lambda c: F.floor(F.col(c) / ROWS)
+    wanted = ranges.withColumn("_block", F.explode(F.sequence(block("row0"), block("row1")))).withColumn("_col", F.explode(F.sequence(F.col("col0"), F.col("col1"))))
+    held = cells.select(*keys, block("row").alias("_block"), F.col("col").alias("_col"), F.col("row").alias("_row"), "value")
+    met = wanted.join(held, [*keys, "_block", "_col"]).where(F.col("_row").between(F.col("row0"), F.col("row1")))
+    return met.groupBy(*keys, *names).agg(F.count("value").alias("cells"), F.sum("value").alias("total"), F.avg("value").alias("mean"))
+
+
 def left_labels(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Each value cell with the text of the cell directly to its left."""
     w = Window.partitionBy(*keys, "row").orderBy("col")

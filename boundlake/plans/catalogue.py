@@ -17,6 +17,8 @@ from ..functions import program as pg
 from ..operators import boxes, cache, registry, runs, structure
 from ..operators import probes as probes_
 from ..operators import verdict as v
+from ..sources import workbook
+from ..streaming import events as events_
 from . import twins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,8 +284,10 @@ FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS t JOIN (SELECT
 def range_join_sum(spark, sf_dir):
     """Ranges of three lines below each cell: expanded to cells, so the join is an equi join."""
     cells = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("v"))
-    ranges = cells.select("l_orderkey", F.col("l_linenumber").alias("first_line"), F.explode(F.sequence(F.col("l_linenumber"), F.col("l_linenumber") + 2)).alias("l_linenumber"))
-    return ranges.join(cells, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "first_line").agg(F.count("*").alias("cells"), r(F.sum("v"), 4).alias("total"), r(F.avg("v"), 4).alias("mean"))
+    ranges = cells.select("l_orderkey", F.col("l_linenumber").alias("first_line"), F.col("l_linenumber").alias("row0"), (F.col("l_linenumber") + 2).alias("row1"), F.lit(0).alias("col0"), F.lit(0).alias("col1"))
+    values = cells.select("l_orderkey", F.col("l_linenumber").alias("row"), F.lit(0).alias("col"), F.col("v").alias("value"))
+    found = structure.over_ranges(ranges, values, ["l_orderkey"], ["first_line"])
+    return found.select("l_orderkey", "first_line", "cells", r("total", 4).alias("total"), r("mean", 4).alias("mean"))
 
 
 # --- registry, search, folders ------------------------------------------------------------------
@@ -387,19 +391,20 @@ def changed_files(spark, sf_dir):
 
 @query("""SELECT o_orderpriority AS format, count(*) AS files, round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 6) AS coverage_pct FROM orders GROUP BY 1""")
 def crawl_summary(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("format")).agg(F.count("*").alias("files"), r(100.0 * F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("coverage_pct"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("format"), (F.col("o_orderstatus") == "F").alias("covered"))
+    return registry.by_format(files, "format", "covered").select("format", "files", r("coverage_pct").alias("coverage_pct"))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS reason, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, reason LIMIT 10")
 def top_skip_reasons(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    return e.groupBy(F.get_json_object("props", "$.k").alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(10)
+    return runs.most_frequent(e.select(F.get_json_object("props", "$.k").alias("reason")), "reason", 10)
 
 
 @query("SELECT s_suppkey AS node, s_nationkey AS other, 'registered_as' AS rel FROM supplier WHERE s_suppkey = 7 OR s_nationkey = 7")
 def lineage(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").where((F.col("s_suppkey") == 7) | (F.col("s_nationkey") == 7)).select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("other"), F.lit("registered_as").alias("rel"))
+    links = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("other"), F.lit("registered_as").alias("rel"))
+    return structure.touching(links, 7, "node", "other")
 
 
 # --- events --------------------------------------------------------------------------------------
@@ -446,20 +451,20 @@ def stamped(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
-    w = stamped(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
-    return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    w = events_.windows(stamped(spark, sf_dir), "1 hour", ["event_type"])
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4).alias("total"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(CAST(k AS INTEGER)) AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) AS g GROUP BY 1")
 def sliding_windows(spark, sf_dir):
-    w = stamped(spark, sf_dir).groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    w = events_.windows(stamped(spark, sf_dir), "2 hours", [], slide="1 hour")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events) AS a) AS b GROUP BY user_id, session""")
 def session_windows(spark, sf_dir):
-    w = stamped(spark, sf_dir).groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
-    return w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    w = events_.sessions(stamped(spark, sf_dir), "6 hours", "user_id")
+    return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("""SELECT e.event_id, x.l_orderkey FROM events AS e LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS l_orderkey FROM orders GROUP BY 1) AS x ON e.user_id = x.o_custkey""")
@@ -472,8 +477,8 @@ def event_file(spark, sf_dir):
 FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity) AS q FROM lineitem GROUP BY 1) AS m ON p_partkey = l_partkey""")
 def params_override(spark, sf_dir):
     measured = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").alias("q"))
-    p = table(spark, sf_dir, "part").join(measured, "p_partkey", "left")
-    return p.select("p_partkey", F.coalesce(F.col("q") * 0.99, F.col("p_size") * 0.95).alias("lo"), F.coalesce(F.col("q") * 1.01, F.col("p_size") * 1.05).alias("hi"), F.col("q").isNotNull().alias("measured"))
+    given = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 0.95).alias("lo"), (F.col("p_size") * 1.05).alias("hi"))
+    return registry.overridden(given, measured.select("p_partkey", (F.col("q") * 0.99).alias("lo"), (F.col("q") * 1.01).alias("hi")), ["p_partkey"])
 
 
 # --- case base -----------------------------------------------------------------------------------
@@ -808,5 +813,5 @@ def unit_convert(spark, sf_dir):
 
 @query("SELECT CAST(l_suppkey AS BIGINT) AS sheet, count(*) AS cells, CAST(max(l_linenumber) AS BIGINT) AS max_row, count(DISTINCT l_linenumber) AS rows_used, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
 def workbook_stats(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("sheet")).agg(F.count("*").alias("cells"), big(F.max("l_linenumber")).alias("max_row"), F.countDistinct("l_linenumber").alias("rows_used"), r(F.sum("l_quantity"), 2).alias("total"))
+    cells = table(spark, sf_dir, "lineitem").select(F.lit("w").alias("workbook"), F.col("l_suppkey").alias("sheet"), F.col("l_linenumber").alias("row"), F.col("l_quantity").alias("value"))
+    return workbook.statistics(cells).select("sheet", "cells", big("max_row").alias("max_row"), "rows_used", r("total", 2).alias("total"))

@@ -59,8 +59,8 @@ def candidate_hull(spark, sf_dir):
 FROM (SELECT *, p_partkey * 7 % 1900 AS c FROM part) AS x""")
 def graph_view(spark, sf_dir):
     """Nodes of a graph with names as a sheet shows them, over one, two and three letters."""
-    nodes = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Sheet"), (F.col("p_partkey") % 3).cast("string")).alias("sheet"), F.col("p_size").alias("row"), (F.col("p_partkey") * 7 % 1900).alias("col"))
-    return nodes.select("p_partkey", ledger.cell_name(F.col("sheet"), F.col("row"), F.col("col")).alias("cell"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label"), F.lit(True).alias("is_input"), F.concat(F.lit("Sheet"), (F.col("p_partkey") % 3).cast("string")).alias("sheet"), F.col("p_size").alias("row"), (F.col("p_partkey") * 7 % 1900).alias("col"))
+    return ledger.graph_nodes(nodes).select(F.col("label").alias("p_partkey"), F.col("id").alias("cell"))
 
 
 # --- coverage -------------------------------------------------------------------------------------

@@ -292,6 +292,13 @@ def cells(data: bytes, name: str) -> Iterator[tuple]:
             yield from xlsx_cells(archive, name)
 
 
+def statistics(cells: DataFrame) -> DataFrame:
+    """(workbook, sheet, cells, max_row, rows_used, total) of every sheet."""
+    from pyspark.sql import functions as F
+
+    return cells.groupBy("workbook", "sheet").agg(F.count("*").alias("cells"), F.max("row").alias("max_row"), F.countDistinct("row").alias("rows_used"), F.sum("value").alias("total"))
+
+
 def defined_names(data: bytes) -> list[tuple[str, str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         return [(e.get("name"), e.text) for _, e in _stream(archive, "xl/workbook.xml") if _local(e.tag) == "definedName"]

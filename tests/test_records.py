@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boundlake import stores
 from boundlake.functions import interval, units
 from boundlake.functions import program as pg
-from boundlake.operators import boxes, ledger, structure, vectors
+from boundlake.operators import boxes, ledger, registry, runs, structure, vectors
 from boundlake.operators import verdict as v
 from boundlake.plans import catalogue
 
@@ -219,3 +219,27 @@ def test_bundles_lower_to_a_hull_of_candidates_and_physical_range(spark):
     assert {(r.b, r.lo, r.hi) for r in unknown.collect()} == {("b", 5.0, 10.0), ("a", 3.0, 9.0)}
     assert {(r.b, r.conf) for r in boxes.top_conf(made, "b").collect()} == {("a", 0.9)}
     assert {tuple(r) for r in boxes.lower(made, unknown, "b", ids).collect()} == {("a", 1.0, 9.0, 3), ("b", 5.0, 10.0, 1), ("c", -math.inf, math.inf, 0)}
+
+
+def test_sums_over_ranges_of_any_length(spark):
+    values = {(r, c): float(r * 7 % 13 + c) for r in range(0, 1500, 3) for c in range(3)}
+    cells = spark.createDataFrame([("w", r, c, x) for (r, c), x in values.items()], "k string, row int, col int, value double")
+    asked = [(1, 0, 1499, 0, 2), (2, 255, 257, 0, 0), (3, 250, 1030, 1, 1), (4, 1, 2, 0, 2), (5, 999, 999, 2, 2)]
+    ranges = spark.createDataFrame([("w", *a) for a in asked], "k string, id int, row0 int, row1 int, col0 int, col1 int")
+    got = {r.id: (r.cells, r.total) for r in structure.over_ranges(ranges, cells, ["k"], ["id"]).collect()}
+    want = {}
+    for i, r0, r1, c0, c1 in asked:
+        inside = [x for (r, c), x in values.items() if r0 <= r <= r1 and c0 <= c <= c1]
+        if inside:
+            want[i] = (len(inside), sum(inside))
+    assert got == want and 4 not in got
+
+
+def test_overrides_links_and_frequencies(spark):
+    given = spark.createDataFrame([(1, 0.0, 1.0), (2, 0.0, 1.0)], "k int, lo double, hi double")
+    measured = spark.createDataFrame([(2, 0.5, None), (3, 0.0, 0.0)], "k int, lo double, hi double")
+    assert sorted(tuple(r) for r in registry.overridden(given, measured, ["k"]).collect()) == [(1, 0.0, 1.0, False), (2, 0.5, None, True)]
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, None), (None, 4)], "a int, b int")
+    assert structure.touching(links, 2, "a", "b").count() == 2 and structure.touching(links, 4, "a", "b").count() == 1
+    rows = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "x string")
+    assert [(r.x, r.n) for r in runs.most_frequent(rows, "x", 2).collect()] == [("c", 2), ("a", 1)]
