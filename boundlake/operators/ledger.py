@@ -194,7 +194,8 @@ def target_reports(targets: DataFrame, run: list[str], trace: DataFrame | None =
     are not finite are texts, as JSON has none.
     """
     number = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string"))
-    text = lambda c: F.to_json(F.struct(c.cast("string").alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.cast("string").alias("x")))) - 6)
+    escaped = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    text = lambda c: F.when(c.cast("string").rlike(r'[\x00-\x1f"\\]'), escaped(c.cast("string"))).otherwise(F.concat(F.lit('"'), c.cast("string"), F.lit('"')))
     sha = lambda c: F.concat(F.lit('"sha256:'), c, F.lit('"'))
     leaf = F.sha2(F.concat(F.unhex(F.lit("00")), F.unhex("cert_hash")), 256)
     steps = F.lit("[]")

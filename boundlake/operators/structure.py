@@ -222,31 +222,44 @@ LEVELS = 10
 def merkle_roots(leaves: DataFrame, key: str, order: str, payload: str) -> DataFrame:
     """(key, leaves, root): leaves prefixed by 00, inner nodes by 01, an odd node is paired with itself.
 
-    Blocks of 2 ** LEVELS neighbouring nodes fold to one, again and again until
-    every key has one node, so a key of any number of leaves spreads over tasks;
-    no row holds more than one block. Equal orders go by the leaf's hash.
+    Keys of up to 2 ** LEVELS leaves fold in one row each. Of larger ones blocks of
+    that many neighbouring nodes fold to one, again and again until every key has
+    one node, so a key of any number of leaves spreads over tasks; no row holds
+    more than one block. Equal orders go by the leaf's hash.
     """
     hashed = leaves.select(key, F.col(order).alias("o"), F.sha2(F.concat(F.unhex(F.lit("00")), F.encode(F.col(payload).cast("string"), "utf-8")), 256).alias("h"))
     hashed = hashed.where(F.col(key).isNotNull())
     counts = hashed.groupBy(key).agg(F.count("*").alias("leaves"))
-    level = ranked(hashed, key, [F.col("o"), F.col("h")]).join(counts, key).select(key, "leaves", F.col("leaves").alias("size"), "at", "h")
-
-    def halve(nodes: Column) -> Column:
-        n = F.size(nodes)
-        pair = lambda i: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(F.get(nodes, 2 * i)), F.unhex(F.coalesce(F.get(nodes, 2 * i + 1), F.get(nodes, 2 * i)))), 256)
-        return F.transform(F.sequence(F.lit(0), F.floor((n + 1) / 2).cast("int") - 1), pair)
-
     deepest = counts.agg(F.max("leaves")).first()[0] or 1
-    while True:
-        blocks = level.groupBy(key, "leaves", "size", F.floor(F.col("at") / 2**LEVELS).alias("at")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]).alias("nodes"))
-        for _ in range(min(LEVELS, max(deepest - 1, 0).bit_length())):
-            # A key's level is left alone once it has one node; a block's last node pairs with itself only where the whole level's does.
-            blocks = blocks.withColumn("nodes", F.when(F.col("size") > 1, halve(F.col("nodes"))).otherwise(F.col("nodes"))).withColumn("size", F.ceil(F.col("size") / 2))
-        level = blocks.select(key, "leaves", "size", "at", F.col("nodes")[0].alias("h"))
+    few = hashed if deepest <= 2**LEVELS else hashed.join(counts.where(F.col("leaves") <= 2**LEVELS).select(key), key, "left_semi")
+    nodes = F.transform(F.sort_array(F.collect_list(F.struct("o", "h"))), lambda x: x["h"])
+    whole = few.groupBy(key).agg(nodes.alias("nodes")).withColumn("leaves", F.size("nodes").cast("long")).withColumn("size", F.col("leaves"))
+    done = _folded(whole, min(deepest, 2**LEVELS)).select(key, "leaves", F.col("nodes")[0].alias("root"))
+    if deepest <= 2**LEVELS:
+        return done
+    large = hashed.join(counts.where(F.col("leaves") > 2**LEVELS), key)
+    level = ranked(large, key, [F.col("o"), F.col("h")]).select(key, "leaves", F.col("leaves").alias("size"), "at", "h")
+    while deepest > 1:
+        block = F.floor(F.col("at") / 2**LEVELS).alias("at")
+        nodes = F.transform(F.sort_array(F.collect_list(F.struct("at", "h"))), lambda x: x["h"])
+        blocks = _folded(level.groupBy(key, "leaves", "size", block).agg(nodes.alias("nodes")), deepest)
+        level = checkpointed(blocks.select(key, "leaves", "size", "at", F.col("nodes")[0].alias("h")))
         deepest = -(-deepest // 2**LEVELS)
-        if deepest <= 1:
-            return level.select(key, "leaves", F.col("h").alias("root"))
-        level = checkpointed(level)
+    return done.unionByName(level.select(key, "leaves", F.col("h").alias("root")))
+
+
+def _folded(blocks: DataFrame, most: int) -> DataFrame:
+    """Blocks of nodes after as many levels as ``most`` nodes need, ``LEVELS`` at most.
+
+    A key's level (of ``size`` nodes) is left alone once it has one node; a
+    block's last node pairs with itself only where the whole level's does.
+    """
+    for _ in range(min(LEVELS, max(most - 1, 0).bit_length())):
+        n = F.size("nodes")
+        pair = lambda i: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(F.get("nodes", 2 * i)), F.unhex(F.coalesce(F.get("nodes", 2 * i + 1), F.get("nodes", 2 * i)))), 256)
+        half = F.transform(F.sequence(F.lit(0), F.floor((n + 1) / 2).cast("int") - 1), pair)
+        blocks = blocks.withColumn("nodes", F.when(F.col("size") > 1, half).otherwise(F.col("nodes"))).withColumn("size", F.ceil(F.col("size") / 2))
+    return blocks
 
 
 def merkle_root(leaves: list[bytes]) -> str:

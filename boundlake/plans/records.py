@@ -219,10 +219,10 @@ def target_reports(spark, sf_dir):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "cert_hash"]
     m = checkpointed(margins(spark, sf_dir))
     item = lambda pos, op, lo, hi: F.struct(F.lit(pos).alias("pos"), F.lit(f"n{pos}").alias("node"), F.lit(op).alias("op"), lo.alias("lo"), hi.alias("hi"), F.lit(False).alias("holed"))
-    trace = m.select(*keys, F.explode(F.array(item(0, "sub", F.col("ms_lo"), F.col("ms_hi")), item(1, "div", F.col("ms_lo") + 1, F.col("ms_hi") + 1))).alias("t")).select(*keys, "t.*").distinct()
-    j = lambda path: F.get_json_object("report", f"$.{path}")
-    found = ledger.target_reports(m, keys, trace)
+    trace = m.dropDuplicates(keys).select(*keys, F.explode(F.array(item(0, "sub", F.col("ms_lo"), F.col("ms_hi")), item(1, "div", F.col("ms_lo") + 1, F.col("ms_hi") + 1))).alias("t")).select(*keys, "t.*")
+    schema = "verdict string, ms_enclosure struct<lower:double,upper:double>, regime string, derivation array<struct<node:string>>, certificate_ref string"
+    found = ledger.target_reports(m, keys, trace).withColumn("r", F.from_json("report", schema))
     return found.select(
-        *keys[:3], j("verdict").alias("verdict"), j("ms_enclosure.lower").cast("double").alias("lower"), j("ms_enclosure.upper").cast("double").alias("upper"), j("regime").alias("regime"),
-        big(F.json_array_length(j("derivation"))).alias("steps"), big(F.length(F.regexp_extract(j("certificate_ref"), "^sha256:([0-9a-f]+)$", 1))).alias("digits"),
+        *keys[:3], "r.verdict", "r.ms_enclosure.lower", "r.ms_enclosure.upper", "r.regime", big(F.size("r.derivation")).alias("steps"),
+        big(F.length(F.regexp_extract("r.certificate_ref", "^sha256:([0-9a-f]+)$", 1))).alias("digits"),
     )
