@@ -156,14 +156,16 @@ def ledger(cells: DataFrame, workbook: str, formula: str, value: str, text: str
 
 def hole_samples(cells: DataFrame, workbook: str, formula: str, cell: str, order: list[Column], most: int = SAMPLES) -> DataFrame:
     """(workbook, pos, cell, formula, reason): the first ``most`` reasons of each workbook's holes, in order of cells."""
-    each = _marked(cells, formula).where(F.size("_why") > 0).select("*", F.posexplode("_why").alias("_i", "reason"))
+    each = _marked(cells, formula).select("*", F.posexplode_outer("_why").alias("_i", "reason")).where(F.col("reason").isNotNull())
     pos = F.row_number().over(Window.partitionBy(workbook).orderBy(*order, "_i"))
     return each.withColumn("pos", pos).where(F.col("pos") <= most).select(workbook, "pos", F.col(cell).alias("cell"), F.col(formula).alias("formula"), "reason")
 
 
 def hole_reasons(cells: DataFrame, workbook: str, formula: str) -> DataFrame:
     """(workbook, reason, n): histogram of the reasons of each workbook's holes."""
-    return _marked(cells, formula).select(workbook, F.explode("_why").alias("reason")).groupBy(workbook, "reason").agg(F.count("*").alias("n"))
+    # ``explode`` would have its rows filtered first, and the formulas read a second time for that.
+    each = _marked(cells, formula).select(workbook, F.explode_outer("_why").alias("reason")).where(F.col("reason").isNotNull())
+    return each.groupBy(workbook, "reason").agg(F.count("*").alias("n"))
 
 
 def coverage(cells: DataFrame, workbook: str, formula: str) -> DataFrame:
