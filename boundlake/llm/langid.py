@@ -13,7 +13,7 @@ read whole, both in training and in prediction.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ BUCKETS = 1 << BUCKET_BITS
 DIM = 16
 UNDETERMINED = "und"
 #: Bytes of text predicted at a time; bounds the wide temporaries.
-PREDICT_BYTES = 1 << 20
+PREDICT_BYTES = 1 << 18
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 256)
@@ -167,7 +167,9 @@ def train(docs: DataFrame, allowed: Column, per_lang: int = 600, most_rows: int
         return Model([], np.zeros((BUCKETS * len(GRAMS), DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     each = max(min(per_lang, most_rows // len(counts)), 1)
     # The row with the least draw always counts, so that no language is left out.
-    below = spark.createDataFrame([(r.lang, max(int((1 << 30) * min(1.0, 1.5 * each / r.n)), r.least + 1)) for r in counts], "lang string, below long")
+    # An Arrow table needs no Python workers; a list of rows would start some on every executor beside those of the functions.
+    limits = [max(int((1 << 30) * min(1.0, 1.5 * each / r.n)), r.least + 1) for r in counts]
+    below = spark.createDataFrame(pa.table({"lang": pa.array([r.lang for r in counts], pa.string()), "below": pa.array(limits, pa.int64())}))
     drawn = rows.join(F.broadcast(below), "lang").where(draw < F.col("below")).groupBy("lang", "key").agg(F.min("text").alias("text"))
     # A few more than wanted are drawn, as their number is an estimate; the first by hash stay.
     place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "key"))
@@ -182,13 +184,14 @@ def train(docs: DataFrame, allowed: Column, per_lang: int = 600, most_rows: int
 
 def _predictor(spark, model: Model):
     """Function of a text column that gives languages, scores and rejections."""
-    shared = spark.sparkContext.broadcast(model)
+    # With few languages the workers get the table of their scores, which is smaller than the embedding.
+    small = len(model.langs) <= DIM
+    table = model.embedding @ model.weights if small else model.embedding
+    shared = spark.sparkContext.broadcast((replace(model, embedding=table[:0]), table))
 
     def predict(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m = shared.value
+        m, table = shared.value
         names = np.array([*m.langs, UNDETERMINED], dtype=object)
-        small = len(m.langs) <= DIM
-        table = m.embedding @ m.weights if small else m.embedding
         raw, offsets = utf8(column)
         pred, score = np.full(len(column), len(m.langs)), np.zeros(len(column))
         for a, b in steps(offsets, PREDICT_BYTES):

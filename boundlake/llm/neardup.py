@@ -57,6 +57,8 @@ SALT_ROWS = 200
 BROADCAST_IDS = 300_000
 #: Ratio of the sizes between one class of set sizes and the next.
 SIZE_STEP = 1.05
+#: Bytes of text whose sets are made at a time; bounds the wide temporaries.
+SET_BYTES = 1 << 19
 _U = np.uint64
 
 
@@ -165,7 +167,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, SET_BYTES):
                 raw, at = utf8(batch.column(1).slice(a, b - a))
                 hashes, begin = shingles(raw, at)
                 sums = []
@@ -371,7 +373,7 @@ def _packed_sets(batches):
     for batch in batches:
         _, offsets = utf8(batch.column(3))
         payload = []
-        for a, b in steps(offsets):
+        for a, b in steps(offsets, SET_BYTES):
             raw, at = utf8(batch.column(3).slice(a, b - a))
             hashes, begin = shingles(raw, at)
             payload += [pack(np.diff(hashes[i:j], prepend=_U(0))) for i, j in zip(begin, begin[1:])]

@@ -11,7 +11,7 @@ import zstandard
 #: Bytes of text that one step works on; a single longer document is one step.
 STEP_BYTES = 2 << 20
 #: Bytes hashed at a time inside a step, which bounds the wide temporaries.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)

@@ -68,16 +68,27 @@ class Encoder:
 
             self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
             return
+        self.path = path
+        spec = self._spec()
+        pre = spec.get("pre_tokenizer") or {}
+        self.byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.normalized = bool(spec.get("normalizer"))
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+
+    def _spec(self) -> dict:
+        """The file's contents; tens of MB, so they are not kept."""
+        with open(self.path, encoding="utf-8") as file:
+            return json.load(file)
+
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when a text asks for it; those of the other library don't."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as file:
-            self.spec = json.load(file)
-        pre = self.spec.get("pre_tokenizer") or {}
-        self.byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.special = [x["content"] for x in self.spec.get("added_tokens", [])]
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         if self.pieces is not None:
@@ -108,13 +119,13 @@ class Encoder:
             keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
             byte_of = {chr(b): b for b in keep}
             byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(keep))}
-            ranks = {bytes(byte_of[c] for c in t): i for t, i in self.spec["model"]["vocab"].items() if t not in self.special}
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in self._spec()["model"]["vocab"].items() if t not in self.special}
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         return self.fast
 
     def ids(self, text: str) -> np.ndarray:
-        if self.pieces is None and self.byte_level and not self.spec.get("normalizer") and not _OTHERS.search(text) and not any(s in text for s in self.special):
+        if self.pieces is None and self.byte_level and not self.normalized and not _OTHERS.search(text) and not any(s in text for s in self.special):
             found = self._byte_pairs().encode_ordinary(text)
         elif self.pieces is None and self.byte_level:
             found = [i for ids in self.encode_many(parts(text)) for i in ids]
