@@ -3,6 +3,8 @@
 import hashlib
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +245,36 @@ def test_overrides_links_and_frequencies(spark):
     assert structure.touching(links, 2, "a", "b").count() == 2 and structure.touching(links, 4, "a", "b").count() == 1
     rows = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "x string")
     assert [(r.x, r.n) for r in runs.most_frequent(rows, "x", 2).collect()] == [("c", 2), ("a", 1)]
+
+
+def test_nearest_cases_meet_by_all_shared_symbols(spark):
+    rng = random.Random(4)
+    syms = ["a", "b", "c", "d"]
+
+    def box(i):
+        rows = []
+        for s in syms if i % 5 else rng.sample(syms, rng.randint(1, 3)):
+            m, w = rng.choice([-3.0, 0.0, 0.1875, 0.25, 1.0, 40.0, 40.25]) + rng.choice([0.0, 0.0, 1 / 64, -1 / 16]), rng.choice([1.0, 1.0, 0.5])
+            rows += [(s, m - w / 2, m + w / 2)] * (2 if rng.random() < 0.02 else 1)
+        if rng.random() < 0.05:
+            rows[0] = (rows[0][0], -math.inf, 1.0)
+        return rows
+
+    kept = {i: box(i) for i in range(400)} | {400 + i: [("a", 0.0, 1.0), ("b", 0.0, 1.0)] for i in range(30)}
+    asked = {i: kept[i] if i % 2 else box(i) for i in range(60)} | {60: [("a", 0.125, 1.125), ("b", 0.0, 1.0)]}
+    long = lambda boxes, key: spark.createDataFrame([(i, f"p{i % 2}", *r) for i, rows in boxes.items() for r in rows], f"{key} int, program_hash string, sym string, lo double, hi double")
+    found = runs.case_distance(long(asked, "query"), long(kept, "case_id"), 0.3, 4)
+    got, want = {(r.query, r.nearest): (r.case_id, round(r.distance, 12)) for r in found.collect()}, {}
+    for q, a in asked.items():
+        near = []
+        for c, b in kept.items():
+            shared = {x[0] for x in a} & {x[0] for x in b}
+            pairs = [(x, y) for x in a for y in b if x[0] == y[0]]
+            if c % 2 != q % 2 or not shared or len(pairs) != len(shared) or any(math.isinf(v) for p in pairs for x in p for v in x[1:]):
+                continue
+            middle = lambda x: (x[1] + x[2]) / 2
+            distance = math.sqrt(sum(((middle(x) - middle(y)) / max(x[2] - x[1], y[2] - y[1], 0.01 * abs(middle(x)), 1e-9)) ** 2 for x, y in pairs) / len(pairs))
+            near += [(round(distance, 12), c)] if distance < 0.3 else []
+        want |= {(q, n): (c, d) for n, (d, c) in enumerate(sorted(near)[:4], 1)}
+    assert got == want and len({d for _, d in want.values()}) > 10 and [want[60, n][0] for n in range(1, 5)] == [400, 402, 404, 406]
+    assert not re.search(r"hashpartitioning\(query#\w+, case_id#", found._jdf.queryExecution().toString())
