@@ -186,24 +186,29 @@ def reports(targets: DataFrame, run: str) -> DataFrame:
     return counted.select(run, F.to_json(F.struct("abstain", "fail", "safe", "targets")).alias("report"))
 
 
-def target_reports(targets: DataFrame, run: list[str], trace: DataFrame | None = None) -> DataFrame:
+def target_reports(targets: DataFrame, run: list[str], trace: DataFrame | list[Column] | None = None) -> DataFrame:
     """(run, report): JSON of each certified target: verdict, bounds, residual, certificate, its leaf in the audit tree, regime and derivation.
 
     ``targets`` comes from :func:`verdict.certify`; ``trace`` (run, pos, node, op,
-    lo, hi, holed) has one row for each node of a target's program. Numbers that
-    are not finite are texts, as JSON has none.
+    lo, hi, holed) has one row for each node of a target's program. Where all
+    targets have one program it may be a list instead, one struct (node, op, lo,
+    hi, holed) of the target's columns for each node in order, which needs no
+    join. Numbers that are not finite are texts, as JSON has none.
     """
     number = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string"))
     escaped = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
     text = lambda c: F.when(c.cast("string").rlike(r'[\x00-\x1f"\\]'), escaped(c.cast("string"))).otherwise(F.concat(F.lit('"'), c.cast("string"), F.lit('"')))
     sha = lambda c: F.concat(F.lit('"sha256:'), c, F.lit('"'))
     leaf = F.sha2(F.concat(F.unhex(F.lit("00")), F.unhex("cert_hash")), 256)
+    item = lambda of: F.concat(F.lit('{"encl":['), number(of("lo")), F.lit(","), number(of("hi")), F.lit('],"holed":'), F.coalesce(of("holed"), F.lit(False)).cast("string"), F.lit(',"node":'), text(of("node")), F.lit(',"op":'), text(of("op")), F.lit(',"width":'), number(of("hi") - of("lo")), F.lit("}"))
     steps = F.lit("[]")
     if trace is not None:
-        item = F.concat(F.lit('{"encl":['), number(F.col("lo")), F.lit(","), number(F.col("hi")), F.lit('],"holed":'), F.coalesce(F.col("holed"), F.lit(False)).cast("string"), F.lit(',"node":'), text(F.col("node")), F.lit(',"op":'), text(F.col("op")), F.lit(',"width":'), number(F.col("hi") - F.col("lo")), F.lit("}"))
-        made = trace.withColumn("_item", item).groupBy(*run).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_item"))), lambda x: x["_item"]).alias("_steps"))
-        targets = targets.join(made, run, "left")
-        steps = F.concat(F.lit("["), F.array_join(F.coalesce("_steps", F.array().cast("array<string>")), ","), F.lit("]"))
+        if isinstance(trace, DataFrame):
+            made = trace.withColumn("_item", item(F.col)).groupBy(*run).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_item"))), lambda x: x["_item"]).alias("_steps"))
+            targets, items = targets.join(made, run, "left"), F.col("_steps")
+        else:
+            items = F.array(*(item(node.getField) for node in trace))
+        steps = F.concat(F.lit("["), F.array_join(F.coalesce(items, F.array().cast("array<string>")), ","), F.lit("]"))
     report = F.concat(
         F.lit('{"audit_leaf":'), sha(leaf), F.lit(',"certificate_ref":'), sha(F.col("cert_hash")), F.lit(',"derivation":'), steps, F.lit(',"ms_enclosure":{"lower":'), number(F.col("ms_lo")), F.lit(',"upper":'), number(F.col("ms_hi")),
         F.lit('},"regime":'), text(F.col("regime")), F.lit(',"residual":'), number(F.col("residual")), F.lit(',"verdict":'), text(F.col("verdict")), F.lit("}"),

@@ -14,7 +14,7 @@ from boundlake.functions import interval, units
 from boundlake.functions import program as pg
 from boundlake.operators import boxes, ledger, registry, runs, structure, vectors
 from boundlake.operators import verdict as v
-from boundlake.plans import catalogue
+from boundlake.plans import catalogue, records
 
 A = interval.Ival("lo", "hi")
 SF = "/root/testdata/sf0.001"
@@ -213,6 +213,26 @@ def test_reports_hold_bounds_certificate_and_derivation(spark):
     assert [(r.fix_id, r.status) for r in ledger.proposals(fixes, spark.createDataFrame([("f2", "approved")], "fix_id string, status string")).collect()] == [("f1", "proposed")]
 
 
+def test_derivations_of_one_program_need_no_join(spark):
+    rows = spark.createDataFrame([(1, 2.0, 3.0, 0.0), (2, -math.inf, 1.5, 0.25)], "k int, ms_lo double, ms_hi double, residual double")
+    targets = v.certify(rows, "interval", F.col("k").cast("string"))
+    node = lambda name, op, lo, hi, holed: F.struct(F.lit(name).alias("node"), F.lit(op).alias("op"), lo.alias("lo"), hi.alias("hi"), F.lit(holed).cast("boolean").alias("holed"))
+    beside = ledger.target_reports(targets, ["k"], [node("a", "sub", F.col("ms_lo"), F.col("ms_hi"), None), node("b", 'di"v', F.col("ms_lo") + 1, F.col("ms_hi") + 1, True)])
+    assert "Exchange" not in beside._jdf.queryExecution().executedPlan().toString()
+    found = {r.k: json.loads(r.report) for r in beside.collect()}
+    assert found[1]["derivation"] == [{"node": "a", "op": "sub", "encl": [2.0, 3.0], "holed": False, "width": 1.0}, {"node": "b", "op": 'di"v', "encl": [3.0, 4.0], "holed": True, "width": 1.0}]
+    assert found[2]["derivation"][1] == {"node": "b", "op": 'di"v', "encl": ["-Infinity", 2.5], "holed": True, "width": "Infinity"}
+
+
+def test_target_reports_write_nothing_between(spark, tmp_path):
+    items = spark.read.parquet(f"{SF}/lineitem.parquet").limit(20)
+    items.unionByName(items.limit(3)).unionByName(items.limit(1).withColumn("l_partkey", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = records.target_reports(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "ExistingRDD" not in plan
+    assert [(r.steps, r.digits) for r in found.collect()] == [(2, 64)] * 24
+
+
 def test_bundles_lower_to_a_hull_of_candidates_and_physical_range(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("c",)], "b string")
     made = boxes.add(spark.createDataFrame([("a", "x", 0.6, 1.0, 2.0)], "b string, k string, conf double, lo double, hi double"), spark.createDataFrame([("a", "y", 0.9, 1.5, 4.0)], "b string, k string, conf double, lo double, hi double"))
